@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules, url_filters
 from .common import read_table
 from .mixing import mix_documents
 
@@ -13,8 +14,22 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.score_rules(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op8_source_mix": op8_source_mix,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filters.oracle_sql(),
+    "op9_quality_rules": quality_rules.oracle_sql(),
+}
