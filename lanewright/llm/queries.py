@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filters
+from . import packing, quality_rules, records, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
+from .tokens import tokenizer_path
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,23 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encode_and_read_back(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
+    "op7_binary_records": op7_binary_records,
+    "op10_packing": op10_packing,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
 }
