@@ -118,42 +118,59 @@ class Plan:
             count -= used * each
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: int = 64, small: int = 8) -> Plan:
-    """Place every length of the histogram; lengths over capacity / small are large."""
-    plan, left = Plan(capacity), dict(histogram)
-    large = [(n, left[n]) for n in sorted(left, reverse=True) if capacity // small < n < capacity]
+def make_plan(histogram: dict[int, int], capacity: int, groups: int = 96, small: int = 4, shares: tuple[float, ...] = (1.0, 0.75, 0.5, 0.25)) -> Plan:
+    """Place every length of the histogram; lengths over capacity / small are large.
+
+    Rounding up leaves room that only small pieces can fill.  Where they are too few, giving
+    the configurations a smaller share of the large pieces, and best-fit the rest, takes fewer
+    sequences; so the plan with the fewest sequences over ``shares`` is taken.
+    """
+    large = [(n, histogram[n]) for n in sorted(histogram, reverse=True) if capacity // small < n < capacity]
     total = sum(c for _, c in large)
-    if total >= 4 * groups:
-        per, members = total / groups, [[] for _ in range(groups)]
-        seen = 0
-        for n, c in large:
-            while c:
-                g = min(groups - 1, int(seen / per))
-                take = c if g == groups - 1 else min(c, max(1, int(np.ceil((g + 1) * per)) - seen))
-                members[g].append([n, take])
-                seen += take
-                c -= take
-        members = [m for m in members if m]
-        found = configurations(capacity, [m[0][0] for m in members], [sum(c for _, c in m) for m in members])
-        for counts, times in found:
-            slots = [k for k, c in enumerate(counts) for _ in range(c)]
-            done = 0
-            while done < times:
-                # As far as all slots keep the length they now have; an exhausted group leaves its slot open.
-                heads = [(members[k][0][1], slots.count(k)) for k in dict.fromkeys(slots) if members[k]]
-                run = min([times - done, *(max(1, n // c) for n, c in heads)])
-                first, offset = plan.new(run), 0
-                for k in slots:
-                    if members[k]:
-                        n = members[k][0][0]
-                        plan.put(n, first, run, 1, offset)
-                        offset += n
-                        left[n] -= run
-                        members[k][0][1] -= run
-                        if not members[k][0][1]:
-                            members[k].pop(0)
-                plan.leave(capacity - offset, first, run)
-                done += run
+    members: list[list[tuple[int, int]]] = [[] for _ in range(groups)]
+    seen = 0
+    for n, c in large:
+        while c:
+            g = min(groups - 1, seen * groups // total)
+            take = min(c, -(-(g + 1) * total // groups) - seen)
+            members[g].append((n, take))
+            seen += take
+            c -= take
+    members = [m for m in members if m]
+    found = configurations(capacity, [m[0][0] for m in members], [sum(c for _, c in m) for m in members]) if total >= 4 * groups else []
+    bound = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best = None
+    for share in shares if found else (0.0,):
+        plan = _substitute(histogram, capacity, members, [(c, int(t * share)) for c, t in found])
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == bound:
+            break
+    return best
+
+
+def _substitute(histogram: dict[int, int], capacity: int, groups: list[list[tuple[int, int]]], found: list[tuple[list[int], int]]) -> Plan:
+    """Actual lengths into the configurations, all others best-fit in descending order."""
+    plan, left, members = Plan(capacity), dict(histogram), [[list(x) for x in m] for m in groups]
+    for counts, times in found:
+        slots = [k for k, c in enumerate(counts) for _ in range(c)]
+        done = 0
+        while done < times:
+            # As far as all slots keep the length they now have; an exhausted group leaves its slot open.
+            heads = [(members[k][0][1], slots.count(k)) for k in dict.fromkeys(slots) if members[k]]
+            run = min([times - done, *(max(1, n // c) for n, c in heads)])
+            first, offset = plan.new(run), 0
+            for k in slots:
+                if members[k]:
+                    n = members[k][0][0]
+                    plan.put(n, first, run, 1, offset)
+                    offset += n
+                    left[n] -= run
+                    members[k][0][1] -= run
+                    if not members[k][0][1]:
+                        members[k].pop(0)
+            plan.leave(capacity - offset, first, run)
+            done += run
     for n in sorted(left, reverse=True):
         plan.best_fit(n, left[n])
     return plan
@@ -184,7 +201,7 @@ def _place(batches: Iterable[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence, pa.int64()), pa.array(place, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, groups: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, groups: int = 96) -> DataFrame:
     """documents -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     require_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
