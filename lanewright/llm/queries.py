@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, records, token_counts, url_filters
+from . import fingerprints, packing, quality_classifier, quality_rules, records, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
 from .tokens import tokenizer_path
@@ -28,6 +28,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read_back(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,6 +47,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_fingerprints": op5_fingerprints,
     "op7_binary_records": op7_binary_records,
     "op10_packing": op10_packing,
     "op8_source_mix": op8_source_mix,
