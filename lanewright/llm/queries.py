@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, quality_classifier, quality_rules, records, token_counts, url_filters
+from . import fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
 from .tokens import tokenizer_path
@@ -36,6 +36,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(read_table(spark, sf_dir, "documents"))
+
+
 def op7_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_and_read_back(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_fingerprints": op5_fingerprints,
+    "op6_near_dedup": op6_near_dedup,
     "op7_binary_records": op7_binary_records,
     "op10_packing": op10_packing,
     "op8_source_mix": op8_source_mix,
@@ -56,6 +61,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op2_url_filter": url_filters.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
 }
