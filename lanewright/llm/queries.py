@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, token_counts, url_filters
+from . import fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, substring_dedup, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
 from .tokens import tokenizer_path
@@ -20,6 +20,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
@@ -61,6 +66,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE_SQL,
     "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op2_url_filter": url_filters.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
