@@ -172,3 +172,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     sized = materialize(docs.select("doc_id", F.array("source").alias("sources"), size.alias("size")), "sized")
     out = mix(sized, **options)
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it."""
+    mixed = mix_documents(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max(F.expr("taken div size")).alias("_copies"))
+    out = docs.join(mixed, F.col("doc_id") == F.col("_mixed_id"))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -7,7 +7,7 @@ are shared in an order are put in that order across the cluster.  A region of eq
 at most REGION rows gives all its pairs as candidates; a larger one goes on to the next depth, its
 rows are compared with their next neighbours in the order (the longest common prefixes) and with
 the region's HUBS most central rows, which finds groups around one original.  Candidates with an
-estimated similarity of at least ESTIMATE (4.7 standard deviations under the threshold) are
+estimated similarity of at least the threshold less SLACK (over four standard deviations) are
 confirmed on the full sets; of surely equal groups a spanning forest is confirmed.  Orders are cut by
 range, not by key, so no group lands in one task.
 
@@ -33,7 +33,7 @@ from .fingerprints import shingle_hashes
 
 HASHES, TREES, FIRST, PATH, SHINGLE = 128, 20, 4, 10, 5
 REGION, NEIGHBOURS, HUBS, SAMPLE = 64, 32, 16, 64
-ESTIMATE, SURE = 0.70, 0.94
+SLACK, SURE = 0.15, 0.94
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -112,7 +112,7 @@ def region_pairs(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[:, 0], both[:, 1]
 
 
-def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray) -> np.ndarray:
+def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray, least: float) -> np.ndarray:
     """Which candidates to confirm: of sure ones those that join groups, of others those between groups."""
     parent = list(range(len(ids)))
 
@@ -130,12 +130,12 @@ def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray) ->
         if a != b:
             parent[a] = b
             keep[k] = True
-    for k in np.flatnonzero((est >= ESTIMATE) & (est < SURE)):
+    for k in np.flatnonzero((est >= least) & (est < SURE)):
         keep[k] = find(i[k]) != find(j[k])
     return keep
 
 
-def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Candidates of each region in a sorted part of an order."""
 
     def pairs(rows: list) -> pa.RecordBatch | None:
@@ -146,9 +146,9 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
         i, j = region_pairs(path, sig)
         est = _estimate(sig, i, j)
-        likely = est >= ESTIMATE
+        likely = est >= least
         i, j, est = i[likely], j[likely], est[likely]
-        keep = _spanning(ids, i, j, est)
+        keep = _spanning(ids, i, j, est, least)
         a, b = ids[i[keep]], ids[j[keep]]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if keep.any() else None
 
@@ -215,7 +215,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     rows = rows.mapInArrow(_paths, "key long, doc_id long, path binary, signature binary")
     salt = F.xxhash64("key", "doc_id")
     ordered = rows.repartitionByRange("key", "path", salt).sortWithinPartitions("key", "path", salt)
-    pairs = materialize(ordered.mapInArrow(_forest, "a long, b long").where("a < b").distinct(), "candidates")
+    pairs = materialize(ordered.mapInArrow(partial(_forest, least=percent / 100 - SLACK), "a long, b long").where("a < b").distinct(), "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     n = ids.count()
     if n <= BROADCAST_IDS:  # at most 8 MB; texts need not move
