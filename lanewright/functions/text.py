@@ -16,7 +16,8 @@ MPH = 1.609344
 def route_tokens(x: Column) -> Column:
     """Sorted distinct tokens like I5 or US26 of upper-cased text with dashes made plain."""
     t = F.replace(F.upper(x), F.lit("–"), F.lit("-"))
-    found = [F.transform(F.regexp_extract_all(t, F.lit(rf"\b{p}\s*[- ]?\s*(\d{{1,3}})\b"), F.lit(1)), lambda n, k=k: F.concat(F.lit(k), n)) for k, p in ROUTE_PREFIXES.items()]
+    one = lambda k, p: F.transform(F.regexp_extract_all(t, F.lit(rf"\b{p}\s*[- ]?\s*(\d{{1,3}})\b"), F.lit(1)), lambda n: F.concat(F.lit(k), n))
+    found = [one(k, p) for k, p in ROUTE_PREFIXES.items()]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
