@@ -22,7 +22,7 @@ def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
     codes = np.append(rng.integers(1, 3, 300), 0)
     want = sorted(range(len(codes)), key=lambda i: codes[i:].tolist())
-    assert suffix_array(codes).tolist() == want
+    assert suffix_array(codes)[0].tolist() == want
 
 
 def test_rank():
@@ -41,7 +41,7 @@ def test_search_and_matching_statistics(seed):
         a, b = index.intervals(np.asarray(p)[None, :])
         assert b[0] - a[0] == occurs(index, np.asarray(p))
     foreign = texts(seed + 50, 6, 5)
-    for depth in (3, 8):
+    for depth in (3, 8, 17):
         for q, (size, start) in zip([*known, *foreign], index.matching_statistics([*known, *foreign], depth)):
             for i in range(len(q)):
                 best = max(m for m in range(min(depth, len(q) - i) + 1) if m == 0 or occurs(index, q[i : i + m]))

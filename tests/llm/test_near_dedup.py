@@ -49,6 +49,7 @@ def test_table_and_the_join_of_many_ids(spark, monkeypatch):
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert rows_of(nd.near_components(docs)) == want
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(nd, "BROADCAST_SETS", -1)
     assert rows_of(nd.near_components(docs)) == want
 
 
