@@ -8,8 +8,10 @@ at most REGION rows gives all its pairs as candidates; a larger one goes on to t
 rows are compared with their next neighbours in the order (the longest common prefixes) and with
 the region's HUBS most central rows, which finds groups around one original.  Candidates with an
 estimated similarity of at least the threshold less SLACK (over four standard deviations) are
-confirmed on the full sets; of surely equal groups a spanning forest is confirmed.  Orders are cut by
-range, not by key, so no group lands in one task.
+confirmed on the full sets: first a spanning forest of each region, likeliest first; then, where a
+region still holds more than one group, all its candidates between groups.  So a group of n near
+copies costs about n comparisons and no link between groups is passed over.  Orders are cut by range,
+not by key, so no group lands in one task.
 
 Cases: null or empty text has the empty set and is linked with nothing; a text of fewer than
 five words has one shingle; rows that repeat a doc_id count as one document with a set for each
@@ -33,8 +35,8 @@ from .fingerprints import shingle_hashes
 
 HASHES, TREES, FIRST, PATH, SHINGLE = 128, 20, 4, 10, 5
 REGION, NEIGHBOURS, HUBS, SAMPLE = 64, 32, 16, 64
-SLACK, SURE = 0.15, 0.94
-BROADCAST_IDS = 1_000_000
+SLACK = 0.15
+BROADCAST_IDS, BROADCAST_SETS = 1_000_000, 64 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, np.uint32)
@@ -112,8 +114,8 @@ def region_pairs(path: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndar
     return both[:, 0], both[:, 1]
 
 
-def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray, least: float) -> np.ndarray:
-    """Which candidates to confirm: of sure ones those that join groups, of others those between groups."""
+def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray) -> np.ndarray:
+    """The candidates of a spanning forest, likeliest first; equally likely ones by their ids, so that the orders choose alike."""
     parent = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -123,20 +125,17 @@ def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray, est: np.ndarray, le
         return x
 
     keep = np.zeros(len(i), bool)
-    # Links to the smallest doc_id first, so that the orders choose the same ones.
-    sure = np.flatnonzero(est >= SURE)
-    for k in sure[np.lexsort((np.maximum(ids[i[sure]], ids[j[sure]]), np.minimum(ids[i[sure]], ids[j[sure]])))]:
-        a, b = find(i[k]), find(j[k])
-        if a != b:
-            parent[a] = b
+    a, b = ids[i], ids[j]
+    for k in np.lexsort((np.maximum(a, b), np.minimum(a, b), -est)):
+        x, y = find(i[k]), find(j[k])
+        if x != y:
+            parent[x] = y
             keep[k] = True
-    for k in np.flatnonzero((est >= least) & (est < SURE)):
-        keep[k] = find(i[k]) != find(j[k])
     return keep
 
 
-def _forest(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Candidates of each region in a sorted part of an order."""
+def _forest(batches: Iterable[pa.RecordBatch], least: float, between: bool = False, sets=None, percent: int = 0) -> Iterator[pa.RecordBatch]:
+    """Candidates of each region in a sorted part of an order: a spanning forest, or all between the groups found so far."""
 
     def pairs(rows: list) -> pa.RecordBatch | None:
         if len(rows) < 2:
@@ -148,20 +147,35 @@ def _forest(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         est = _estimate(sig, i, j)
         likely = est >= least
         i, j, est = i[likely], j[likely], est[likely]
-        keep = _spanning(ids, i, j, est, least)
+        if between:
+            group = np.array([r[3] for r in rows])
+            keep = group[i] != group[j]
+            if sets is not None:
+                if not known:
+                    for doc, data in sets.value:
+                        known.setdefault(doc, []).append(np.frombuffer(data, "<u8"))
+                for k in np.flatnonzero(keep):
+                    pair = (min(ids[i[k]], ids[j[k]]), max(ids[i[k]], ids[j[k]]))
+                    if pair not in judged:
+                        if len(judged) > 1_000_000:
+                            judged.clear()
+                        judged[pair] = any(_linked(x, y, percent) for x in known[pair[0]] for y in known[pair[1]])
+                    keep[k] = judged[pair]
+        else:
+            keep = _spanning(ids, i, j, est)
         a, b = ids[i[keep]], ids[j[keep]]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if keep.any() else None
 
-    key, rows = None, []
+    key, rows, known, judged = None, [], {}, {}
     for b in batches:
-        for k, doc, path, sig in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "path", "signature")), strict=True):
+        for k, doc, path, sig, group in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "path", "signature", "group")), strict=True):
             # A very large region is taken in pieces; the neighbours of a piece go on into the next one.
             if k != key or len(rows) >= 20_000:
                 if (out := pairs(rows)) is not None:
                     yield out
                 rows = rows[-NEIGHBOURS:] if k == key else []
                 key = k
-            rows.append((doc, path, sig))
+            rows.append((doc, path, sig, group))
     if (out := pairs(rows)) is not None:
         yield out
 
@@ -187,17 +201,44 @@ def _sets(batches: Iterable[pa.RecordBatch], ids=None) -> Iterator[pa.RecordBatc
         yield pa.record_batch([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "set"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if 100 * small < percent * large:  # they share too little whatever they hold
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        linked = []
-        for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(100 * both >= percent * (len(x) + len(y) - both))
+        linked = [_linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
         out = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"])
         yield out.filter(pa.array(linked, pa.bool_()))
 
 
+def _candidates(rows: DataFrame, find) -> DataFrame:
+    """Distinct pairs (a, b) that find gives for the rows put in their orders across the cluster."""
+    salt = F.xxhash64("key", "doc_id")
+    ordered = rows.repartitionByRange("key", "path", salt).sortWithinPartitions("key", "path", salt)
+    return materialize(ordered.mapInArrow(find, "a long, b long").where("a < b").distinct(), "candidates")
+
+
+def _set_table(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, set of the given documents."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # at most 8 MB; texts need not move
+        wanted = np.sort(np.array(ids.toArrow().column(0).to_numpy(), np.int64))
+        sets = texts.mapInArrow(partial(_sets, ids=texts.sparkSession.sparkContext.broadcast(wanted)), "doc_id long, set binary")
+    else:
+        sets = texts.join(ids, "doc_id").mapInArrow(_sets, "doc_id long, set binary")
+    return materialize(sets, "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked on their full sets."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
+
+
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, in links of 100 * intersection >= percent * union."""
     require_columns(docs, ["doc_id", "text"])
@@ -212,21 +253,25 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     places = first.select("digest", F.col("rep").alias("doc_id"), F.posexplode("keys").alias("tree", "key"))
     shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = places.join(shared, "key").join(sketches.select("doc_id", "digest", "signature"), ["doc_id", "digest"]).select("tree", "key", "doc_id", "signature")
-    rows = rows.mapInArrow(_paths, "key long, doc_id long, path binary, signature binary")
-    salt = F.xxhash64("key", "doc_id")
-    ordered = rows.repartitionByRange("key", "path", salt).sortWithinPartitions("key", "path", salt)
-    pairs = materialize(ordered.mapInArrow(partial(_forest, least=percent / 100 - SLACK), "a long, b long").where("a < b").distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = ids.count()
-    if n <= BROADCAST_IDS:  # at most 8 MB; texts need not move
-        wanted = np.sort(np.array(ids.toArrow().column(0).to_numpy(), np.int64))
-        sets = texts.mapInArrow(partial(_sets, ids=spark.sparkContext.broadcast(wanted)), "doc_id long, set binary")
+    rows = materialize(rows.mapInArrow(_paths, "key long, doc_id long, path binary, signature binary"), "rows")
+    least = percent / 100 - SLACK
+    first = _candidates(rows.withColumn("group", F.lit(0).cast("long")), partial(_forest, least=least))
+    links = _confirmed(first, _set_table(texts, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), percent)
+    links = materialize(links, "links")
+    # Regions that hold more than one group go through the orders again, for links between groups.
+    groups = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    grouped = rows.join(groups, "doc_id", "left").select(*rows.columns, F.coalesce("c", "doc_id").alias("group"))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+    mixed = materialize(grouped.join(mixed, "key", "left_semi"), "mixed")
+    sets = _set_table(texts, mixed.select("doc_id").distinct())
+    if (sets.agg(F.sum(F.octet_length("set"))).head()[0] or 0) <= BROADCAST_SETS:
+        # Sets of that bounded size go along, and tasks confirm candidates as they find them.
+        table = sets.toArrow()
+        known = spark.sparkContext.broadcast(list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)))
+        more = _candidates(mixed, partial(_forest, least=least, between=True, sets=known, percent=percent))
     else:
-        sets = texts.join(ids, "doc_id").mapInArrow(_sets, "doc_id long, set binary")
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    links = both.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
-    groups = connected_components(links).withColumnRenamed("node", "rep")
+        more = _confirmed(_candidates(mixed, partial(_forest, least=least, between=True)), sets, percent)
+    groups = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
     named = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
