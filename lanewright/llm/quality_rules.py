@@ -1,10 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Nine rules look at the statistics of a document and vote good (1), bad (-1) or abstain (0).
-Documents are counted by vote pattern (at most 3 ** 9 patterns), expectation-maximisation over
-the patterns estimates how often each rule is right on good and on bad documents, and a document
-is kept if its posterior probability of being good is at least ``KEEP``.  The whole estimation is
-one ``aggregate`` over the array of patterns, so it runs inside the plan.
+Ten rules look at the statistics of a document and vote good (1), bad (-1) or abstain (0); seven
+of them only know defects, and abstain where they see none.  Documents are counted by vote pattern
+(at most 3 ** 10 patterns), expectation-maximisation over the patterns estimates how often each
+rule gives each vote on good and on bad documents (its accuracies), and a document is kept if its
+posterior probability of being good is at least ``KEEP``.  An abstention is no evidence.  The whole
+estimation is one ``aggregate`` over the array of patterns, so it runs inside the plan.
 
 Cases: null and empty texts have no words, fail the base rule and are not kept; equal texts get
 equal results; no documents give no rows; extra columns are ignored.
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, require_columns, words
 
-RULES = ("word_length", "symbols", "duplicate_lines", "repetition", "capitals", "exclamations", "sentence_ends", "variety", "letters")
-ROUNDS, PRIOR, START, SMOOTH, LOW, HIGH, KEEP = 12, 0.8, 0.8, 10.0, 0.55, 0.99, 0.5
+RULES = ("word_length", "symbols", "duplicate_lines", "repetition", "capitals", "exclamations", "sentence_ends", "variety", "letters", "heavy_symbols")
+ROUNDS, PRIOR, SMOOTH, KEEP = 12, 0.8, 10.0, 0.5
+#: Start and bounds of the rates: votes bad and good on good documents, bad and good on bad ones. A vote never changes its meaning.
+RATES = {"gm": (0.005, 0.0005, 0.03), "gp": (0.9, 0.5, 0.99), "bm": (0.5, 0.2, 0.95), "bp": (0.6, 0.1, 0.8)}
 WINDOW = 8
 
 
@@ -73,65 +76,61 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    return F.when(bad, -1).when(good if good is not None else F.lit(False), 1).otherwise(0)
 
 
 def votes() -> Column:
-    """The nine votes, in the order of RULES; integer comparisons only, so that any engine agrees."""
+    """The ten votes, in the order of RULES; integer comparisons only, so that any engine agrees."""
     c = F.col
     n, letters = c("n_words"), c("n_capitals") + c("n_small")
     return F.array(
-        _vote((10 * c("word_chars") >= 35 * n) & (c("word_chars") <= 9 * n), (10 * c("word_chars") < 25 * n) | (c("word_chars") > 13 * n)),
-        _vote(50 * c("n_symbols") <= n, 10 * c("n_symbols") > n),
-        F.when(c("n_lines") < 2, 0).otherwise(_vote(c("n_dup_lines") == 0, 10 * c("n_dup_lines") > 3 * c("n_lines"))),
-        F.when(n < 50, 0).otherwise(_vote(c("n_repeat_words") == 0, 5 * c("n_repeat_words") > n)),
-        F.when(letters < 20, 0).otherwise(_vote(10 * c("n_capitals") <= letters, 10 * c("n_capitals") > 4 * letters)),
-        _vote(50 * c("n_exclamations") <= n, 5 * c("n_exclamations") > n),
-        F.when(n < 60, 0).otherwise(_vote((2 * n <= 60 * c("n_ends")) & (2 * c("n_ends") <= n), c("n_ends") * 400 < n)),
-        F.when((n < 50) | (n > 2000), 0).otherwise(_vote(10 * c("n_distinct") >= 4 * n, 10 * c("n_distinct") < 2 * n)),
-        _vote(2 * letters >= c("word_chars"), (10 * letters < 3 * c("word_chars")) | (10 * c("n_digits") > 3 * c("word_chars"))),
+        _vote((10 * c("word_chars") < 25 * n) | (c("word_chars") > 13 * n), (10 * c("word_chars") >= 35 * n) & (c("word_chars") <= 9 * n)),
+        _vote(10 * c("n_symbols") > n),
+        _vote((c("n_dup_lines") >= 2) & (10 * c("n_dup_lines") > 3 * c("n_lines"))),
+        _vote((n >= 50) & (10 * c("n_repeat_words") > 3 * n)),
+        _vote((letters >= 20) & (10 * c("n_capitals") > 4 * letters)),
+        _vote(5 * c("n_exclamations") > n),
+        _vote((n >= 60) & (c("n_ends") * 400 < n), (n >= 60) & (2 * n <= 60 * c("n_ends")) & (2 * c("n_ends") <= n)),
+        _vote((n >= 50) & (n <= 2000) & (10 * c("n_distinct") < 2 * n)),
+        _vote((10 * letters < 3 * c("word_chars")) | (2 * c("n_digits") > c("word_chars")), 2 * letters >= c("word_chars")),
+        _vote(10 * c("n_symbols") > 3 * n),
     )
 
 
-def _log_odds(v: Column, prior: Column, good: Column, bad: Column) -> Column:
-    out = F.log(prior / (1 - prior))
+def _log_odds(v: Column, m: Column) -> Column:
+    out = F.log(m["prior"] / (1 - m["prior"]))
     for j in range(len(RULES)):
-        g, b, x = F.get(good, F.lit(j)), F.get(bad, F.lit(j)), F.get(v, F.lit(j))
-        out = out + F.when(x == 1, F.log(g / (1 - b))).when(x == -1, F.log((1 - g) / b)).otherwise(F.lit(0.0))
+        x, of = F.get(v, F.lit(j)), lambda k: F.get(m[k], F.lit(j))  # noqa: B023, E731
+        out = out + F.when(x == 1, F.log(of("gp") / of("bp"))).when(x == -1, F.log(of("gm") / of("bm"))).otherwise(F.lit(0.0))
     return out
 
 
 def _posterior(v: Column, m: Column) -> Column:
-    return 1 / (1 + F.exp(-_log_odds(v, m["prior"], m["good"], m["bad"])))
+    return 1 / (1 + F.exp(-_log_odds(v, m)))
 
 
 def estimate(patterns: Column) -> Column:
-    """patterns array<struct<v, n>> -> struct(prior, good, bad): rules' accuracies by ROUNDS of EM.
+    """patterns array<struct<v, n>> -> struct(prior, gm, gp, bm, bp): the rules' rates by ROUNDS of EM.
 
-    Accuracies stay in [LOW, HIGH], so that a rule's votes never change their meaning, and start
-    from (and are smoothed by SMOOTH documents towards) START.
+    Rates stay in the bounds of RATES, start there, and are smoothed towards it by SMOOTH documents.
     """
     k = len(RULES)
-    array = lambda x: F.array(*(F.lit(x) for _ in range(k)))
-    start = F.struct(F.lit(PRIOR).alias("prior"), array(START).alias("good"), array(START).alias("bad"))
+    start = F.struct(F.lit(PRIOR).alias("prior"), *(F.array(*(F.lit(x[0]) for _ in range(k))).alias(n) for n, x in RATES.items()))
 
     def total(q: Column, part) -> Column:
         return F.aggregate(q, F.lit(0.0), lambda s, x: s + part(x))
 
-    def accuracy(q: Column, j: int, vote: int, weight: str) -> Column:
-        v = lambda x: F.get(x["v"], F.lit(j))
-        right = total(q, lambda x: F.when(v(x) == vote, x[weight]).otherwise(F.lit(0.0)))
-        said = total(q, lambda x: F.when(v(x) != 0, x[weight]).otherwise(F.lit(0.0)))
-        return F.least(F.lit(HIGH), F.greatest(F.lit(LOW), (right + SMOOTH * START) / (said + SMOOTH)))
+    def rate(q: Column, j: int, name: str) -> Column:
+        first, low, high = RATES[name]
+        weight, vote = name[0], 1 if name[1] == "p" else -1
+        said = total(q, lambda x: F.when(F.get(x["v"], F.lit(j)) == vote, x[weight]).otherwise(F.lit(0.0)))
+        return F.least(F.lit(high), F.greatest(F.lit(low), (said + SMOOTH * first) / (total(q, lambda x: x[weight]) + SMOOTH)))
 
     def renew(q: Column) -> Column:
         good, bad = total(q, lambda x: x["g"]), total(q, lambda x: x["b"])
-        return F.struct(
-            F.least(F.lit(0.99), F.greatest(F.lit(0.01), (good + SMOOTH * PRIOR) / (good + bad + SMOOTH))).alias("prior"),
-            F.array(*(accuracy(q, j, 1, "g") for j in range(k))).alias("good"),
-            F.array(*(accuracy(q, j, -1, "b") for j in range(k))).alias("bad"),
-        )
+        prior = F.least(F.lit(0.99), F.greatest(F.lit(0.5), (good + SMOOTH * PRIOR) / (good + bad + SMOOTH)))
+        return F.struct(prior.alias("prior"), *(F.array(*(rate(q, j, n) for j in range(k))).alias(n) for n in RATES))
 
     def step(m: Column, _: Column) -> Column:
         weighed = F.transform(patterns, lambda x: F.get(F.transform(F.array(_posterior(x["v"], m)), lambda p: F.struct(x["v"].alias("v"), (x["n"] * p).alias("g"), (x["n"] * (1 - p)).alias("b"))), F.lit(0)))
@@ -145,7 +144,7 @@ def score_rules(docs: DataFrame) -> DataFrame:
     stats = statistics(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     voted = materialize(stats.withColumn("v", votes()), "votes")
     counts = voted.where("n_words > 0").groupBy("v").agg(F.count("*").cast("double").alias("n"))
-    # One row of at most 3 ** 9 patterns, sorted so that sums run in one order.
+    # One row of at most 3 ** 10 patterns, sorted so that sums run in one order.
     model = counts.agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("patterns")).where(F.size("patterns") > 0)
     model = model.withColumn("m", estimate(F.col("patterns")))
     scores = model.select(F.explode(F.transform("patterns", lambda x: F.struct(x["v"].alias("v"), _posterior(x["v"], F.col("m")).alias("posterior")))).alias("s")).select("s.v", "s.posterior")
@@ -163,13 +162,12 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same in SQL: statistics by lists, EM as a chain of ROUNDS common tables."""
     k = len(RULES)
-    log_odds = lambda t: f"ln({t}.prior / (1 - {t}.prior))" + "".join(f" + CASE p.v{j} WHEN 1 THEN ln({t}.g{j} / (1 - {t}.b{j})) WHEN -1 THEN ln((1 - {t}.g{j}) / {t}.b{j}) ELSE 0 END" for j in range(k))
-    rounds = [f"e0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{START}::DOUBLE AS g{j}, {START}::DOUBLE AS b{j}" for j in range(k)) + ")"]
-    clip = lambda right, said: f"least({HIGH}::DOUBLE, greatest({LOW}::DOUBLE, (coalesce(sum({right}), 0) + {SMOOTH * START}::DOUBLE) / (coalesce(sum({said}), 0) + {SMOOTH}::DOUBLE)))"
+    log_odds = lambda t: f"ln({t}.prior / (1 - {t}.prior))" + "".join(f" + CASE p.v{j} WHEN 1 THEN ln({t}.gp{j} / {t}.bp{j}) WHEN -1 THEN ln({t}.gm{j} / {t}.bm{j}) ELSE 0 END" for j in range(k))
+    rounds = [f"e0 AS (SELECT {PRIOR}::DOUBLE AS prior, " + ", ".join(f"{x[0]}::DOUBLE AS {n}{j}" for n, x in RATES.items() for j in range(k)) + ")"]
     for r in range(1, ROUNDS + 1):
         q = f"(SELECT p.*, p.n / (1 + exp(-({log_odds('e')}))) AS g, p.n * (1 - 1 / (1 + exp(-({log_odds('e')})))) AS b FROM p, e{r - 1} e)"
-        cols = ", ".join(f"{clip(f'CASE WHEN v{j} = 1 THEN g END', f'CASE WHEN v{j} <> 0 THEN g END')} AS g{j}, {clip(f'CASE WHEN v{j} = -1 THEN b END', f'CASE WHEN v{j} <> 0 THEN b END')} AS b{j}" for j in range(k))
-        rounds.append(f"e{r} AS MATERIALIZED (SELECT least(0.99::DOUBLE, greatest(0.01::DOUBLE, (sum(g) + {SMOOTH * PRIOR}::DOUBLE) / (sum(g) + sum(b) + {SMOOTH}::DOUBLE))) AS prior, {cols} FROM {q})")
+        rate = lambda j, n, x: f"least({x[2]}::DOUBLE, greatest({x[1]}::DOUBLE, (coalesce(sum({n[0]}) FILTER (WHERE v{j} = {1 if n[1] == 'p' else -1}), 0) + {SMOOTH * x[0]}::DOUBLE) / (coalesce(sum({n[0]}), 0) + {SMOOTH}::DOUBLE))) AS {n}{j}"
+        rounds.append(f"e{r} AS MATERIALIZED (SELECT least(0.99::DOUBLE, greatest(0.5::DOUBLE, (sum(g) + {SMOOTH * PRIOR}::DOUBLE) / (sum(g) + sum(b) + {SMOOTH}::DOUBLE))) AS prior, {', '.join(rate(j, n, x) for n, x in RATES.items() for j in range(k))} FROM {q})")
     vs = ", ".join(f"v{j}" for j in range(k))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -188,14 +186,15 @@ s AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))
 b AS (SELECT *, n_capitals + n_small AS letters, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
 v AS (SELECT *,
   CASE WHEN 10 * word_chars < 25 * n_words OR word_chars > 13 * n_words THEN -1 WHEN 10 * word_chars >= 35 * n_words AND word_chars <= 9 * n_words THEN 1 ELSE 0 END AS v0,
-  CASE WHEN 10 * n_symbols > n_words THEN -1 WHEN 50 * n_symbols <= n_words THEN 1 ELSE 0 END AS v1,
-  CASE WHEN n_lines < 2 THEN 0 WHEN 10 * n_dup_lines > 3 * n_lines THEN -1 WHEN n_dup_lines = 0 THEN 1 ELSE 0 END AS v2,
-  CASE WHEN n_words < 50 THEN 0 WHEN 5 * n_repeat_words > n_words THEN -1 WHEN n_repeat_words = 0 THEN 1 ELSE 0 END AS v3,
-  CASE WHEN letters < 20 THEN 0 WHEN 10 * n_capitals > 4 * letters THEN -1 WHEN 10 * n_capitals <= letters THEN 1 ELSE 0 END AS v4,
-  CASE WHEN 5 * n_exclamations > n_words THEN -1 WHEN 50 * n_exclamations <= n_words THEN 1 ELSE 0 END AS v5,
-  CASE WHEN n_words < 60 THEN 0 WHEN n_ends * 400 < n_words THEN -1 WHEN 2 * n_words <= 60 * n_ends AND 2 * n_ends <= n_words THEN 1 ELSE 0 END AS v6,
-  CASE WHEN n_words < 50 OR n_words > 2000 THEN 0 WHEN 10 * n_distinct < 2 * n_words THEN -1 WHEN 10 * n_distinct >= 4 * n_words THEN 1 ELSE 0 END AS v7,
-  CASE WHEN 10 * letters < 3 * word_chars OR 10 * n_digits > 3 * word_chars THEN -1 WHEN 2 * letters >= word_chars THEN 1 ELSE 0 END AS v8 FROM b),
+  CASE WHEN 10 * n_symbols > n_words THEN -1 ELSE 0 END AS v1,
+  CASE WHEN n_dup_lines >= 2 AND 10 * n_dup_lines > 3 * n_lines THEN -1 ELSE 0 END AS v2,
+  CASE WHEN n_words >= 50 AND 10 * n_repeat_words > 3 * n_words THEN -1 ELSE 0 END AS v3,
+  CASE WHEN letters >= 20 AND 10 * n_capitals > 4 * letters THEN -1 ELSE 0 END AS v4,
+  CASE WHEN 5 * n_exclamations > n_words THEN -1 ELSE 0 END AS v5,
+  CASE WHEN n_words >= 60 AND n_ends * 400 < n_words THEN -1 WHEN n_words >= 60 AND 2 * n_words <= 60 * n_ends AND 2 * n_ends <= n_words THEN 1 ELSE 0 END AS v6,
+  CASE WHEN n_words BETWEEN 50 AND 2000 AND 10 * n_distinct < 2 * n_words THEN -1 ELSE 0 END AS v7,
+  CASE WHEN 10 * letters < 3 * word_chars OR 2 * n_digits > word_chars THEN -1 WHEN 2 * letters >= word_chars THEN 1 ELSE 0 END AS v8,
+  CASE WHEN 10 * n_symbols > 3 * n_words THEN -1 ELSE 0 END AS v9 FROM b),
 p AS MATERIALIZED (SELECT {vs}, count(*)::DOUBLE AS n FROM v WHERE n_words > 0 GROUP BY {vs}),
 {", ".join(rounds)},
 o AS (SELECT {vs}, 1 / (1 + exp(-({log_odds('e')}))) AS posterior FROM p, e{ROUNDS} e)
