@@ -39,7 +39,7 @@ def test_lanes_to_stations(spark):
 
 
 def test_enrich(spark):
-    rows = [("portal-station-1", "2025-09-08T08:00:00-07:00", "80", "1200", "10", "good"), ("portal-station-1", "2025-09-08T08:15:00-07:00", None, "0", "101", "low_sample"), ("portal-station-1", "2025-09-09T00:00:00-07:00", "50", "1", None, "good"), ("x", "no date", "50", "1", None, None)]
+    rows = [("station-1", "2025-09-08T08:00:00-07:00", "80", "1200", "10", "good"), ("station-1", "2025-09-08T08:15:00-07:00", None, "0", "101", "low_sample"), ("station-1", "2025-09-09T00:00:00-07:00", "50", "1", None, "good"), ("x", "no date", "50", "1", None, None)]
     df = spark.createDataFrame(rows, "station_or_segment_id string, timestamp_local string, speed_kph string, volume string, occupancy string, quality_flag string")
     out = observations.enrich(observations.in_dates(df, "timestamp_local", "2025-09-08", "2025-09-08"))
     got = out.orderBy("timestamp_local").collect()
@@ -48,9 +48,9 @@ def test_enrich(spark):
 
 
 def test_profile_compile(spark):
-    rows = [("portal-station-1", "2025-09-08", 480, 80.0, 1000.0), ("portal-station-1", "2025-09-09", 480, 64.0, 1200.0), ("portal-station-1", "2025-09-08", 900, 50.0, 1400.0), ("portal-station-2", "2025-09-08", 480, 70.0, 800.0), ("portal-station-1", "2025-09-08", 720, 60.0, 900.0)]
+    rows = [("station-1", "2025-09-08", 480, 80.0, 1000.0), ("station-1", "2025-09-09", 480, 64.0, 1200.0), ("station-1", "2025-09-08", 900, 50.0, 1400.0), ("station-2", "2025-09-08", 480, 70.0, 800.0), ("station-1", "2025-09-08", 720, 60.0, 900.0)]
     obs = spark.createDataFrame([(*r, 1, True) for r in rows], "station_or_segment_id string, local_date string, minute_of_day int, speed_kph double, volume double, iso_weekday int, profile_eligible boolean")
-    matches = spark.createDataFrame([("portal-station-1", "edge-1", "accepted"), ("portal-station-2", "edge-2", "review")], "station_id string, edge_id string, status string")
+    matches = spark.createDataFrame([("station-1", "edge-1", "accepted"), ("station-2", "edge-2", "review")], "station_id string, edge_id string, status string")
     selected = profiles.eligible_rows(obs)
     joined = profiles.with_edges(selected, matches)
     assert selected.count() == 4 and joined.where("edge_id IS NULL").count() == 1
