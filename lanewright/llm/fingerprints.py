@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
-from hashlib import blake2b, sha256
+from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import require_columns, small_batches
 from .components import connected_components
@@ -30,19 +31,6 @@ BITS, SHINGLE = 128, 3
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000 and len(word) <= 48:
-            self[word] = h
-        return h
-
-
-HASHES = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -50,9 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash of each run of width words; of all words if they are fewer."""
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     width = min(width, len(h))
     if not width:
         return h

@@ -13,26 +13,32 @@ _U = np.uint64
 _ONE = _U(1)
 
 
-def suffix_array(codes: np.ndarray) -> np.ndarray:
-    """By prefix doubling; the suffixes must differ within the array (distinct separators see to it)."""
+def suffix_array(codes: np.ndarray, keep: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """By prefix doubling; the suffixes must differ within the array (distinct separators see to it).
+
+    Also the ranks by the first ``keep`` symbols (a power of two), equal where those are.
+    """
     n = len(codes)
     order = np.argsort(codes, kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], codes[order][1:] != codes[order][:-1]]))
     k = 1
     # Suffixes with a rank of their own are in place; only ties are sorted again.
+    kept = rank if keep else None
     while True:
+        if k == keep:
+            kept = rank.copy()
         tied = np.zeros(n, bool)
         r = rank[order]
         same = r[1:] == r[:-1]
         tied[1:] |= same
         tied[:-1] |= same
         if not same.any():
-            return order
+            return order, rank if k < keep else kept
         at = np.flatnonzero(tied)
         rows = order[at]
         following = np.where(rows + k < n, rank[np.minimum(rows + k, n - 1)] + 1, 0)
-        key = np.lexsort((following, r[at]))
+        key = np.argsort(r[at] * np.int64(n + 1) + following)
         rows, a, b = rows[key], r[at][key], following[key]
         order[at] = rows
         # Old ranks count distinct values before; new ones must keep the order, so they count rows.
@@ -56,8 +62,10 @@ class WaveletMatrix:
             zeros = int(len(bit) - bit.sum())
             self.levels.append((packed, counts.astype(np.uint32), zeros))
             values = np.concatenate([values[bit == 0], values[bit == 1]])
-        # Where the run of a symbol starts on the last level.
-        self.size = len(values)
+        # Where the run of each symbol starts on the last level.
+        self.base = np.zeros(0, np.int64)
+        symbols = np.arange(1 << bits if bits < 4 else int(values.max(initial=0)) + 1)
+        self.base = self._descend(symbols, np.zeros(len(symbols), np.int64))
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
         packed, counts, _ = self.levels[level]
@@ -65,16 +73,17 @@ class WaveletMatrix:
         mask = (_ONE << (i & 63).astype(_U)) - _ONE
         return counts[word].astype(np.int64) + np.bitwise_count(packed[word] & mask)
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        start = np.zeros_like(i)
+    def _descend(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for level in range(self.bits):
             bit = ((symbol >> (self.bits - 1 - level)) & 1).astype(bool)
-            both = self._ones(level, np.concatenate([start, i]))
-            a, b = both[: len(i)], both[len(i) :]
-            zeros = self.levels[level][2]
-            start = np.where(bit, zeros + a, start - a)
-            i = np.where(bit, zeros + b, i - b)
-        return i - start
+            ones = self._ones(level, i)
+            i = np.where(bit, self.levels[level][2] + ones, i - ones)
+        return i
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        known = symbol < len(self.base)
+        s = np.where(known, symbol, 0)
+        return np.where(known, self._descend(s, i) - self.base[s], 0)
 
 
 class FMIndex:
@@ -88,7 +97,7 @@ class FMIndex:
         count = len(separators)
         codes = words + count
         codes[separators] = np.arange(count)[::-1]
-        self.sa = suffix_array(codes)
+        self.sa, self.rank16 = suffix_array(codes, 16)
         bwt = words[self.sa - 1] if len(words) else words
         sigma = int(words.max()) + 1 if len(words) else 1
         self.sigma = sigma
@@ -115,15 +124,18 @@ class FMIndex:
     def groups(self, depth: int) -> np.ndarray:
         """For each place of the suffix array the number of the run of suffixes that share their first ``depth`` symbols; shorter ones stand alone."""
         n = len(self.words)
-        padded = np.concatenate([self.words, np.zeros(depth, self.words.dtype)])
         room = np.concatenate([self.starts[1:] - 1, [n - 1]]) if len(self.starts) else np.zeros(0, np.int64)
         until = np.repeat(room, np.diff(np.concatenate([self.starts, [n]]))) - np.arange(n) if n else np.zeros(0, np.int64)
         same = np.zeros(n, bool)
         if n > 1:
             a, b = self.sa[1:], self.sa[:-1]
             alive = np.flatnonzero((until[a] >= depth) & (until[b] >= depth))
-            for k in range(depth):
-                alive = alive[padded[a[alive] + k] == padded[b[alive] + k]]
+            if 16 <= depth <= 32:  # two overlapping runs of 16
+                for k in (0, depth - 16):
+                    alive = alive[self.rank16[a[alive] + k] == self.rank16[b[alive] + k]]
+            else:
+                for k in range(depth):
+                    alive = alive[self.words[a[alive] + k] == self.words[b[alive] + k]]
             same[alive + 1] = True
         return np.cumsum(~same) - 1
 

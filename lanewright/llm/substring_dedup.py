@@ -7,8 +7,8 @@ A window is WINDOW consecutive words of a document; it is a repeat if its words
    anchors.  Runs of windows with one anchor are segments.  Anchors seen in one document text only, and
    once in it, mark unique windows, and those segments go no further.
 2. The other segments are cut out of the documents and brought together by anchor.  Where an
-   anchor is frequent, its segments are cut into single windows, which are merged before they
-   move; so no place gathers many rows.
+   anchor is frequent, its segments are cut into single windows.  A task sends a content once, so a
+   place gathers at most FREQUENT rows, or of a single window one for each task.
 3. The distinct segments of a place are indexed in shards of bounded size (suffix array, BWT,
    wavelet matrix).  They are streamed against the index from right to left by backward search; where
    the matching statistic reaches WINDOW, the suffix interval of the window tells its first
@@ -28,7 +28,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
-from hashlib import blake2b, sha256
+from hashlib import sha256
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, require_columns, small_batches
-from .fingerprints import _M1, HASHES, mix
+from .fingerprints import _M1, mix, word_hashes
 from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 20, 4
@@ -45,79 +46,96 @@ FREQUENT = 2000  # rows of an anchor from which segments are cut into windows
 SHARD_WORDS = 300_000
 BROADCAST_ANCHORS = 4_000_000
 EMPTY = sha256(b"").hexdigest()
-
-
-def gram_hashes(words: list[bytes]) -> np.ndarray:
-    """Hashes of the runs of ANCHOR words; none for texts without a window."""
-    if len(words) < WINDOW:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    grams = h[: len(h) - ANCHOR + 1].copy()
-    for k in range(1, ANCHOR):
-        grams = mix(grams * _M1 + h[k : k + len(grams)])
-    return grams
-
-
-def segments(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, first window and number of windows of each run of windows with one anchor."""
-    n = len(grams) + ANCHOR - WINDOW
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # The minimum over the grams of a window, by doubling.
-    span, width, least = WINDOW - ANCHOR + 1, 1, grams
-    while width < span:
-        step = min(width, span - width)
-        least = np.minimum(least[:-step], least[step:])
-        width += step
-    cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    counts = np.diff(np.concatenate([cuts, [n]]))
-    if counts.max() > LONGEST:
-        cuts = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(cuts, counts, strict=True)])
-        counts = np.diff(np.concatenate([cuts, [n]]))
-    return least[cuts], cuts, counts
-
-
-def _doc_key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, digests, keys, anchors, again = [], [], [], [], []
-        for text in b.column(1).to_pylist():
-            words = (text or "").encode().split()
-            digest = sha256(b" ".join(words))
-            grams = gram_hashes(words)
-            found = np.unique(segments(grams)[0].view(np.int64))
-            # An anchor that stands twice in a text may mark repeats within it.
-            place = np.minimum(np.searchsorted(found, signed := grams.view(np.int64)), max(0, len(found) - 1))
-            twice = np.bincount(place[found[place] == signed], minlength=len(found)) > 1
-            n.append(len(words)), digests.append(digest.hexdigest()), keys.append(_doc_key(digest.digest()))
-            anchors.append(found), again.append(found[twice])
-        lists = pa.list_(pa.int64())
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.int64()), pa.array(anchors, lists), pa.array(again, lists)], ["doc_id", "n_words", "sha", "doc_key", "anchors", "again"])
-
-
-def _cut(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
-    """Texts with repeated anchors, and their segments: first window, windows, and whether single."""
-    common = None if shared is None else shared.value
-    for b in batches:
-        rows: list[tuple] = []
-        for i, text in enumerate(b.column(1).to_pylist()):
-            words = (text or "").encode().split()
-            anchor, at, count = segments(gram_hashes(words))
-            if not len(anchor):
-                continue
-            found, frequent = common if common is not None else (np.sort(np.array(b.column("found")[i].as_py(), np.int64)), np.sort(np.array(b.column("frequent")[i].as_py(), np.int64)))
-            signed = anchor.view(np.int64)
-            keep = _member(found, signed)
-            if keep.any():
-                often = _member(frequent, signed[keep])
-                rows.append((i, _doc_key(sha256(b" ".join(words)).digest()), signed[keep], at[keep], count[keep], often))
-        index, keys, *lists = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
-        picked = b.select(["doc_id", "text"]).take(pa.array(index, pa.int64()))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.record_batch([*picked.columns, pa.array(keys, pa.int64()), *(pa.array([x.tolist() for x in y], pa.list_(k)) for y, k in zip(lists, kinds, strict=True))], ["doc_id", "text", "doc_key", "anchors", "at", "count", "often"])
+_B1, _B2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
+
+
+class Batch:
+    """The words of a batch of texts in a row, and the segments of their windows."""
+
+    def __init__(self, texts: list[str | None]):
+        self.words = [(t or "").encode().split() for t in texts]
+        self.lengths = np.fromiter(map(len, self.words), np.int64, len(texts))
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1] if len(texts) else np.zeros(0, np.int64)
+        self.flat = list(chain.from_iterable(self.words))
+        n = len(self.flat)
+        self.hashes = h = word_hashes(self.flat)
+        self.anchor, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.uint64)
+        if n >= WINDOW:
+            self.grams = grams = self._grams(h)
+            # The minimum over the grams of a window, by doubling.
+            span, width, least = WINDOW - ANCHOR + 1, 1, grams
+            while width < span:
+                step = min(width, span - width)
+                least = np.minimum(least[:-step], least[step:])
+                width += step
+            # Windows that stay in a text.
+            inside = np.zeros(n + 1, np.int64)
+            long = self.lengths >= WINDOW
+            inside[self.starts[long]] += 1
+            inside[self.starts[long] + self.lengths[long] - WINDOW + 1] -= 1
+            at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+            if len(at):
+                value = least[at]
+                cut = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)]))
+                count = np.diff(np.concatenate([cut, [len(at)]]))
+                if count.max() > LONGEST:
+                    cut = np.concatenate([np.arange(a, a + c, LONGEST) for a, c in zip(cut, count, strict=True)])
+                    count = np.diff(np.concatenate([cut, [len(at)]]))
+                self.anchor, self.first, self.count = value[cut].view(np.int64), at[cut], count
+        self.row = np.searchsorted(self.starts, self.first, "right") - 1
+
+    @staticmethod
+    def _grams(h: np.ndarray) -> np.ndarray:
+        n = len(h) - ANCHOR + 1
+        out = h[:n].copy()
+        for k in range(1, ANCHOR):
+            out = mix(out * _M1 + h[k : k + n])
+        return out
+
+    def anchors(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each text its distinct anchors, and those that may mark repeats within it.
+
+        An anchor repeats in a text if it has two segments, or two places in one.
+        """
+        span = WINDOW - ANCHOR + 1
+        twice = self.count > span
+        rest = np.flatnonzero(~twice)
+        first, grams, value = self.first[rest], self.count[rest] + span - 1, self.anchor[rest]
+        hits = np.zeros(len(rest), np.int64)
+        signed = self.grams.view(np.int64)
+        for k in range(2 * span - 1):
+            hits += (k < grams) & (signed[np.minimum(first + k, len(signed) - 1)] == value) if len(rest) else 0
+        twice[rest[hits > 1]] = True
+        order = np.lexsort((self.anchor, self.row))
+        row, anchor, again = self.row[order], self.anchor[order], twice[order]
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])]) if len(row) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        many = (np.bincount(group) > 1) | (np.bincount(group, again) > 0) if len(row) else np.zeros(0, bool)
+        row, anchor = row[new], anchor[new]
+        cuts = np.searchsorted(row, np.arange(1, len(self.lengths)))
+        cuts_many = np.searchsorted(row[many], np.arange(1, len(self.lengths)))
+        return np.split(anchor, cuts), np.split(anchor[many], cuts_many)
+
+    def pieces(self, found: np.ndarray, frequent: np.ndarray) -> dict[str, np.ndarray]:
+        """Segments with found anchors, those with frequent ones as single windows: row, key, two digests, place and length."""
+        keep = _member(found, self.anchor)
+        row, anchor, first, count = self.row[keep], self.anchor[keep], self.first[keep], self.count[keep]
+        single = _member(frequent, anchor)
+        times = np.where(single, count, 1)
+        again = np.repeat(np.arange(len(row)), times)
+        step = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        row, anchor, single = row[again], anchor[again], single[again]
+        first, count = first[again] + step, np.where(single, 1, count[again])
+        last = first + count + WINDOW - 1
+        digests = []
+        for base, h in ((_B1, self.hashes), (_B2, mix(self.hashes + _M1))):
+            # Sums of hash * base ** place, moved to place 0 by the inverse powers.
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), base, np.uint64)]))
+            back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h), pow(int(base), -1, 1 << 64), np.uint64)]))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[:-1])])
+            digests.append(mix(((sums[last] - sums[first]) * back[first])).view(np.int64))
+        return {"row": row, "key": np.where(single, digests[0], anchor), "d1": digests[0], "d2": digests[1], "first": first, "at": first - self.starts[row], "count": count, "single": single}
 
 
 def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -126,33 +144,53 @@ def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[tuple]:
-    """doc_id, doc_key, key, content digest, first window, windows, whether single, words."""
-    for doc_id, text, doc_key, anchors, at, count, often in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "doc_key", "anchors", "at", "count", "often")), strict=True):
-        words = text.encode().split()
-        for a, i, n, single in zip(anchors, at, count, often, strict=True):
-            for j in range(i, i + n) if single else (i,):
-                k = 1 if single else n
-                content = b" ".join(words[j : j + k + WINDOW - 1])
-                digest = blake2b(content, digest_size=16, key=b"" if single else a.to_bytes(8, "little", signed=True)).digest()
-                yield doc_id, doc_key, int.from_bytes(digest[:8], "little", signed=True) if single else a, digest, j, k, single, content
+def _doc_key(words: list[bytes]) -> int:
+    return int.from_bytes(sha256(b" ".join(words)).digest()[:8], "little", signed=True)
 
 
-def _contents(batches: Iterable[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
-    """Contents of one kind, each once a batch with its first place there."""
+def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lists = pa.list_(pa.int64())
     for b in batches:
-        first: dict[bytes, tuple] = {}
-        for doc_id, _, key, digest, at, _, often, content in _parts(b):
-            if often == single and (digest not in first or (doc_id, at) < first[digest][1:3]):
-                first[digest] = (key, doc_id, at, content)
-        cols = list(zip(*first.values(), strict=True)) or [[], [], [], []]
-        yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(first.keys(), pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["key", "digest", "doc", "at", "content"])
+        batch = Batch(b.column(1).to_pylist())
+        digests = [sha256(b" ".join(w)) for w in batch.words]
+        keys = [int.from_bytes(d.digest()[:8], "little", signed=True) for d in digests]
+        anchors, again = batch.anchors() if b.num_rows else ([], [])
+        yield pa.record_batch([b.column(0), pa.array(batch.lengths), pa.array([d.hexdigest() for d in digests], pa.string()), pa.array(keys, pa.int64()), pa.array(anchors, lists), pa.array(again, lists)], ["doc_id", "n_words", "sha", "doc_key", "anchors", "again"])
+
+
+def _tables(b: pa.RecordBatch, shared) -> tuple[np.ndarray, np.ndarray]:
+    """Repeated and frequent anchors: broadcast, or those of the batch's texts."""
+    if shared is not None:
+        return shared.value
+    one = lambda c: np.unique(np.array([x for row in b.column(c).to_pylist() for x in row], np.int64))
+    return one("found"), one("frequent")
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    """Contents with their places, a content again only at a smaller place than before in the task."""
+    seen: dict[tuple[int, int], tuple[int, int]] = {}
     for b in batches:
-        cols = list(zip(*((d, k, g, j, n) for d, k, _, g, j, n, _, _ in _parts(b)), strict=True)) or [[]] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "doc_key", "digest", "at", "count"])
+        ids = b.column("doc_id").to_pylist()
+        batch = Batch(b.column("text").to_pylist())
+        p = batch.pieces(*_tables(b, shared))
+        if len(seen) > 500_000:
+            seen.clear()
+        rows = []
+        for r, key, d1, d2, first, at, count in zip(*(p[c].tolist() for c in ("row", "key", "d1", "d2", "first", "at", "count")), strict=True):
+            place, before = (ids[r], at), seen.get((d1, d2))
+            if before is None or place < before:
+                seen[d1, d2] = place
+                rows.append((key, d1, d2, *place, b" ".join(batch.flat[first : first + count + WINDOW - 1])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "d1", "d2", "doc", "at", "content"])
+
+
+def _occurrences(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        batch = Batch(b.column("text").to_pylist())
+        p = batch.pieces(*_tables(b, shared))
+        keys = np.array([_doc_key(w) for w in batch.words], np.int64)
+        yield pa.record_batch([b.column("doc_id").take(pa.array(p["row"])), pa.array(keys[p["row"]]), pa.array(p["d1"]), pa.array(p["d2"]), pa.array(p["at"], pa.int32()), pa.array(p["count"], pa.int32())], ["doc_id", "doc_key", "d1", "d2", "at", "count"])
 
 
 def first_places(contents: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
@@ -178,59 +216,69 @@ def first_places(contents: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     return out
 
 
+def _runs(places: np.ndarray) -> bytes:
+    """(doc, place) of successive windows as runs: doc, first place, length."""
+    cut = np.flatnonzero(np.concatenate([[True], (places[1:, 0] != places[:-1, 0]) | (places[1:, 1] != places[:-1, 1] + 1)]))
+    return np.column_stack([places[cut], np.diff(np.concatenate([cut, [len(places)]]))]).astype("<i8").tobytes()
+
+
 def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shards of rows sorted by key; the rows of a key stay together."""
 
     def answer(rows: list) -> pa.RecordBatch:
-        first: dict[bytes, tuple] = {}
-        for _, digest, doc, at, content in rows:
-            if digest not in first or (doc, at) < first[digest][1:]:
-                first[digest] = (content, doc, at)
+        first: dict[tuple[int, int], tuple] = {}
+        for _, d1, d2, doc, at, content in rows:
+            if (d1, d2) not in first or (doc, at) < first[d1, d2][1:]:
+                first[d1, d2] = (content, doc, at)
         places = first_places(list(first.values()))
-        return pa.record_batch([pa.array(first.keys(), pa.binary()), pa.array([p.astype("<i8").tobytes() for p in places], pa.binary())], ["digest", "places"])
+        return pa.record_batch([pa.array([d[0] for d in first], pa.int64()), pa.array([d[1] for d in first], pa.int64()), pa.array([_runs(p) for p in places], pa.binary())], ["d1", "d2", "places"])
 
     rows, size, key = [], 0, None
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("key", "digest", "doc", "at", "content")), strict=True):
+        for row in zip(*(b.column(c).to_pylist() for c in ("key", "d1", "d2", "doc", "at", "content")), strict=True):
             if size > SHARD_WORDS and row[0] != key:
                 yield answer(rows)
                 rows, size = [], 0
             key = row[0]
             rows.append(row)
-            size += row[4].count(b" ") + 2
+            size += row[5].count(b" ") + 2
     if rows:
         yield answer(rows)
 
 
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows of each occurrence."""
+    """Runs of repeated windows of each occurrence, a batch at a time."""
     for b in batches:
-        out = []
-        for doc_id, doc_key, at, n, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "doc_key", "at", "count", "places")), strict=True):
-            p = np.frombuffer(places, "<i8").reshape(-1, 2)
-            again = (p[:, 0] != doc_id) | (p[:, 1] != at + np.arange(n))
-            if again.all():
-                out.append((doc_id, doc_key, at, n))
-            elif again.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-                out += [(doc_id, doc_key, at + int(x), int(y - x)) for x, y in zip(edge[::2], edge[1::2], strict=True)]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "doc_key", "at", "count"])
+        raw = b.column("places").to_pylist()
+        runs = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 3)
+        number = np.array([len(x) // 24 for x in raw], np.int64)
+        at, count = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "count"))
+        # Each run of first places against the occurrence's own.
+        row = np.repeat(np.arange(len(raw)), number)
+        ends = np.cumsum(runs[:, 2]) if len(runs) else np.zeros(0, np.int64)
+        offset = ends - runs[:, 2] - np.repeat(np.cumsum(count) - count, number)
+        doc = b.column("doc_id").to_numpy(zero_copy_only=False)
+        again = (runs[:, 0] != doc[row]) | (runs[:, 1] != at[row] + offset)
+        row, start, length = row[again], (at[row] + offset)[again], runs[again, 2]
+        take = pa.array(row)
+        yield pa.record_batch([b.column("doc_id").take(take), b.column("doc_key").take(take), pa.array(start, pa.int32()), pa.array(length, pa.int32())], ["doc_id", "doc_key", "at", "count"])
 
 
 def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        removed, kept = [], []
+        keys, removed, kept = [], [], []
         for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
-            words = text.encode().split()
+            words = (text or "").encode().split()
+            keys.append(_doc_key(words))
             depth = np.zeros(len(words) + 1, np.int64)
             for r in runs:
-                depth[r["at"]] += 1
-                depth[r["at"] + r["count"] + WINDOW - 1] -= 1
+                if r["doc_key"] == keys[-1]:
+                    depth[r["at"]] += 1
+                    depth[r["at"] + r["count"] + WINDOW - 1] -= 1
             gone = np.cumsum(depth)[:-1] > 0
             removed.append(int(gone.sum()))
-            kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
-        yield pa.record_batch([b.column("doc_id"), b.column("doc_key"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "doc_key", "n_removed", "kept"])
+            kept.append(b" ".join(compress(words, (~gone).tolist())).decode())
+        yield pa.record_batch([b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "doc_key", "n_removed", "kept"])
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -245,31 +293,27 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seen = F.concat(F.transform("anchors", lambda a: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"))))
     anchors = scans.select(F.explode(seen).alias("s")).groupBy("s.anchor").agg(F.min("s.k").alias("low"), F.max("s.k").alias("high"), F.count("*").alias("n"))
     anchors = materialize(anchors.where("low <> high").select("anchor", (F.col("n") > FREQUENT).alias("often")), "anchors")
+    shared = None
     if anchors.count() <= BROADCAST_ANCHORS:  # at most 32 MB; texts need not move
         table = anchors.toArrow()
-        found, often = table.column(0).to_numpy(), table.column(1).to_numpy()
-        shared = spark.sparkContext.broadcast((np.sort(found.astype(np.int64)), np.sort(found[often.astype(bool)].astype(np.int64))))
-        cut = texts.mapInArrow(partial(_cut, shared=shared), CUT)
+        found, often = table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy().astype(bool)
+        shared = spark.sparkContext.broadcast((np.sort(found), np.sort(found[often])))
+        source = texts
     else:
-        of_doc = scans.select("doc_id", "doc_key", F.explode("anchors").alias("anchor")).join(anchors, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("found"), F.collect_set(F.when(F.col("often"), F.col("anchor"))).alias("frequent"))
-        cut = texts.join(of_doc, "doc_id").mapInArrow(_cut, CUT)
-    cut = materialize(cut, "cut")
-    shape = "key long, digest binary, doc long, at int, content binary"
-    single = cut.where(F.exists("often", lambda x: x)).mapInArrow(partial(_contents, single=True), shape)
-    single = single.groupBy("key", "digest").agg(F.min(F.struct("doc", "at", "content")).alias("m")).select("key", "digest", "m.doc", "m.at", "m.content")
-    contents = cut.mapInArrow(partial(_contents, single=False), shape).unionByName(single)
+        of_doc = scans.select("doc_id", F.explode("anchors").alias("anchor")).join(anchors, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("found"), F.collect_set(F.when(F.col("often"), F.col("anchor"))).alias("frequent"))
+        source = materialize(texts.join(of_doc, "doc_id"), "source")
+    shape = "key long, d1 long, d2 long, doc long, at int, content binary"
+    contents = source.mapInArrow(partial(_contents, shared=shared), shape)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    places = contents.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search, "digest binary, places binary")
-    runs = cut.mapInArrow(_occurrences, "doc_id long, doc_key long, digest binary, at int, count int").join(places, "digest").select("doc_id", "doc_key", "at", "count", "places").mapInArrow(_compare, "doc_id long, doc_key long, at int, count int")
-    by_doc = runs.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("at", "count")).alias("runs"))
-    changed = cut.select("doc_id", "doc_key", "text").join(by_doc, ["doc_id", "doc_key"]).mapInArrow(_remove, "doc_id long, doc_key long, n_removed long, kept string")
+    places = contents.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search, "d1 long, d2 long, places binary")
+    own = source.mapInArrow(partial(_occurrences, shared=shared), "doc_id long, doc_key long, d1 long, d2 long, at int, count int")
+    runs = own.join(places, ["d1", "d2"]).select("doc_id", "doc_key", "at", "count", "places").mapInArrow(_compare, "doc_id long, doc_key long, at int, count int")
+    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("doc_key", "at", "count")).alias("runs"))
+    changed = texts.join(by_doc, "doc_id").mapInArrow(_remove, "doc_id long, doc_key long, n_removed long, kept string")
     classes = scans.groupBy("sha").agg(F.min("doc_id").alias("first"))
     return scans.drop("anchors", "again"), classes, changed.dropDuplicates(["doc_id", "doc_key"])
 
 
-CUT = "doc_id long, text string, doc_key long, anchors array<long>, at array<int>, count array<int>, often array<boolean>"
-
-
 def dedup_report(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_words, n_removed, kept_sha256."""
     scans, classes, changed = find_repeats(docs)
