@@ -8,10 +8,13 @@ at most REGION rows gives all its pairs as candidates; a larger one goes on to t
 rows are compared with their next neighbours in the order (the longest common prefixes) and with
 the region's HUBS most central rows, which finds groups around one original.  Candidates with an
 estimated similarity of at least the threshold less SLACK (over four standard deviations) are
-confirmed on the full sets: first a spanning forest of each region, likeliest first; then, where a
-region still holds more than one group, all its candidates between groups.  So a group of n near
-copies costs about n comparisons and no link between groups is passed over.  Orders are cut by range,
-not by key, so no group lands in one task.
+confirmed on the full sets: first a spanning forest of each region, likeliest first.  Then links
+between the groups found so far are looked for in each region that holds more than one: all pairs in
+regions of at most REGION rows, and for the rows of larger ones an exact join (exact_pairs): with
+shingles in one order, rarest first, two sets that are linked share one of their first few, so no
+number of rows, hubs or depth bounds what is found.  What can be missed is a pair that shares no
+region in any of the orders, (1 - s ** FIRST) ** TREES at similarity s: 4e-7 at 0.85.  A group of n
+near copies costs about n comparisons.
 
 Cases: null or empty text has the empty set and is linked with nothing; a text of fewer than
 five words has one shingle; rows that repeat a doc_id count as one document with a set for each
@@ -36,6 +39,7 @@ from .fingerprints import shingle_hashes
 HASHES, TREES, FIRST, PATH, SHINGLE = 128, 20, 4, 10, 5
 REGION, NEIGHBOURS, HUBS, SAMPLE = 64, 32, 16, 64
 SLACK = 0.15
+CHUNK = 256
 BROADCAST_IDS, BROADCAST_SETS = 1_000_000, 64 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -239,6 +243,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
 
+def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = b.column("set").to_pylist()
+        digests = [blake2b(x, digest_size=16).digest() for x in sets]
+        shingles = [np.frombuffer(x, "<i8") for x in sets]
+        yield pa.record_batch([b.column("doc_id"), pa.array(digests, pa.binary()), b.column("group"), pa.array([len(x) for x in shingles], pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["doc_id", "digest", "group", "n", "shingles"])
+
+
+def exact_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) among which are all links between different groups: sets (doc_id, set), groups (doc_id, group).
+
+    Sets of x >= y shingles that are linked share at least need = percent * (x + y) / (100 + percent)
+    of them, so the first shared one stands in the first x - need + 1 and y - need + 1 of any common
+    order.  Rare shingles come first in it; those of one group only take places but are not joined.
+    A frequent shingle is dealt to several tasks in chunks of its rows.
+    """
+    s = sets.distinct().join(groups, "doc_id").select("doc_id", "set", "group").mapInArrow(_shingles, "doc_id long, digest binary, group long, n long, shingles array<long>")
+    s = materialize(s.where("n > 0"), "shingles")
+    each = s.select("doc_id", "digest", "group", "n", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("group").alias("low"), F.max("group").alias("high"))
+    shared = shared.where("often > 1").select("shingle", "often", (F.col("low") != F.col("high")).alias("mixed"))
+    placed = each.join(shared, "shingle", "left").select("doc_id", "digest", "group", "n", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle", F.coalesce("mixed", F.lit(False)).alias("mixed")).alias("p"))
+    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
+    lists = placed.groupBy("doc_id", "digest", "group", "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    posts = lists.select("doc_id", "group", "n", F.posexplode(F.slice("p", F.lit(1), first)).alias("at", "p")).where("p.mixed")
+    posts = materialize(posts.select("doc_id", "group", "n", "at", "p.shingle", F.expr(f"(p.often + {CHUNK - 1}) div {CHUNK}").alias("chunks")), "posts")
+    y = posts.where(f"at < n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
+    y = y.select("shingle", F.pmod(F.xxhash64("doc_id", "n"), F.col("chunks")).alias("chunk"), *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "group", "n", "at")))
+    x = posts.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "doc_id", "group", "n", "at")
+    both = x.join(y, ["shingle", "chunk"]).where(f"group <> group_y AND doc_id <> doc_id_y AND n >= n_y AND 100 * n_y >= {percent} * n AND {100 + percent} * least(n - at, n_y - at_y) >= {percent} * (n + n_y)")
+    return both.select(F.least("doc_id", "doc_id_y").alias("a"), F.greatest("doc_id", "doc_id_y").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, in links of 100 * intersection >= percent * union."""
     require_columns(docs, ["doc_id", "text"])
@@ -258,19 +295,24 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = _candidates(rows.withColumn("group", F.lit(0).cast("long")), partial(_forest, least=least))
     links = _confirmed(first, _set_table(texts, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), percent)
     links = materialize(links, "links")
-    # Regions that hold more than one group go through the orders again, for links between groups.
+    # Regions that hold more than one group go through again, for links between groups.
     groups = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     grouped = rows.join(groups, "doc_id", "left").select(*rows.columns, F.coalesce("c", "doc_id").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
-    mixed = materialize(grouped.join(mixed, "key", "left_semi"), "mixed")
-    sets = _set_table(texts, mixed.select("doc_id").distinct())
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", (F.col("n") > REGION).alias("large"))
+    mixed = materialize(grouped.join(mixed, "key"), "mixed")
+    small, large = mixed.where("NOT large").drop("large"), mixed.where("large").select("doc_id", "group").distinct()
+    sets = _set_table(texts, small.select("doc_id").distinct())
     if (sets.agg(F.sum(F.octet_length("set"))).head()[0] or 0) <= BROADCAST_SETS:
         # Sets of that bounded size go along, and tasks confirm candidates as they find them.
         table = sets.toArrow()
         known = spark.sparkContext.broadcast(list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)))
-        more = _candidates(mixed, partial(_forest, least=least, between=True, sets=known, percent=percent))
+        more = _candidates(small, partial(_forest, least=least, between=True, sets=known, percent=percent))
     else:
-        more = _confirmed(_candidates(mixed, partial(_forest, least=least, between=True)), sets, percent)
+        more = _confirmed(_candidates(small, partial(_forest, least=least, between=True)), sets, percent)
+    if not large.isEmpty():
+        sets = _set_table(texts, large.select("doc_id"))
+        pairs = materialize(exact_pairs(sets, large, percent), "pairs")
+        more = more.unionByName(_confirmed(pairs, sets, percent))
     groups = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
     named = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("c", "doc_id"))

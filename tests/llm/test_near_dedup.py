@@ -89,3 +89,65 @@ def test_pieces_of_a_huge_region_stay_linked():
 def test_small_regions(n):
     i, _ = nd.region_pairs(np.zeros((n, nd.PATH), np.uint32), np.zeros((n, nd.HASHES), np.uint8))
     assert len(i) == (n == 2)
+
+
+def family(n, pairs, seed=9):
+    """n texts of one template, mutually at about 0.77, and copies of some at 0.87 to 0.90."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(10, 300, 10), 4):
+            w[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    for k in range(pairs):
+        w = rows[k * (n // pairs)][1].split()
+        for at in (95, 195, 245, 285)[: 3 + k % 2]:
+            w[at] = f"y{rng.randrange(10**9)}"
+        rows.append((n + k, " ".join(w)))
+    return rows
+
+
+def all_links(sets, percent=85):
+    """Links (numbers a < b) by brute force: frequent shingles by one matrix, the others by their lists."""
+    places = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            places.setdefault(x, []).append(i)
+    often = [p for p in places.values() if len(p) >= 50]
+    matrix = np.zeros((len(sets), len(often)), np.float32)
+    for k, p in enumerate(often):
+        matrix[p, k] = 1
+    both = (matrix @ matrix.T).astype(np.int64)
+    for p in places.values():
+        if 1 < len(p) < 50:
+            both[np.ix_(p, p)] += 1
+    n = np.array([len(s) for s in sets])
+    a, b = np.nonzero(100 * both >= percent * (n[:, None] + n - both))
+    return [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y]
+
+
+def test_exact_pairs_of_groups(spark):
+    rows = family(150, 10) + [(1000, "a b c"), (1001, "a b c"), (1001, "d"), (1002, None)]
+    sets = [(d, nd.shingle_set(t)) for d, t in rows]
+    table = spark.createDataFrame([(d, bytes(s.tobytes())) for d, s in sets], "doc_id long, set binary")
+    for percent in (85, 80, 70):
+        group = {d: d if d % 3 else 0 for d, _ in rows}
+        groups = spark.createDataFrame(list(group.items()), "doc_id long, group long")
+        got = {tuple(r) for r in nd._confirmed(nd.exact_pairs(table, groups, percent), table, percent).collect()}
+        want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if a != b and group[a] != group[b] and len(x) and len(y) and nd._linked(x, y, percent)}
+        assert got == want and want
+
+
+def test_few_pairs_in_a_family_of_thousands(spark):
+    rows = family(2000, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in nd.near_components(docs).collect()}
+    want = list(range(len(rows)))
+    links = all_links([nd.shingle_set(t) for _, t in rows])
+    assert 40 <= len(links) < 400
+    for _ in range(20):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert [got[d] for d, _ in rows] == want
