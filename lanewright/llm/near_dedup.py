@@ -16,6 +16,10 @@ number of rows, hubs or depth bounds what is found.  What can be missed is a pai
 region in any of the orders, (1 - s ** FIRST) ** TREES at similarity s: 4e-7 at 0.85.  A group of n
 near copies costs about n comparisons.
 
+Small regions are dealt whole, by key.  Larger ones are cut by range, so no group lands in one task; the
+most central rows of all pieces of a region are its hubs in each of them, so a group around one
+original is found whichever piece the original is in.
+
 Cases: null or empty text has the empty set and is linked with nothing; a text of fewer than
 five words has one shingle; rows that repeat a doc_id count as one document with a set for each
 text; no documents give no rows; extra columns are ignored.
@@ -39,7 +43,7 @@ from .fingerprints import shingle_hashes
 HASHES, TREES, FIRST, PATH, SHINGLE = 128, 20, 4, 10, 5
 REGION, NEIGHBOURS, HUBS, SAMPLE = 64, 32, 16, 64
 SLACK = 0.15
-CHUNK = 256
+CHUNK, PIECE = 256, 20_000
 BROADCAST_IDS, BROADCAST_SETS = 1_000_000, 64 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -174,7 +178,7 @@ def _forest(batches: Iterable[pa.RecordBatch], least: float, between: bool = Fal
     for b in batches:
         for k, doc, path, sig, group in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "path", "signature", "group")), strict=True):
             # A very large region is taken in pieces; the neighbours of a piece go on into the next one.
-            if k != key or len(rows) >= 20_000:
+            if k != key or len(rows) >= PIECE:
                 if (out := pairs(rows)) is not None:
                     yield out
                 rows = rows[-NEIGHBOURS:] if k == key else []
@@ -184,6 +188,43 @@ def _forest(batches: Iterable[pa.RecordBatch], least: float, between: bool = Fal
         yield out
 
 
+def _hubs(batches: Iterable[pa.RecordBatch], piece: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The HUBS most central rows of each piece of a region in a sorted part."""
+    key, rows = None, []
+
+    def central() -> pa.RecordBatch:
+        sig = np.stack([np.frombuffer(s, np.uint8) for _, s in rows])
+        score = np.zeros(len(rows))
+        some = np.unique(np.linspace(0, len(rows) - 1, SAMPLE).astype(int))
+        for at in some:
+            score += (sig == sig[at]).mean(1)
+        best = np.argsort(-score, kind="stable")[:HUBS]
+        return pa.record_batch([pa.array([key] * len(best), pa.int64()), pa.array([rows[i][0] for i in best], pa.int64()), pa.array([rows[i][1] for i in best], pa.binary()), pa.array(score[best] / len(some))], ["key", "doc_id", "signature", "score"])
+
+    for b in batches:
+        for k, doc, sig in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "signature")), strict=True):
+            if rows and (k != key or len(rows) >= piece):
+                yield central()
+                rows = []
+            key = k
+            rows.append((doc, sig))
+    if rows:
+        yield central()
+
+
+def _nearest_hub(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Each row with the hub of its region that is likest to it."""
+    for b in batches:
+        left, right = [], []
+        for doc, sig, hubs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "signature", "hubs")), strict=True):
+            if hubs := [h for h in hubs if h["doc_id"] != doc]:
+                est = (np.stack([np.frombuffer(h["signature"], np.uint8) for h in hubs]) == np.frombuffer(sig, np.uint8)).mean(1)
+                if est.max() >= least:
+                    other = hubs[int(est.argmax())]["doc_id"]
+                    left.append(min(doc, other)), right.append(max(doc, other))
+        yield pa.record_batch([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The path in an order, and a byte of each minhash value for the estimate."""
     for b in batches:
@@ -192,7 +233,7 @@ def _paths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = np.frombuffer(s, "<u4")
             path.append(sig[_ORDERS[t]].astype(">u4").tobytes())
             short.append(sig.astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(path, pa.binary()), pa.array(short, pa.binary())], ["key", "doc_id", "path", "signature"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(path, pa.binary()), pa.array(short, pa.binary()), b.column("large")], ["key", "doc_id", "path", "signature", "large"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch], ids=None) -> Iterator[pa.RecordBatch]:
@@ -220,11 +261,32 @@ def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield out.filter(pa.array(linked, pa.bool_()))
 
 
-def _candidates(rows: DataFrame, find) -> DataFrame:
-    """Distinct pairs (a, b) that find gives for the rows put in their orders across the cluster."""
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Rows of large regions put in their orders across the cluster."""
     salt = F.xxhash64("key", "doc_id")
-    ordered = rows.repartitionByRange("key", "path", salt).sortWithinPartitions("key", "path", salt)
-    return materialize(ordered.mapInArrow(find, "a long, b long").where("a < b").distinct(), "candidates")
+    return rows.repartitionByRange("key", "path", salt).sortWithinPartitions("key", "path", salt)
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """Rows of regions of at most REGION rows, each region in one part."""
+    return rows.repartition("key").sortWithinPartitions("key", "path", F.xxhash64("key", "doc_id"))
+
+
+def hub_pairs(rows: DataFrame, least: float, piece: int = PIECE) -> DataFrame:
+    """Pairs (a, b) of each row of a region in several pieces with the likest of the region's hubs."""
+    hubs = _in_order(rows).mapInArrow(partial(_hubs, piece=piece), "key long, doc_id long, signature binary, score double")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "doc_id", "signature")), asc=False), 1, HUBS)
+    # A single piece gives HUBS rows at most, and its rows meet its hubs there.
+    hubs = hubs.groupBy("key").agg(F.count("*").alias("n"), best.alias("hubs")).where(f"n > {HUBS}").select("key", "hubs")
+    return rows.join(hubs, "key").select("doc_id", "signature", "hubs").mapInArrow(partial(_nearest_hub, least=least), "a long, b long")
+
+
+def _candidates(small: DataFrame, find, *others: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that find gives for small regions, and those of others."""
+    pairs = _whole(small).mapInArrow(find, "a long, b long")
+    for other in others:
+        pairs = pairs.unionByName(other)
+    return materialize(pairs.where("a < b").distinct(), "candidates")
 
 
 def _set_table(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -288,19 +350,21 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = materialize(first.select("digest", F.col("f.doc_id").alias("rep"), F.col("f.keys").alias("keys")), "classes")
     classes = first.select("digest", "rep")
     places = first.select("digest", F.col("rep").alias("doc_id"), F.posexplode("keys").alias("tree", "key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = places.join(shared, "key").join(sketches.select("doc_id", "digest", "signature"), ["doc_id", "digest"]).select("tree", "key", "doc_id", "signature")
-    rows = materialize(rows.mapInArrow(_paths, "key long, doc_id long, path binary, signature binary"), "rows")
+    shared = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > REGION).alias("large"))
+    rows = places.join(shared, "key").join(sketches.select("doc_id", "digest", "signature"), ["doc_id", "digest"]).select("tree", "key", "doc_id", "signature", "large")
+    rows = materialize(rows.mapInArrow(_paths, "key long, doc_id long, path binary, signature binary, large boolean"), "rows")
     least = percent / 100 - SLACK
-    first = _candidates(rows.withColumn("group", F.lit(0).cast("long")), partial(_forest, least=least))
+    alone = rows.withColumn("group", F.lit(0).cast("long"))
+    large, spanning = alone.where("large"), partial(_forest, least=least)
+    first = _candidates(alone.where("NOT large"), spanning, _in_order(large).mapInArrow(spanning, "a long, b long"), hub_pairs(large, least))
     links = _confirmed(first, _set_table(texts, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), percent)
     links = materialize(links, "links")
     # Regions that hold more than one group go through again, for links between groups.
     groups = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
     grouped = rows.join(groups, "doc_id", "left").select(*rows.columns, F.coalesce("c", "doc_id").alias("group"))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", (F.col("n") > REGION).alias("large"))
-    mixed = materialize(grouped.join(mixed, "key"), "mixed")
-    small, large = mixed.where("NOT large").drop("large"), mixed.where("large").select("doc_id", "group").distinct()
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+    mixed = materialize(grouped.join(mixed, "key", "left_semi"), "mixed")
+    small, large = mixed.where("NOT large"), mixed.where("large").select("doc_id", "group").distinct()
     sets = _set_table(texts, small.select("doc_id").distinct())
     if (sets.agg(F.sum(F.octet_length("set"))).head()[0] or 0) <= BROADCAST_SETS:
         # Sets of that bounded size go along, and tasks confirm candidates as they find them.

@@ -151,3 +151,34 @@ def test_few_pairs_in_a_family_of_thousands(spark):
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
     assert [got[d] for d, _ in rows] == want
+
+
+def test_small_regions_are_not_cut(spark):
+    """Many parts for few rows: an order cut by range would have each row in its own part."""
+    w = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([f"x{i}", *w])) for i in range(3)], "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "150")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        small = spark.range(3, numPartitions=3).selectExpr("7L AS key", "id AS doc_id", "unhex('00') AS path").cache()
+        assert nd._whole(small).selectExpr("spark_partition_id() AS p").distinct().count() == 1
+        assert nd._in_order(small).selectExpr("spark_partition_id() AS p").distinct().count() == 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.component_id for r in nd.near_components(docs).collect()} == {0}
+
+
+def test_original_meets_copies_in_all_pieces(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, nd.HASHES).astype(np.uint8)
+    rows = [(0, base)]
+    for i in range(1, 600):
+        sig = base.copy()
+        at = rng.choice(nd.HASHES, 16, replace=False)
+        sig[at] = rng.integers(0, 256, 16)
+        rows.append((i, sig))
+    table = spark.createDataFrame([(5, d, bytes(rng.bytes(40)), s.tobytes()) for d, s in rows], "key long, doc_id long, path binary, signature binary")
+    got = {tuple(r) for r in nd.hub_pairs(table, 0.7, piece=50).collect()}
+    assert {(0, i) for i in range(1, 600)} <= got
