@@ -99,8 +99,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, cost: str = "cost") -> Da
     return grouped.mapInArrow(run, PATH)
 
 
-def relax(edges: DataFrame, sources: DataFrame, cost: str = "cost", rounds: int = 50) -> DataFrame:
-    """(origin, node, cost) of all nodes reached from sources (origin), by rounds of relaxation in DataFrames."""
+def relax(edges: DataFrame, sources: DataFrame, cost: str = "cost", rounds: int | None = None) -> DataFrame:
+    """(origin, node, cost) of all nodes reached from sources (origin), by rounds of relaxation in DataFrames until nothing changes.
+
+    Cheapest paths have fewer edges than there are nodes, so costs that still change after as many rounds
+    (or after ``rounds``, if given) raise an error: a cycle of negative cost, or a bound set too low.
+    """
     spark = edges.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
@@ -108,15 +112,17 @@ def relax(edges: DataFrame, sources: DataFrame, cost: str = "cost", rounds: int
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-"))
     e = edges.groupBy("u", "v").agg(F.min(cost).alias("c"))
     dist = sources.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct()
+    if rounds is None:
+        rounds = e.select("u").union(e.select("v")).distinct().count() + 1
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds + 1):
         step = dist.join(e, dist["node"] == e["u"]).select("origin", F.col("v").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
         dist = dist.unionByName(step).groupBy("origin", "node").agg(F.min("cost").alias("cost")).checkpoint()
         now = dist.agg(F.count("*"), F.sum(F.round("cost", 9).cast("decimal(38,9)"))).head()
         if now == before:
             return dist
         before = now
-    return dist
+    raise RuntimeError(f"costs did not settle in {rounds} rounds")
 
 
 def alternatives(edges: DataFrame, origin: str, destination: str, cost: str = "cost", length: str = "length_m", count: int = 3, tries: int = 14) -> list[dict]:

@@ -258,3 +258,12 @@ def test_zones(spark):
     nodes = spark.createDataFrame(rows, "node_id string, x double, y double, activity double")
     z = spatial.select_zones(nodes, 6)
     assert z.count() == 6 and len({r.node_id for r in z.collect()}) == 6
+
+
+def test_relax_goes_on_until_nothing_changes(spark):
+    """A chain of 55 edges beside a dear shortcut to its end, and a bound that is too low."""
+    e = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}", 1.0) for i in range(55)] + [("00", "55", 100.0)], "u string, v string, cost double").coalesce(1)
+    far = {r.node: r.cost for r in routing.relax(e, spark.createDataFrame([("00",)], "origin string")).collect()}
+    assert far == {f"{i:02}": float(i) for i in range(56)}
+    with pytest.raises(RuntimeError, match="settle"):
+        routing.relax(e, spark.createDataFrame([("00",)], "origin string"), rounds=3)
