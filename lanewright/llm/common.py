@@ -27,6 +27,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def known_id() -> Column:
+    """doc_id as a long; for a null one, a number from 2 ** 62 on that its text gives, so it ranks last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+
+
+def text_key() -> Column:
+    """What tells texts of one doc_id apart; never null."""
+    return F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, require_columns
+from .common import WORD, known_id, materialize, require_columns
 
 BUCKETS = 4096
 
@@ -175,7 +175,12 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all their columns, each as often as the mix takes it."""
-    mixed = mix_documents(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.max(F.expr("taken div size")).alias("_copies"))
-    out = docs.join(mixed, F.col("doc_id") == F.col("_mixed_id"))
+    """The documents with all their columns, each as often as the mix takes it.
+
+    Each text of a repeated doc_id goes by its own source and size; a null doc_id gets its place from its text.
+    """
+    mixed = mix_documents(docs.withColumn("doc_id", known_id()), **options).where("taken > 0")
+    mixed = mixed.groupBy(F.col("doc_id").alias("_mixed_id"), F.col("source").alias("_mixed_source"), F.col("size").alias("_mixed_size")).agg(F.max(F.expr("taken div size")).alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.join(mixed, (known_id() == F.col("_mixed_id")) & (size == F.col("_mixed_size")) & F.col("source").eqNullSafe(F.col("_mixed_source")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

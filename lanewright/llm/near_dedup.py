@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require_columns, small_batches
+from .common import known_id, materialize, require_columns, small_batches, text_key
 from .components import connected_components
 from .fingerprints import shingle_hashes
 
@@ -77,6 +77,12 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "signature", "keys"])
 
 
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), b.column(2)], ["doc_id", "digest", "key"])
+
+
 def _estimate(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i))
     for at in range(0, len(i), 8192):
@@ -340,6 +346,11 @@ def exact_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, in links of 100 * intersection >= percent * union."""
+    return _components(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """near_components with the digest of each row's set."""
     require_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     small_batches(spark)
@@ -380,13 +391,22 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
     named = classes.join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "digest", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents, all their columns as they are, that represent their component."""
-    kept = near_components(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The documents, all their columns as they are, that represent their component.
+
+    Each text of a repeated doc_id is judged by its own set; texts of one doc_id in one component stay
+    together.  A null doc_id ranks behind all others, and its rows of one text count as one document.
+    """
+    known = docs.select(known_id().alias("doc_id"), "text", text_key().alias("_key"))
+    # Rows that go are few; their sets are told by digest, and texts are matched to them by id and key.
+    judged = _components(known, percent).where("NOT kept").select("doc_id", "digest").distinct()
+    small_batches(docs.sparkSession)
+    maybe = known.join(judged.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digests, "doc_id long, digest binary, key string")
+    gone = maybe.join(judged, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    return docs.join(gone, (known_id() == F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti")
 
 
 ORACLE_SQL = r"""

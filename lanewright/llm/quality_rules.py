@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require_columns, words
+from .common import materialize, require_columns, text_key, words
 
 RULES = ("word_length", "symbols", "duplicate_lines", "repetition", "capitals", "exclamations", "sentence_ends", "variety", "letters", "heavy_symbols")
 ROUNDS, PRIOR, SMOOTH, KEEP = 12, 0.8, 10.0, 0.5
@@ -154,9 +154,9 @@ def score_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns as they are, that the rules keep."""
-    kept = score_rules(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The documents, all their columns as they are, that the rules keep; each text of a repeated or null doc_id by itself."""
+    kept = score_rules(docs.select(text_key().alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_kept_key")).distinct()
+    return docs.join(kept, text_key() == F.col("_kept_key"), "left_semi")
 
 
 def oracle_sql() -> str:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, require_columns, small_batches
+from .common import known_id, materialize, require_columns, small_batches, words
 from .fingerprints import _M1, mix, word_hashes
 from .fm_index import FMIndex
 
@@ -329,11 +329,20 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns; where words were removed, text has the kept ones joined by spaces, and n_chars (if there) its length."""
-    scans, classes, changed = find_repeats(docs)
-    copies = scans.join(classes, "sha").where((F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first"))).select("doc_id", F.lit("").alias("kept"))
-    new = changed.where("n_removed > 0").select("doc_id", "kept").unionByName(copies).groupBy("doc_id").agg(F.min("kept").alias("_kept")).withColumnRenamed("doc_id", "_changed_id")
-    out = docs.join(new, F.col("doc_id") == F.col("_changed_id"), "left")
+    """The documents with all their columns; where words were removed, text has the kept ones joined by spaces, and n_chars (if there) its length.
+
+    Each text of a repeated doc_id is judged by itself; a null doc_id counts as larger than all others.
+    """
+    known = docs.select(known_id().alias("doc_id"), "text")
+    scans, classes, changed = find_repeats(known)
+    copies = scans.join(classes, "sha").where((F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first"))).select("doc_id", "doc_key", F.lit("").alias("kept"))
+    new = changed.where("n_removed > 0").select("doc_id", "doc_key", "kept").unionByName(copies).groupBy("doc_id", "doc_key").agg(F.min("kept").alias("_kept"))
+    new = new.select(F.col("doc_id").alias("_changed_id"), F.col("doc_key").alias("_changed_key"), "_kept")
+    # doc_key is the first eight bytes, little-endian, of the hash of the words joined by spaces, as in _scan.
+    sha = F.sha2(F.array_join(words("text"), " ").cast("binary"), 256)
+    swapped = F.concat(*(F.substring(sha, i, 2) for i in range(15, 0, -2)))
+    key = F.conv(swapped, 16, -10).cast("long")
+    out = docs.join(new, (known_id() == F.col("_changed_id")) & (key == F.col("_changed_key")), "left")
     text = F.coalesce("_kept", "text")
     change = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(change).select(*docs.columns)

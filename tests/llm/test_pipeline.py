@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline
-from lanewright.llm import mixing
+from lanewright.llm import mixing, near_dedup, quality_rules, substring_dedup
 from lanewright.llm.common import materialize, read_table
 
 from .test_near_dedup import brute as near_brute
@@ -43,6 +45,24 @@ def test_stages(spark):
     check_places(packed.collect())
 
 
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(1)
+    a, b, c, d = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abcd")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, a), (3, d), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    take = lambda df: sorted(map(tuple, df.collect()), key=order)
+    assert take(near_dedup.keep_one(docs)) == sorted([(1, a), (2, b), (None, c), (3, d), (None, None)], key=order)
+    assert take(substring_dedup.dedup_texts(docs)) == sorted([(1, a), (2, ""), (2, b), (None, c), (None, ""), (3, d), (None, None)], key=order)
+    sized = spark.createDataFrame([(1, "a b c", "s"), (1, "", "s"), (None, "f g", "s")], "doc_id long, text string, source string")
+    assert {tuple(r) for r in mixing.repeat_documents(sized).collect()} == {(1, "a b c", "s"), (None, "f g", "s")}
+    good = spark.createDataFrame([(None, GOOD), (1, GOOD), (1, "x")], "doc_id long, text string")
+    assert take(quality_rules.filter_documents(good)) == [(1, GOOD), (None, GOOD)]
+
+
+GOOD = " ".join(f"The {x} walked slowly to the {y} before it was dark." for x, y in zip(["farmer", "teacher", "painter", "doctor", "sailor", "baker"], ["river", "market", "school", "harbour", "garden", "station"], strict=True))
+
+
 def test_run_and_empty(spark, tmp_path):
     read_table(spark, DIR, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
