@@ -43,7 +43,7 @@ from .fingerprints import shingle_hashes
 HASHES, TREES, FIRST, PATH, SHINGLE = 128, 20, 4, 10, 5
 REGION, NEIGHBOURS, HUBS, SAMPLE = 64, 32, 16, 64
 SLACK = 0.15
-CHUNK, PIECE = 256, 20_000
+CHUNK, PIECE, BUCKETS = 256, 20_000, 1 << 20
 BROADCAST_IDS, BROADCAST_SETS = 1_000_000, 64 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(1, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -311,36 +311,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=percent), "a long, b long")
 
 
-def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the shingles of each of BUCKETS buckets occur in a part."""
+    total = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        sets = b.column("set").to_pylist()
-        digests = [blake2b(x, digest_size=16).digest() for x in sets]
-        shingles = [np.frombuffer(x, "<i8") for x in sets]
-        yield pa.record_batch([b.column("doc_id"), pa.array(digests, pa.binary()), b.column("group"), pa.array([len(x) for x in shingles], pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], ["doc_id", "digest", "group", "n", "shingles"])
+        each = np.frombuffer(b"".join(b.column("set").to_pylist()), "<u8")
+        total += np.bincount((each % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+
+
+def _posts(batches: Iterable[pa.RecordBatch], often, percent: int) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set, rarest buckets first; those alone in their bucket only take places."""
+    names, table = ["shingle", "doc_id", "group", "n", "at"], often.value
+    for b in batches:
+        found, sizes, at, rows = [], [], [], []
+        for raw in b.column("set").to_pylist():
+            s = np.frombuffer(raw, "<u8")
+            n = len(s)
+            count = table[(s % np.uint64(BUCKETS)).astype(np.int64)]
+            first = np.lexsort((s, count))[: n - (n * percent + 99) // 100 + 1 if n else 0]
+            place = np.flatnonzero(count[first] > 1)
+            found.append(s[first[place]].view(np.int64)), at.append(place), sizes.append(np.full(len(place), n)), rows.append(len(place))
+        row = np.repeat(np.arange(b.num_rows), rows)
+        cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([cat(found), b.column("doc_id").take(pa.array(row)), b.column("group").take(pa.array(row)), cat(sizes), cat(at)], names)
 
 
 def exact_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a, b) among which are all links between different groups: sets (doc_id, set), groups (doc_id, group).
 
-    Sets of x >= y shingles that are linked share at least need = percent * (x + y) / (100 + percent)
-    of them, so the first shared one stands in the first x - need + 1 and y - need + 1 of any common
-    order.  Rare shingles come first in it; those of one group only take places but are not joined.
-    A frequent shingle is dealt to several tasks in chunks of its rows.
+    A set of n shingles shares at least percent * n / 100 of them with any set it is linked with, so
+    the first shared one stands in the first n - need + 1 of both sets, in any common order.  The
+    order is that of a table of shingle counts by BUCKETS hash buckets, rare ones first, whose size
+    does not depend on the input.  Only shingles of more than one group are joined, and of each only
+    the rows outside its commonest group with all others, so a large group costs its rows once for
+    each stranger and not their square.  A frequent shingle is dealt to several tasks by its rows.
     """
-    s = sets.distinct().join(groups, "doc_id").select("doc_id", "set", "group").mapInArrow(_shingles, "doc_id long, digest binary, group long, n long, shingles array<long>")
-    s = materialize(s.where("n > 0"), "shingles")
-    each = s.select("doc_id", "digest", "group", "n", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("group").alias("low"), F.max("group").alias("high"))
-    shared = shared.where("often > 1").select("shingle", "often", (F.col("low") != F.col("high")).alias("mixed"))
-    placed = each.join(shared, "shingle", "left").select("doc_id", "digest", "group", "n", F.struct(F.coalesce("often", F.lit(1)).alias("often"), "shingle", F.coalesce("mixed", F.lit(False)).alias("mixed")).alias("p"))
-    first = F.expr(f"n - (n * {percent} + 99) div 100 + 1").cast("int")
-    lists = placed.groupBy("doc_id", "digest", "group", "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    posts = lists.select("doc_id", "group", "n", F.posexplode(F.slice("p", F.lit(1), first)).alias("at", "p")).where("p.mixed")
-    posts = materialize(posts.select("doc_id", "group", "n", "at", "p.shingle", F.expr(f"(p.often + {CHUNK - 1}) div {CHUNK}").alias("chunks")), "posts")
-    y = posts.where(f"at < n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")
-    y = y.select("shingle", F.pmod(F.xxhash64("doc_id", "n"), F.col("chunks")).alias("chunk"), *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "group", "n", "at")))
-    x = posts.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "doc_id", "group", "n", "at")
-    both = x.join(y, ["shingle", "chunk"]).where(f"group <> group_y AND doc_id <> doc_id_y AND n >= n_y AND 100 * n_y >= {percent} * n AND {100 + percent} * least(n - at, n_y - at_y) >= {percent} * (n + n_y)")
+    s = materialize(sets.distinct().join(groups, "doc_id").select("doc_id", "group", "set"), "grouped_sets")
+    counts = s.select("set").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(BUCKETS, np.int64)
+    table[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    often = sets.sparkSession.sparkContext.broadcast(table)
+    posts = materialize(s.mapInArrow(partial(_posts, often=often, percent=percent), "shingle long, doc_id long, group long, n long, at long"), "posts")
+    shared = posts.groupBy("shingle", "group").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("often"), F.max_by("group", F.struct("k", "group")).alias("main"), F.count("*").alias("groups"))
+    shared = shared.where("groups > 1").select("shingle", "main", F.expr(f"(often + {CHUNK - 1}) div {CHUNK}").alias("chunks"))
+    mixed = materialize(posts.join(shared, "shingle"), "mixed_posts")
+    x = mixed.select("shingle", F.pmod(F.xxhash64("doc_id", "n"), F.col("chunks")).alias("chunk"), "doc_id", "group", "n", "at")
+    y = mixed.where("group <> main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "group", "n", "at")))
+    fits = f"100 * least(n, n_y) >= {percent} * greatest(n, n_y) AND {100 + percent} * least(n - at, n_y - at_y) >= {percent} * (n + n_y)"
+    both = x.join(y, ["shingle", "chunk"]).where(f"group <> group_y AND doc_id <> doc_id_y AND {fits}")
     return both.select(F.least("doc_id", "doc_id_y").alias("a"), F.greatest("doc_id", "doc_id_y").alias("b")).distinct()
 
 
