@@ -39,42 +39,47 @@ class PreTokens:
         special = encoder(path).special
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
-    def chunks(self, text: str) -> tuple[Counter, int]:
-        """How often each chunk (with its leading space) occurs, and the number of special strings."""
+    def chunks(self, text: str) -> tuple[Counter, list[str], int]:
+        """How often each chunk behind a space occurs, the chunks without one, and the number of special strings."""
         texts = self.special.split(text) if self.special else [text]
         out: Counter = Counter()
+        heads = []
         for t in texts:
             parts = _BREAK.split(t) if _ODD.search(t) else t.split(" ")
-            first = parts[0]
+            if parts[0]:
+                heads.append(parts[0])
             parts[0] = None
             out.update(parts)
             del out[None]
-            if first:
-                out["\0" + first] += 1
-        return out, len(texts) - 1
+        return out, heads, len(texts) - 1
 
     def of(self, chunk: str) -> list[str]:
-        return self.find(chunk[1:] if chunk[0] == "\0" else " " + chunk) if chunk else [" "]
+        """Pre-tokens of a chunk behind a space."""
+        return self.find(" " + chunk)
 
 
 def _vocabulary(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    pre, total = PreTokens(path), Counter()
+    pre, total, heads = PreTokens(path), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
         pieces: Counter = Counter()
         for chunk, n in total.items():
             for p in pre.of(chunk):
                 pieces[p] += n
-        total.clear()
+        for head, n in heads.items():
+            for p in pre.find(head):
+                pieces[p] += n
+        total.clear(), heads.clear()
         return pa.record_batch([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["piece", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                total.update(pre.chunks(text)[0])
-                if len(total) > FLUSH:
+                chunks, first, _ = pre.chunks(text)
+                total.update(chunks), heads.update(first)
+                if len(total) + len(heads) > FLUSH:
                     yield flush()
-    if total:
+    if total or heads:
         yield flush()
 
 
@@ -92,8 +97,14 @@ def _documents(batches: Iterable[pa.RecordBatch], path: str, hot) -> Iterator[pa
         digests, sizes, sums, colds, freqs = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             raw = (text or "").encode()
-            chunks, total = pre.chunks(text) if text else (Counter(), 0)
+            chunks, heads, total = pre.chunks(text) if text else (Counter(), [], 0)
             cold: Counter = Counter()
+            for head in heads:
+                for p in pre.find(head):
+                    if p in known:
+                        total += known[p]
+                    else:
+                        cold[p] += 1
             for chunk, n in chunks.items():
                 tokens = cache.get(chunk)
                 if tokens is None:
@@ -135,7 +146,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     # Long frequent pre-tokens, if any, stay out of the broadcast and are joined like the rare ones.
     rare = pieces.where(~(is_hot & (F.length("piece") <= 64))).select("piece", F.col("tokens").alias("each"))
     own = docs.select("doc_id", "text").mapInArrow(partial(_documents, path=path, hot=hot), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, n_bytes long, tokens long, pieces array<string>, freqs array<long>")
-    # A document's own row travels under a key that no pre-token has (a control sign, then digits), spread as the documents are.
+    # A document's own row travels under a key that no pre-token has (letters and digits behind a control sign), spread as the documents are.
     head = F.struct(F.concat(F.lit("\0"), F.hex("digest")).alias("piece"), F.col("tokens").alias("n"), F.col("n_bytes"))
     tail = F.zip_with("pieces", "freqs", lambda p, f: F.struct(p.alias("piece"), f.alias("n"), F.lit(None).cast("long").alias("n_bytes")))
     own = own.select("doc_id", "digest", F.explode(F.concat(F.array(head), tail)).alias("x")).select("doc_id", "digest", "x.*")
