@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +27,30 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+NULL_IDS = 1 << 62
+
+
 def known_id() -> Column:
-    """doc_id as a long; for a null one, a number from 2 ** 62 on that its text gives, so it ranks last."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    """doc_id as a long; for a null one, a number from NULL_IDS on that its text gives, so it ranks last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(NULL_IDS)))
+
+
+def given_id(name: str) -> Column:
+    """The id that known_id stands for: null from NULL_IDS on."""
+    return F.when(F.col(name) < NULL_IDS, F.col(name))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of df, quoted, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def text_key() -> Column:
@@ -38,23 +59,37 @@ def text_key() -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, one of this machine in local mode, in which the driver is the only executor;
+    on a cluster an error, since what executors write to their own disks can't be read back.
+    """
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lanewright-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/lanewright-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """A new path in the shared folder, removed by released() or when the driver ends."""
+    folder = f"{shared_dir(spark)}/lanewright-{uuid.uuid4().hex}"
+    at, fs = _hadoop(spark, folder)
     fs.mkdirs(at)
     fs.deleteOnExit(at)
-    return path
+    _WRITTEN.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+def _hadoop(spark: SparkSession, folder: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +100,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts stay small, so that a run of long texts fits in a Python worker."""
+def released(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written; the scratch tables written on the way are deleted."""
+    before = len(_WRITTEN)
+    out = materialize(make(), name)
+    for spark, folder in _WRITTEN[before:-1]:
+        at, fs = _hadoop(spark, folder)
+        fs.delete(at, True)
+    _WRITTEN[before:] = _WRITTEN[-1:]
+    return out
+
+
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> None:
+    """Arrow batches of whole texts stay small, in rows and bytes, so that a run of long texts fits in a Python worker.
+
+    Settings that are smaller already are left as they are.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= _bytes(size):
+        spark.conf.set(key, size)
+
+
+def _bytes(size: str) -> int:
+    digits = size.lower().rstrip("bkmgt")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[size.lower()[len(digits) :].rstrip("b")]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

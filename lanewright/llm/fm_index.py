@@ -87,23 +87,49 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of sequences of word ids >= 1 (0 is kept for separators)."""
+    """Index of sequences of word ids >= 1 (0 is kept for separators) with the runs of suffixes that share ``depth`` words.
 
-    def __init__(self, sequences: list[np.ndarray]):
+    After construction the wavelet matrix, the counts of words and the bounds of the runs stay; words
+    and suffix array are dropped.  ``first`` holds for each run the least rank among its suffixes, by
+    sequence and then by place, and ``rank`` of a suffix is its place in the sequences in a row.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], depth: int):
         lengths = np.array([len(s) for s in sequences], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+        self.depth, self.starts = depth, np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         words = np.concatenate([np.append(s, 0) for s in sequences]) if sequences else np.zeros(0, np.int64)
         separators = np.flatnonzero(words == 0)
         count = len(separators)
         codes = words + count
         codes[separators] = np.arange(count)[::-1]
-        self.sa, self.rank16 = suffix_array(codes, 16)
-        bwt = words[self.sa - 1] if len(words) else words
-        sigma = int(words.max()) + 1 if len(words) else 1
-        self.sigma = sigma
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=sigma))])
-        self.tree = WaveletMatrix(bwt, max(1, int(sigma - 1).bit_length()))
-        self.words = words
+        near = 1 << (depth.bit_length() - 1)  # two overlapping runs of this length make one of depth
+        sa, rank = suffix_array(codes, near)
+        self.n = n = len(words)
+        bwt = words[sa - 1] if n else words
+        self.sigma = int(words.max()) + 1 if n else 1
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=self.sigma))])
+        self.tree = WaveletMatrix(bwt, max(1, int(self.sigma - 1).bit_length()))
+        # Neighbours of the suffix array that share their first depth words; shorter suffixes stand alone.
+        same = np.zeros(n, bool)
+        if n > 1:
+            until = np.repeat(self.starts + lengths, lengths + 1) - np.arange(n)
+            a, b = sa[1:], sa[:-1]
+            alive = np.flatnonzero((until[a] >= depth) & (until[b] >= depth))
+            for k in (0, depth - near):
+                alive = alive[rank[a[alive] + k] == rank[b[alive] + k]]
+            same[alive + 1] = True
+        self.run = np.cumsum(~same, dtype=np.int32) - 1
+        heads = np.flatnonzero(~same)
+        self.edges = np.append(heads, n)
+        self.first = np.minimum.reduceat(sa, heads) if n else np.zeros(0, np.int64)
+        own = np.empty(n, np.int64)
+        own[sa] = self.first[self.run] if n else 0
+        self.own = [own[x : x + m] for x, m in zip(self.starts, lengths, strict=True)]
+
+    def place(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, place in it) of ranks."""
+        owner = np.searchsorted(self.starts, rank, "right") - 1
+        return owner, rank - self.starts[owner]
 
     def extend(self, symbol: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: intervals of symbol followed by what the given intervals match."""
@@ -116,71 +142,56 @@ class FMIndex:
 
     def intervals(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of the rows of a matrix of word ids; empty where a row doesn't occur."""
-        left, right = np.zeros(len(patterns), np.int64), np.full(len(patterns), len(self.words), np.int64)
+        left, right = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
         for k in range(patterns.shape[1] - 1, -1, -1):
             left, right = self.extend(patterns[:, k], left, right)
         return left, np.maximum(left, right)
 
-    def groups(self, depth: int) -> np.ndarray:
-        """For each place of the suffix array the number of the run of suffixes that share their first ``depth`` symbols; shorter ones stand alone."""
-        n = len(self.words)
-        room = np.concatenate([self.starts[1:] - 1, [n - 1]]) if len(self.starts) else np.zeros(0, np.int64)
-        until = np.repeat(room, np.diff(np.concatenate([self.starts, [n]]))) - np.arange(n) if n else np.zeros(0, np.int64)
-        same = np.zeros(n, bool)
-        if n > 1:
-            a, b = self.sa[1:], self.sa[:-1]
-            alive = np.flatnonzero((until[a] >= depth) & (until[b] >= depth))
-            if 16 <= depth <= 32:  # two overlapping runs of 16
-                for k in (0, depth - 16):
-                    alive = alive[self.rank16[a[alive] + k] == self.rank16[b[alive] + k]]
-            else:
-                for k in range(depth):
-                    alive = alive[self.words[a[alive] + k] == self.words[b[alive] + k]]
-            same[alive + 1] = True
-        return np.cumsum(~same) - 1
-
-    def matching_statistics(self, sequences: list[np.ndarray], depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each word of each streamed sequence: the match length from there, up to depth, and where the suffix interval starts.
+    def matching_statistics(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each word of each streamed sequence: the match length from there, up to depth, and the run its suffix interval starts in.
 
         Sequences are read from right to left, all at once, by backward search.  A match longer
         than ``depth`` is cut to it by widening its interval to the run of its first ``depth`` words.
-        Where a step finds nothing, the words there are searched anew, from the depth down.
+        Where a step finds nothing, the longest match from there is searched anew by bisection.
         """
-        group = self.groups(depth)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
         order = sorted(range(len(sequences)), key=lambda q: -len(sequences[q]))
         lengths = np.array([len(sequences[q]) for q in order], np.int64)
         flat = np.concatenate([sequences[q] for q in order]) if order else np.zeros(0, np.int64)
         base = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(order) else np.zeros(0, np.int64)
         size, start = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        left, right = np.zeros(len(order), np.int64), np.full(len(order), len(self.words), np.int64)
+        left, right = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
         match = np.zeros(len(order), np.int64)
         for step in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
             live = int(np.searchsorted(-lengths, -step, "right"))
             at = base[:live] + lengths[:live] - step
             a, b = self.extend(flat[at], left[:live], right[:live])
             m = match[:live] + 1
-            for q in np.flatnonzero(b <= a):
-                m[q], a[q], b[q] = self._longest(flat[at[q] : at[q] + min(depth, m[q] - 1)])
-            full = m >= depth
-            wide = group[np.minimum(a, len(group) - 1)] if len(group) else a
-            a = np.where(full, edges[wide], a)
-            b = np.where(full, edges[np.minimum(wide + 1, len(edges) - 1)], b)
-            left[:live], right[:live], match[:live] = a, b, np.minimum(m, depth)
+            if len(lost := np.flatnonzero(b <= a)):
+                m[lost], a[lost], b[lost] = self._longest(flat, at[lost], np.minimum(self.depth, m[lost] - 1))
+            full = m >= self.depth
+            if full.any():
+                wide = self.run[a[full]]
+                a[full], b[full] = self.edges[wide], self.edges[wide + 1]
+            left[:live], right[:live], match[:live] = a, b, np.minimum(m, self.depth)
             size[at], start[at] = match[:live], a
+        start = self.run[np.minimum(start, self.n - 1)] if self.n else start
         out: list = [None] * len(order)
         for k, q in enumerate(order):
             out[q] = (size[base[k] : base[k] + lengths[k]], start[base[k] : base[k] + lengths[k]])
         return out
 
-    def _longest(self, words: np.ndarray) -> tuple[int, int, int]:
-        """Longest prefix of words that occurs, with its interval, by bisection over its length."""
-        low, high, found = 0, len(words), (0, len(self.words))
-        while low < high:
-            mid = (low + high + 1) // 2
-            a, b = self.intervals(words[None, :mid])
-            if b[0] > a[0]:
-                low, found = mid, (int(a[0]), int(b[0]))
-            else:
-                high = mid - 1
-        return low, *found
+    def _longest(self, flat: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest prefixes, of at most ``most`` words, of flat[at:] that occur, with their intervals: bisection over the length, for all at once."""
+        low, high = np.zeros(len(at), np.int64), most.copy()
+        left, right = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
+        while (todo := np.flatnonzero(low < high)).size:
+            mid = (low[todo] + high[todo] + 1) // 2
+            a, b = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
+            for k in range(int(mid.max()) - 1, -1, -1):
+                here = np.flatnonzero((mid > k) & (b > a))
+                a[here], b[here] = self.extend(flat[at[todo[here]] + k], a[here], b[here])
+            found = b > a
+            yes, no = todo[found], todo[~found]
+            low[yes], left[yes], right[yes] = mid[found], a[found], b[found]
+            high[no] = mid[~found] - 1
+        return low, left, right

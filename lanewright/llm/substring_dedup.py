@@ -9,19 +9,26 @@ A window is WINDOW consecutive words of a document; it is a repeat if its words
 2. The other segments are cut out of the documents and brought together by anchor.  Where an
    anchor is frequent, its segments are cut into single windows.  A task sends a content once, so a
    place gathers at most FREQUENT rows, or of a single window one for each task.
-3. The distinct segments of a place are indexed in shards of bounded size (suffix array, BWT,
-   wavelet matrix).  They are streamed against the index from right to left by backward search; where
-   the matching statistic reaches WINDOW, the suffix interval of the window tells its first
-   place in the corpus.
+3. Distinct segments come to shards of bounded size, all of an anchor to one.  The earliest
+   segment of each anchor goes into the shard's FM-index (BWT in a wavelet matrix; of the suffix
+   array only the first place of each run of suffixes that share a window is kept).  All later ones
+   are streamed against it from right to left by backward search: where the matching statistic
+   reaches WINDOW, the window is a repeat, and its suffix interval tells its first place.  Stretches
+   under the threshold go through again, with twice as many segments of each anchor indexed.
 4. Every occurrence compares its windows' own places with the first ones, and documents
    keep the words that no repeat covers.
 
 A whole document with the words of an earlier one is one class with it: all its windows are
 repeats, so nothing of it is searched.
 
+Which anchors repeat, and which are frequent, travels as two tables of FOUND_BITS and OFTEN_BITS bits,
+whose size does not depend on the input.  Anchors that fall on a set bit by chance only send segments
+that step 3 finds to be alone, or in single windows; results stay the same.
+
 Cases: null, empty and short texts (under WINDOW words) lose nothing; rows that repeat a doc_id
 with the same words count as one document and get equal rows, with other words each keeps its
-row; no documents give no rows; extra columns are ignored.
+row; a null doc_id counts as larger than all others, its rows of one text as one document; no
+documents give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import partial
 from hashlib import sha256
-from itertools import chain, compress
+from itertools import chain, compress, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_id, materialize, require_columns, small_batches, words
+from .common import fresh, given_id, known_id, materialize, own_columns, require_columns, small_batches, words
 from .fingerprints import _M1, mix, word_hashes
 from .fm_index import FMIndex
 
@@ -44,7 +51,8 @@ WINDOW, ANCHOR = 20, 4
 LONGEST = 256  # windows in a segment
 FREQUENT = 2000  # rows of an anchor from which segments are cut into windows
 SHARD_WORDS = 300_000
-BROADCAST_ANCHORS = 4_000_000
+FOUND_BITS, OFTEN_BITS = 28, 24
+SALTS = 16
 EMPTY = sha256(b"").hexdigest()
 _B1, _B2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
 
@@ -138,10 +146,19 @@ class Batch:
         return {"row": row, "key": np.where(single, digests[0], anchor), "d1": digests[0], "d2": digests[1], "first": first, "at": first - self.starts[row], "count": count, "single": single}
 
 
+def bit_table(anchors: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2 ** bits bits, those of the anchors set."""
+    bit = F.col("anchor").bitwiseAND((1 << bits) - 1)
+    words = anchors.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(anchor & 63 AS int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << (bits - 6)), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def _member(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+    place = values.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _doc_key(words: list[bytes]) -> int:
@@ -158,21 +175,13 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(batch.lengths), pa.array([d.hexdigest() for d in digests], pa.string()), pa.array(keys, pa.int64()), pa.array(anchors, lists), pa.array(again, lists)], ["doc_id", "n_words", "sha", "doc_key", "anchors", "again"])
 
 
-def _tables(b: pa.RecordBatch, shared) -> tuple[np.ndarray, np.ndarray]:
-    """Repeated and frequent anchors: broadcast, or those of the batch's texts."""
-    if shared is not None:
-        return shared.value
-    one = lambda c: np.unique(np.array([x for row in b.column(c).to_pylist() for x in row], np.int64))
-    return one("found"), one("frequent")
-
-
-def _contents(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Contents with their places, a content again only at a smaller place than before in the task."""
     seen: dict[tuple[int, int], tuple[int, int]] = {}
     for b in batches:
         ids = b.column("doc_id").to_pylist()
         batch = Batch(b.column("text").to_pylist())
-        p = batch.pieces(*_tables(b, shared))
+        p = batch.pieces(*shared.value)
         if len(seen) > 500_000:
             seen.clear()
         rows = []
@@ -185,34 +194,49 @@ def _contents(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.Rec
         yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["key", "d1", "d2", "doc", "at", "content"])
 
 
-def _occurrences(batches: Iterable[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for b in batches:
         batch = Batch(b.column("text").to_pylist())
-        p = batch.pieces(*_tables(b, shared))
+        p = batch.pieces(*shared.value)
         keys = np.array([_doc_key(w) for w in batch.words], np.int64)
         yield pa.record_batch([b.column("doc_id").take(pa.array(p["row"])), pa.array(keys[p["row"]]), pa.array(p["d1"]), pa.array(p["d2"]), pa.array(p["at"], pa.int32()), pa.array(p["count"], pa.int32())], ["doc_id", "doc_key", "d1", "d2", "at", "count"])
 
 
-def first_places(contents: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
-    """contents (words, doc, place of its first word) -> for each the (doc, place) where each of its windows first occurs."""
+def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
+    """contents (key, words, doc, place of its first word) -> for each the (doc, place) where each of its windows first occurs in contents of its key."""
     ids: dict[bytes, int] = {}
-    sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")], np.int64) for c, _, _ in contents]
-    index = FMIndex(sequences)
-    # The first place of each suffix run of WINDOW words: the least (doc, place) of its suffixes.
-    group = index.groups(WINDOW)
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
-    owner = np.searchsorted(index.starts, index.sa, "right") - 1
-    doc = np.array([d for _, d, _ in contents], np.int64)[owner]
-    place = np.array([p for _, _, p in contents], np.int64)[owner] + index.sa - index.starts[owner]
-    order = np.lexsort((place, doc, group))
-    least = order[edges]  # groups are runs, so each begins where it does in the suffix array
-    doc, place = doc[least], place[least]
-    out = []
-    for words, (size, start) in zip(sequences, index.matching_statistics(sequences, WINDOW), strict=True):
-        n = len(words) - WINDOW + 1
-        assert (size[:n] == WINDOW).all()
-        g = group[start[:n]]
-        out.append(np.stack([doc[g], place[g]], 1))
+    words = [np.array([ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")], np.int64) for _, c, _, _ in contents]
+    key = [c[0] for c in contents]
+    doc, at = np.array([c[2] for c in contents], np.int64), np.array([c[3] for c in contents], np.int64)
+    # Its own place, until an earlier one is found.
+    out = [np.column_stack([np.full(m, d), p + np.arange(m)]) for d, p, m in zip(doc, at, (len(w) - window + 1 for w in words), strict=True)]
+    todo = [(i, 0, len(words[i])) for i in sorted(range(len(contents)), key=lambda i: (key[i], doc[i], at[i]))]
+    take = 1
+    while todo:
+        indexed, streamed, rest = [], [], []
+        for _, some in groupby(todo, key=lambda f: key[f[0]]):
+            some = list(some)
+            i, a, b = some[0]
+            # A window twice in a text means that at least as many of its words stand there again.
+            if len(some) > 1 or b - a - len(set(words[i][a:b].tolist())) >= window:
+                indexed += some[:take]
+                streamed += some[take:]
+        index = FMIndex([words[i][a:b] for i, a, b in indexed], window)
+        of, begin = np.array([f[0] for f in indexed], np.int64), np.array([f[1] for f in indexed], np.int64)
+
+        def places(rank: np.ndarray) -> np.ndarray:
+            who, where = index.place(rank)  # noqa: B023
+            return np.column_stack([doc[of[who]], at[of[who]] + begin[who] + where])  # noqa: B023
+
+        for (i, a, b), own in zip(indexed, index.own, strict=True):
+            out[i][a : b - window + 1] = places(own[: b - a - window + 1])
+        for (i, a, b), (size, run) in zip(streamed, index.matching_statistics([words[i][a:b] for i, a, b in streamed]), strict=True):
+            again = size[: b - a - window + 1] >= window
+            out[i][a : b - window + 1][again] = places(index.first[run[: len(again)][again]])
+            if not again.all():
+                turns = np.flatnonzero(np.diff(np.concatenate([[True], again, [True]])))
+                rest += [(i, a + x, a + y + window - 1) for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+        todo, take = rest, 2 * take
     return out
 
 
@@ -227,9 +251,9 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answer(rows: list) -> pa.RecordBatch:
         first: dict[tuple[int, int], tuple] = {}
-        for _, d1, d2, doc, at, content in rows:
-            if (d1, d2) not in first or (doc, at) < first[d1, d2][1:]:
-                first[d1, d2] = (content, doc, at)
+        for key, d1, d2, doc, at, content in rows:
+            if (d1, d2) not in first or (doc, at) < first[d1, d2][2:]:
+                first[d1, d2] = (key, content, doc, at)
         places = first_places(list(first.values()))
         return pa.record_batch([pa.array([d[0] for d in first], pa.int64()), pa.array([d[1] for d in first], pa.int64()), pa.array([_runs(p) for p in places], pa.binary())], ["d1", "d2", "places"])
 
@@ -281,9 +305,9 @@ def _remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "doc_key", "n_removed", "kept"])
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scans, classes, changed): every document's doc_id, n_words, sha, doc_key; the first doc_id of
-    each sha; and doc_id, doc_key, n_removed, kept text of documents that may have lost words."""
+def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scans, changed): every document's doc_id, n_words, sha, doc_key and whether a smaller doc_id has
+    its words (copy); and doc_id, doc_key, n_removed, kept text of documents that may have lost words."""
     require_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     small_batches(spark)
@@ -293,38 +317,33 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     seen = F.concat(F.transform("anchors", lambda a: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"))))
     anchors = scans.select(F.explode(seen).alias("s")).groupBy("s.anchor").agg(F.min("s.k").alias("low"), F.max("s.k").alias("high"), F.count("*").alias("n"))
     anchors = materialize(anchors.where("low <> high").select("anchor", (F.col("n") > FREQUENT).alias("often")), "anchors")
-    shared = None
-    if anchors.count() <= BROADCAST_ANCHORS:  # at most 32 MB; texts need not move
-        table = anchors.toArrow()
-        found, often = table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy().astype(bool)
-        shared = spark.sparkContext.broadcast((np.sort(found), np.sort(found[often])))
-        source = texts
-    else:
-        of_doc = scans.select("doc_id", F.explode("anchors").alias("anchor")).join(anchors, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("found"), F.collect_set(F.when(F.col("often"), F.col("anchor"))).alias("frequent"))
-        source = materialize(texts.join(of_doc, "doc_id"), "source")
+    shared = spark.sparkContext.broadcast((bit_table(anchors, FOUND_BITS), bit_table(anchors.where("often"), OFTEN_BITS)))
     shape = "key long, d1 long, d2 long, doc long, at int, content binary"
-    contents = source.mapInArrow(partial(_contents, shared=shared), shape)
+    contents = texts.mapInArrow(partial(_contents, shared=shared), shape)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     places = contents.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_search, "d1 long, d2 long, places binary")
-    own = source.mapInArrow(partial(_occurrences, shared=shared), "doc_id long, doc_key long, d1 long, d2 long, at int, count int")
+    own = texts.mapInArrow(partial(_occurrences, shared=shared), "doc_id long, doc_key long, d1 long, d2 long, at int, count int")
     runs = own.join(places, ["d1", "d2"]).select("doc_id", "doc_key", "at", "count", "places").mapInArrow(_compare, "doc_id long, doc_key long, at int, count int")
     by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("doc_key", "at", "count")).alias("runs"))
     changed = texts.join(by_doc, "doc_id").mapInArrow(_remove, "doc_id long, doc_key long, n_removed long, kept string")
-    classes = scans.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    return scans.drop("anchors", "again"), classes, changed.dropDuplicates(["doc_id", "doc_key"])
+    long = scans.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    # Rows of one text are spread by SALTS, and each class goes to all of its places.
+    classes = long.where("first < last").select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    scans = scans.drop("anchors", "again").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    scans = scans.join(classes, ["sha", "salt"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    return scans.drop("salt", "first"), changed.dropDuplicates(["doc_id", "doc_key"])
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_words, n_removed, kept_sha256."""
-    scans, classes, changed = find_repeats(docs)
+    scans, changed = find_repeats(docs.select(known_id().alias("doc_id"), "text"))
     changed = changed.select("doc_id", "doc_key", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha"))
-    out = scans.join(classes, "sha").join(changed, ["doc_id", "doc_key"], "left")
-    copy = (F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first"))
+    out = scans.join(changed, ["doc_id", "doc_key"], "left")
     return out.select(
-        "doc_id",
+        given_id("doc_id").alias("doc_id"),
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, EMPTY).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("copy"), EMPTY).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
     )
 
 
@@ -333,19 +352,18 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
 
     Each text of a repeated doc_id is judged by itself; a null doc_id counts as larger than all others.
     """
-    known = docs.select(known_id().alias("doc_id"), "text")
-    scans, classes, changed = find_repeats(known)
-    copies = scans.join(classes, "sha").where((F.col("n_words") >= WINDOW) & (F.col("doc_id") > F.col("first"))).select("doc_id", "doc_key", F.lit("").alias("kept"))
-    new = changed.where("n_removed > 0").select("doc_id", "doc_key", "kept").unionByName(copies).groupBy("doc_id", "doc_key").agg(F.min("kept").alias("_kept"))
-    new = new.select(F.col("doc_id").alias("_changed_id"), F.col("doc_key").alias("_changed_key"), "_kept")
+    scans, changed = find_repeats(docs.select(known_id().alias("doc_id"), "text"))
+    copies = scans.where("copy").select("doc_id", "doc_key", F.lit("").alias("kept"))
+    new = changed.where("n_removed > 0").select("doc_id", "doc_key", "kept").unionByName(copies).groupBy("doc_id", "doc_key").agg(F.min("kept").alias("kept"))
+    id_, key_, kept = (fresh(docs, x) for x in ("changed_id", "changed_key", "kept_words"))
+    new = new.select(F.col("doc_id").alias(id_), F.col("doc_key").alias(key_), F.col("kept").alias(kept))
     # doc_key is the first eight bytes, little-endian, of the hash of the words joined by spaces, as in _scan.
     sha = F.sha2(F.array_join(words("text"), " ").cast("binary"), 256)
     swapped = F.concat(*(F.substring(sha, i, 2) for i in range(15, 0, -2)))
     key = F.conv(swapped, 16, -10).cast("long")
-    out = docs.join(new, (known_id() == F.col("_changed_id")) & (key == F.col("_changed_key")), "left")
-    text = F.coalesce("_kept", "text")
-    change = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(change).select(*docs.columns)
+    out = docs.join(new, (known_id() == F.col(id_)) & (key == F.col(key_)), "left")
+    change = {"text": F.coalesce(kept, "text")} | ({"n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.withColumns(change).select(*own_columns(docs))
 
 
 ORACLE_SQL = r"""
