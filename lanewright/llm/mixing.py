@@ -7,7 +7,8 @@ pattern all documents get the whole copies and a seeded selection gets one more,
 histograms of a hash, so that no task ever sorts a whole source.
 
 Cases: null or empty text has size 0 and is taken 0 times; no documents give no rows; a null
-source is a source of its own, ordered last; rows that repeat a doc_id share one decision;
+source is a source of its own, ordered last; rows that repeat a doc_id share one decision; a null
+doc_id gets its place in the seeded order from its text;
 extra columns are ignored by ``mix_documents`` (it returns its own columns only).
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, known_id, materialize, require_columns
+from .common import WORD, fresh, given_id, known_id, materialize, own_columns, require_columns
 
 BUCKETS = 4096
 
@@ -44,7 +45,7 @@ def capped_targets(sizes: list[float], weights: list[float], cap: float) -> list
 def min_cost_flow(supply: list[int], members: list[tuple[int, ...]], quotas: list[int], repeats: int) -> list[dict[int, int]]:
     """Words that each pattern gives to each of its sources.
 
-    Successive shortest paths on source -> pattern (``repeats`` parallel arcs of cost 0, 1, ...)
+    Shortest augmenting paths, all of one cost at a time, on source -> pattern (``repeats`` parallel arcs of cost 0, 1, ...)
     -> member sources -> sink; the graph has one node for each pattern and source.
     """
     n, m = len(supply), len(quotas)
@@ -66,26 +67,44 @@ def min_cost_flow(supply: list[int], members: list[tuple[int, ...]], quotas: lis
     for q in range(m):
         arc(n + q, t, quotas[q], 0)
     while True:
-        dist, via, queue, queued = {s: 0}, {}, deque([s]), {s}
+        # Distances by cost, then a blocking flow over the arcs of shortest paths.
+        dist, queue, queued = {s: 0}, deque([s]), {s}
         while queue:
             x = queue.popleft()
             queued.discard(x)
             for e in out[x]:
                 if cap[e] and dist[x] + cost[e] < dist.get(to[e], 1 << 60):
-                    dist[to[e]], via[to[e]] = dist[x] + cost[e], e
+                    dist[to[e]] = dist[x] + cost[e]
                     if to[e] not in queued:
                         queued.add(to[e])
                         queue.append(to[e])
         if t not in dist:
             break
-        x, push = t, 1 << 62
-        while x != s:
-            push, x = min(push, cap[via[x]]), to[via[x] ^ 1]
-        x = t
-        while x != s:
-            cap[via[x]] -= push
-            cap[via[x] ^ 1] += push
-            x = to[via[x] ^ 1]
+        at, path, inside = [0] * len(out), [], {s}
+        x = s
+        while True:
+            if x == t:
+                push = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= push
+                    cap[e ^ 1] += push
+                x, path, inside = s, [], {s}
+                continue
+            while at[x] < len(out[x]):
+                e = out[x][at[x]]
+                if cap[e] and to[e] not in inside and dist.get(to[e], 1 << 60) == dist[x] + cost[e]:
+                    break
+                at[x] += 1
+            if at[x] < len(out[x]):
+                path.append(e)
+                x = to[e]
+                inside.add(x)
+            elif path:
+                inside.discard(x)
+                x = to[path.pop() ^ 1]
+                at[x] += 1
+            else:
+                break
     flows: list[dict[int, int]] = [{} for _ in range(n)]
     for (p, q), e in share.items():
         flows[p][q] = cap[e ^ 1]
@@ -131,47 +150,51 @@ def _pick(sized: DataFrame, quota: DataFrame) -> DataFrame:
 def mix(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 8, max_patterns: int = 4096) -> DataFrame:
     """sized (doc_id, sources array<string>, size long) -> doc_id, sources, size, taken, and each source's size and target.
 
-    Sources weigh ``weights``, repeating, in code-point order, a null last.  The driver sees one
-    number for each pattern: the ``max_patterns`` patterns with the most words as they are, the
-    documents of the others as members of one of their sources, chosen by a hash of doc_id.
+    Sources weigh ``weights``, repeating, in code-point order, a null last; their sizes and targets
+    come from all memberships.  The driver sees one number for each source and for each of the
+    ``max_patterns`` patterns with the most words.  Each other pattern gives only to the one of its
+    sources whose target is the largest multiple of its size, together with all that give to that
+    one alone; it keeps its memberships, so sources, sizes and targets stay what they are.
     """
     spark = sized.sparkSession
-    key = F.transform(F.array_distinct("sources"), lambda s: F.when(s.isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), s)))
+    each = F.array_distinct("sources")
+    key = F.transform(each, lambda s: F.when(s.isNull(), F.lit("n")).otherwise(F.concat(F.lit("="), s)))
     key = F.concat_ws("\x00", F.transform(F.array_sort(key), lambda s: F.base64(s.cast("binary"))))
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 2)
     rows = sized.select("doc_id", "sources", "size", key.alias("pattern"), h.alias("h"))
-    totals = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("sources").alias("sources"))
-    totals = totals.orderBy(F.desc("size"), "pattern").limit(max_patterns + 1).collect()
-    if len(totals) > max_patterns:
-        keep = spark.createDataFrame([(r.pattern,) for r in totals[:max_patterns]], "pattern string").withColumn("kept", F.lit(True))
-        single = F.element_at("sources", (F.pmod(F.col("h"), F.size("sources")) + 1).cast("int"))
-        rows = rows.join(F.broadcast(keep), "pattern", "left")
-        rows = rows.withColumn("sources", F.when(F.col("kept"), F.col("sources")).otherwise(F.array(single)))
-        return mix(rows.select("doc_id", "sources", "size"), weights, max_repeats, seed, max_patterns * 2)
-    names = sorted({s for r in totals for s in r.sources}, key=lambda s: (s is None, (s or "").encode()))
-    place = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in totals:
-        for s in set(r.sources):
-            sizes[place[s]] += r.size
+    patterns = materialize(rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.min(each).alias("sources")), "patterns")
+    found = {r.s: r.size for r in patterns.select("size", F.explode("sources").alias("s")).groupBy("s").agg(F.sum("size").alias("size")).collect()}
+    names = sorted(found, key=lambda s: (s is None, (s or "").encode()))
+    place, sizes = {s: i for i, s in enumerate(names)}, [found[s] for s in names]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], max_repeats)
-    flows = min_cost_flow([r.size for r in totals], [tuple(sorted({place[s] for s in r.sources})) for r in totals], [round(x) for x in targets], max_repeats)
-    quota = [(r.pattern, sum(f.values()) // r.size if r.size else 0, sum(f.values()) % r.size if r.size else 0) for r, f in zip(totals, flows, strict=True)]
+    totals = [(r.pattern, r.size, tuple(sorted({place[s] for s in r.sources}))) for r in patterns.orderBy(F.desc("size"), "pattern").limit(max_patterns).collect()]
+    info = spark.createDataFrame([(s, x, t, t / x if x else 0.0) for s, x, t in zip(names, sizes, targets, strict=True)], "name string, source_size long, target double, need double")
+    large = spark.createDataFrame([(p,) for p, _, _ in totals], "pattern string")
+    small = patterns.join(F.broadcast(large), "pattern", "left_anti").select("pattern", "size", F.explode("sources").alias("name"))
+    small = small.join(F.broadcast(info.select(F.col("name").alias("name_"), "need")), F.col("name").eqNullSafe(F.col("name_")))
+    small = small.groupBy("pattern").agg(F.max("size").alias("size"), F.max_by("name", F.struct("need", "name")).alias("only"))
+    small = materialize(small.select("pattern", "size", F.when(F.col("only").isNull(), "n").otherwise(F.concat(F.lit("="), "only")).alias("only")), "small")
+    # A merged group's name starts with a sign that no base64 text has.
+    merged = F.concat(F.lit("*"), F.col("only"))
+    if not small.isEmpty():
+        rows = rows.join(small.select("pattern", merged.alias("merged")), "pattern", "left").withColumn("pattern", F.coalesce("merged", "pattern")).drop("merged")
+        totals += [(f"*{r.only}", r.size, (place[None if r.only == "n" else r.only[1:]],)) for r in small.groupBy("only").agg(F.sum("size").alias("size")).orderBy("only").collect()]
+    flows = min_cost_flow([x for _, x, _ in totals], [m for _, _, m in totals], [round(x) for x in targets], max_repeats)
+    quota = [(p, sum(f.values()) // x if x else 0, sum(f.values()) % x if x else 0) for (p, x, _), f in zip(totals, flows, strict=True)]
     quota = spark.createDataFrame(quota, "pattern string, copies long, rest long")
-    info = spark.createDataFrame([(s, x, t) for s, x, t in zip(names, sizes, targets, strict=True)], "name string, source_size long, target double")
     picked = _pick(rows, quota.drop("copies")).join(F.broadcast(quota.drop("rest")), "pattern", "left")
     taken = F.col("size") * (F.col("copies") + F.col("extra").cast("long"))
     out = picked.select("doc_id", "sources", "size", taken.alias("taken"))
-    return out.withColumn("source", F.element_at("sources", 1)).join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    return out.withColumn("source", F.element_at("sources", 1)).join(F.broadcast(info), F.col("source").eqNullSafe(F.col("name")), "left").drop("name", "need")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """documents -> doc_id, source, size, source_size, target, taken."""
     require_columns(docs, ["doc_id", "text", "source"])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", F.array("source").alias("sources"), size.alias("size")), "sized")
+    sized = materialize(docs.select(known_id().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
     out = mix(sized, **options)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select(given_id("doc_id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
@@ -179,8 +202,10 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
 
     Each text of a repeated doc_id goes by its own source and size; a null doc_id gets its place from its text.
     """
-    mixed = mix_documents(docs.withColumn("doc_id", known_id()), **options).where("taken > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias("_mixed_id"), F.col("source").alias("_mixed_source"), F.col("size").alias("_mixed_size")).agg(F.max(F.expr("taken div size")).alias("_copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.join(mixed, (known_id() == F.col("_mixed_id")) & (size == F.col("_mixed_size")) & F.col("source").eqNullSafe(F.col("_mixed_source")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    sized = materialize(docs.select(known_id().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
+    mixed = mix(sized, **options).where("taken > 0")
+    id_, source_, size_, copies_, copy_ = (fresh(docs, x) for x in ("mixed_id", "mixed_source", "mixed_size", "copies", "copy"))
+    mixed = mixed.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.max(F.expr("taken div size")).alias(copies_))
+    out = docs.join(mixed, (known_id() == F.col(id_)) & (size == F.col(size_)) & F.col("source").eqNullSafe(F.col(source_)))
+    return out.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int")))).select(*own_columns(docs))
