@@ -1,10 +1,16 @@
 """SimHash fingerprints and Hamming search by permuted block tables.
 
 The terms of a text are its three-word shingles (with fewer words: all words as one), lower-cased
-in A-Z, weighted 1 + log(frequency).  Each term's 128-bit hash votes with its weight on every bit; the
+in A-Z, weighted 1 + log(frequency) to a 64th.  Each term's 128-bit hash votes with its weight on every bit; the
 fingerprint has a bit where the votes are positive, 32 lowercase hex digits in all.  Likeness is
 1 - Hamming distance / 128.
 
+Fingerprints within a Hamming radius are found by block tables: of radius + 1 blocks two such
+fingerprints agree in one at least, so each block in turn leads the key of a table.  Where more than HOT
+fingerprints share a key, the rest of them is cut into blocks again, which is the same argument on what
+is left, LEVELS times at most; those that still share a key (72 bits of 128 at radius 3) are compared
+with each other.  The search runs on distinct fingerprints, so copies of a text cost nothing.
+
 Cases: null counts as empty text; a text without words has the zero fingerprint; the next
 document of the last one is the first, so a lone document is its own next; rows that repeat a
 doc_id are ordered by text; a null doc_id comes last; no documents give no rows; extra columns
@@ -16,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import partial
 from hashlib import sha256
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import require_columns, small_batches
+from .common import materialize, require_columns, small_batches
 from .components import connected_components
 
-BITS, SHINGLE = 128, 3
+BITS, SHINGLE, RADIUS, HOT, LEVELS, SALTS = 128, 3, 3, 256, 3, 16
+PARTS = 4096  # ranges of doc_id at most; each bound is a literal of the plan
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -61,7 +67,8 @@ def simhash(text: str) -> bytes:
     if not len(terms):
         return bytes(BITS // 8)
     terms, counts = np.unique(terms, return_counts=True)
-    weights = (1 + np.log(counts)).astype(np.float32)
+    # Whole numbers, so that the sums of a chunk are exact in any order and ties are ties.
+    weights = np.rint(64 * (1 + np.log(counts))).astype(np.float32)
     votes = np.zeros(BITS, np.float64)
     for at in range(0, len(terms), 4096):
         t, w = terms[at : at + 4096], weights[at : at + 4096]
@@ -117,16 +124,21 @@ def _part(doc_id: Column, bounds: list) -> Column:
     return F.when(doc_id.isNull(), 0).otherwise(group * step + below(inside)).cast("int")
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """documents -> doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_class.
 
-    Texts move once, to parts of doc_id ranges; the first rows of each part are also sent to the
-    part before it in the descending order.
+    near_class is the smallest fingerprint linked with the document's own, steps being of at most
+    ``radius`` bits.  Texts move once, to parts of doc_id ranges, as many as the input has; the first
+    rows of each part are also sent to the part before it in the descending order.
     """
+    return fingerprint_classes(materialize(_prints(docs), "prints"), radius)
+
+
+def _prints(docs: DataFrame) -> DataFrame:
     require_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     small_batches(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(PARTS, max(1, docs.select("doc_id", "text").rdd.getNumPartitions()))
     ids = docs.select("doc_id")
     bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (8 * parts)) or [])) if parts > 1 else []
     bounds = [int(x) for x in bounds]
@@ -138,29 +150,39 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", _part(F.col("doc_id"), bounds).alias("own")).join(F.broadcast(helpers), F.col("doc_id").eqNullSafe(F.col("head")), "left")
     place = lambda part, helper: F.struct(part.alias("part"), F.lit(helper).alias("helper"))
     rows = rows.select("doc_id", "text", F.explode(F.array_compact(F.array(place(F.col("own"), 0), F.when(F.col("extra").isNotNull(), place(F.col("extra"), 1))))).alias("p")).select("doc_id", "text", "p.part", "p.helper")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "helper", F.desc("doc_id"), F.desc("text"))
+    rows = rows.repartitionById(parts, "part").sortWithinPartitions("part", "helper", F.desc("doc_id"), F.desc("text"))
     return rows.mapInArrow(_stream, f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_fingerprints(prints: DataFrame, column: str = "fingerprint", radius: int = 6, blocks: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of different fingerprints within the Hamming radius, a < b.
-
-    Two fingerprints within the radius agree on at least blocks - radius of the blocks; one table
-    for each choice of that many blocks, keyed by them, finds every such pair.
-    """
-    if not 0 <= radius < blocks or (BITS // 4) % blocks:
-        raise ValueError("radius must be below blocks, and blocks must divide the hex digits")
-    width = BITS // 4 // blocks
-    each = prints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct()
-    keys = [F.concat(F.lit(f"{i}:"), *(F.substring("f", b * width + 1, width) for b in c)) for i, c in enumerate(combinations(range(blocks), blocks - radius))]
-    table = each.select("f", F.explode(F.array(*keys)).alias("k"))
+def near_fingerprints(prints: DataFrame, column: str = "fingerprint", radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b, distance) of different fingerprints within the Hamming radius, a < b."""
+    length, blocks = BITS // 4, radius + 1
+    if not 0 <= radius < length:
+        raise ValueError(f"radius must be from 0 to {length - 1}")
+    todo = prints.select(F.col(column).alias("f")).where("f IS NOT NULL").distinct().select("f", F.lit("").alias("key"), F.col("f").alias("rest"))
     word = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word(F.col("a"), i).bitwiseXOR(word(F.col("b"), i))) for i in range(BITS // 32)), F.lit(0))
-    pairs = table.select(F.col("f").alias("a"), "k").join(table.select(F.col("f").alias("b"), "k"), "k").where("a < b")
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
-
-
-def fingerprint_classes(prints: DataFrame, radius: int = 6, blocks: int = 8) -> DataFrame:
-    """prints (doc_id, fingerprint) -> and class: the smallest fingerprint linked within the radius."""
-    found = connected_components(near_fingerprints(prints, radius=radius, blocks=blocks)).select(F.col("node").alias("fingerprint"), F.col("component").alias("class"))
-    return prints.join(found, "fingerprint", "left").withColumn("class", F.coalesce("class", "fingerprint"))
+    out = todo.select(F.col("f").alias("a"), F.col("f").alias("b"), F.lit(0).alias("distance")).where("false")
+    for level in range(1, LEVELS + 1):
+        size = length // blocks
+        cut = lambda i: F.struct(F.concat("key", F.lit(f"{i}:"), F.substring("rest", i * size + 1, size)).alias("key"), F.concat(F.substring("rest", 1, i * size), F.expr(f"substring(rest, {(i + 1) * size + 1})")).alias("rest"))  # noqa: B023, E731
+        rows = materialize(todo.select("f", F.explode(F.array(*map(cut, range(blocks)))).alias("x")).select("f", "x.key", "x.rest"), "blocks")
+        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+        length -= size
+        last = level == LEVELS or length < blocks
+        few = rows if last else rows.where(F.col("n") <= hot)
+        pairs = few.select(F.col("f").alias("a"), "key").join(few.select(F.col("f").alias("b"), "key"), "key").where("a < b").withColumn("distance", distance)
+        out = out.unionByName(pairs.where(F.col("distance") <= radius).select("a", "b", "distance"))
+        todo = rows.where(F.col("n") > hot).select("f", "key", "rest")
+        if last or todo.isEmpty():
+            break
+    return out.distinct()
+
+
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (with fingerprint) and near_class: the smallest fingerprint linked within the radius."""
+    found = connected_components(near_fingerprints(prints, radius=radius)).select(F.col("node").alias("fingerprint"), F.col("component").alias("found"))
+    # Rows of one fingerprint are spread by SALTS, and each class goes to all of its places.
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = prints.withColumn("salt", F.pmod(F.xxhash64("edited_sha256" if "edited_sha256" in prints.columns else "doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(found, ["fingerprint", "salt"], "left").select(*prints.columns, F.coalesce("found", "fingerprint").alias("near_class"))
