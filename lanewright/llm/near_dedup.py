@@ -22,7 +22,8 @@ original is found whichever piece the original is in.
 
 Cases: null or empty text has the empty set and is linked with nothing; a text of fewer than
 five words has one shingle; rows that repeat a doc_id count as one document with a set for each
-text; no documents give no rows; extra columns are ignored.
+text; a null doc_id ranks behind all others (rows of one text count as one document), and a component
+of null ids alone has a null component_id; no documents give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_id, materialize, require_columns, small_batches, text_key
+from .common import fresh, given_id, known_id, materialize, require_columns, small_batches, text_key
 from .components import connected_components
 from .fingerprints import shingle_hashes
 
@@ -366,7 +367,8 @@ def exact_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, in links of 100 * intersection >= percent * union."""
-    return _components(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    out = _components(docs.select(known_id().alias("doc_id"), "text"), percent)
+    return out.select(given_id("doc_id").alias("doc_id"), "n_shingles", given_id("component_id").alias("component_id"), "kept")
 
 
 def _components(docs: DataFrame, percent: int) -> DataFrame:
@@ -425,8 +427,9 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     judged = _components(known, percent).where("NOT kept").select("doc_id", "digest").distinct()
     small_batches(docs.sparkSession)
     maybe = known.join(judged.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digests, "doc_id long, digest binary, key string")
-    gone = maybe.join(judged, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
-    return docs.join(gone, (known_id() == F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti")
+    id_, key_ = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = maybe.join(judged, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
+    return docs.join(gone, (known_id() == F.col(id_)) & (text_key() == F.col(key_)), "left_anti")
 
 
 ORACLE_SQL = r"""
