@@ -182,3 +182,34 @@ def test_original_meets_copies_in_all_pieces(spark):
     table = spark.createDataFrame([(5, d, bytes(rng.bytes(40)), s.tobytes()) for d, s in rows], "key long, doc_id long, path binary, signature binary")
     got = {tuple(r) for r in nd.hub_pairs(table, 0.7, piece=50).collect()}
     assert {(0, i) for i in range(1, 600)} <= got
+
+
+def test_null_ids(spark):
+    w = [f"w{i}" for i in range(50)]
+    rows = [(7, " ".join(w)), (None, " ".join(["x", *w])), (None, "alone in the world of words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_components(docs).collect()), key=str)
+    assert got == sorted([(7, 46, 7, True), (None, 47, 7, False), (None, 2, None, True), (None, 0, None, True)], key=str)
+
+
+@pytest.mark.parametrize("parts", ["4", "48", "211"])
+def test_partitions_do_not_matter(spark, parts):
+    """A region over many pieces and parts: one original, copies linked with it and not with each other."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(1000, " ".join(base))]
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 10), 4):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {"spark.sql.shuffle.partitions": parts, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        assert {r.component_id for r in nd.near_components(docs).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -26,6 +26,11 @@ ODD = [
     (7, "twin", "y"),
     (7, "twin", "y"),
     (7, "other twin of the same id", "y"),
+    (8, "a \0b c", "y"),
+    (9, "x \x001 1", "y"),
+    (10, "\0b \0b\0 \0", "y"),
+    (11, "q" * 40_000, "y"),
+    (12, "ab cd " * 30_000, "y"),
 ]
 
 
@@ -60,6 +65,13 @@ def test_token_counts(docs, library):
     assert got == want
 
 
+def test_token_counts_on_every_code_point(library, spark):
+    texts = [f"a{c} b {c}b{c}1 {c}  {c}" for c in map(chr, range(0x3100))] + [f"{c}b {c} {c}" for c in map(chr, range(0x3100))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, tokenizer_path()).collect()}
+    assert got == {i: len(library(t)) for i, t in enumerate(texts)}
+
+
 def test_token_counts_without_hot_pre_tokens(docs, library, monkeypatch):
     monkeypatch.setattr(token_counts, "HOT", 3)
     got = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, tokenizer_path()).collect()}
