@@ -7,10 +7,12 @@ twice has two rows); what remains is packed into sequences.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewright.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
-from lanewright.llm.common import materialize, read_table
+from lanewright.llm.common import read_table, released
 from lanewright.llm.tokens import tokenizer_path
 
 
@@ -40,9 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; what a stage wrote on the way is deleted when its result stands."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = released(partial(stage, spark, docs, sf_dir), name)
     return docs
 
 
