@@ -147,51 +147,21 @@ class FMIndex:
             left, right = self.extend(patterns[:, k], left, right)
         return left, np.maximum(left, right)
 
-    def matching_statistics(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each word of each streamed sequence: the match length from there, up to depth, and the run its suffix interval starts in.
+    def matching_statistics(self, flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of streamed texts in a row the length of the longest match that ends there, up to depth, and the run its suffix interval starts in.
 
-        Sequences are read from right to left, all at once, by backward search.  A match longer
-        than ``depth`` is cut to it by widening its interval to the run of its first ``depth`` words.
-        Where a step finds nothing, the longest match from there is searched anew by bisection.
+        ``room`` says how many words of its own text end at each place.  All places are searched
+        backwards at once, and each leaves when its interval is empty or depth is reached.
         """
-        order = sorted(range(len(sequences)), key=lambda q: -len(sequences[q]))
-        lengths = np.array([len(sequences[q]) for q in order], np.int64)
-        flat = np.concatenate([sequences[q] for q in order]) if order else np.zeros(0, np.int64)
-        base = np.concatenate([[0], np.cumsum(lengths)])[:-1] if len(order) else np.zeros(0, np.int64)
-        size, start = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        left, right = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
-        match = np.zeros(len(order), np.int64)
-        for step in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
-            live = int(np.searchsorted(-lengths, -step, "right"))
-            at = base[:live] + lengths[:live] - step
-            a, b = self.extend(flat[at], left[:live], right[:live])
-            m = match[:live] + 1
-            if len(lost := np.flatnonzero(b <= a)):
-                m[lost], a[lost], b[lost] = self._longest(flat, at[lost], np.minimum(self.depth, m[lost] - 1))
-            full = m >= self.depth
-            if full.any():
-                wide = self.run[a[full]]
-                a[full], b[full] = self.edges[wide], self.edges[wide + 1]
-            left[:live], right[:live], match[:live] = a, b, np.minimum(m, self.depth)
-            size[at], start[at] = match[:live], a
-        start = self.run[np.minimum(start, self.n - 1)] if self.n else start
-        out: list = [None] * len(order)
-        for k, q in enumerate(order):
-            out[q] = (size[base[k] : base[k] + lengths[k]], start[base[k] : base[k] + lengths[k]])
-        return out
-
-    def _longest(self, flat: np.ndarray, at: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Longest prefixes, of at most ``most`` words, of flat[at:] that occur, with their intervals: bisection over the length, for all at once."""
-        low, high = np.zeros(len(at), np.int64), most.copy()
+        size, run = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        at = np.flatnonzero(room > 0) if self.n else np.zeros(0, np.int64)
         left, right = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64)
-        while (todo := np.flatnonzero(low < high)).size:
-            mid = (low[todo] + high[todo] + 1) // 2
-            a, b = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
-            for k in range(int(mid.max()) - 1, -1, -1):
-                here = np.flatnonzero((mid > k) & (b > a))
-                a[here], b[here] = self.extend(flat[at[todo[here]] + k], a[here], b[here])
+        for k in range(self.depth):
+            a, b = self.extend(flat[at - k], left, right)
             found = b > a
-            yes, no = todo[found], todo[~found]
-            low[yes], left[yes], right[yes] = mid[found], a[found], b[found]
-            high[no] = mid[~found] - 1
-        return low, left, right
+            at, left, right = at[found], a[found], b[found]
+            size[at] = k + 1
+            run[at] = self.run[left]
+            more = room[at] > k + 1
+            at, left, right = at[more], left[more], right[more]
+        return size, run

@@ -12,9 +12,10 @@ A window is WINDOW consecutive words of a document; it is a repeat if its words
 3. Distinct segments come to shards of bounded size, all of an anchor to one.  The earliest
    segment of each anchor goes into the shard's FM-index (BWT in a wavelet matrix; of the suffix
    array only the first place of each run of suffixes that share a window is kept).  All later ones
-   are streamed against it from right to left by backward search: where the matching statistic
-   reaches WINDOW, the window is a repeat, and its suffix interval tells its first place.  Stretches
-   under the threshold go through again, with twice as many segments of each anchor indexed.
+   are streamed against it: backward search gives each word's matching statistic, the longest match
+   that ends there; where it reaches WINDOW, the window is a repeat, and its suffix interval tells its
+   first place.  Stretches under the threshold go through again, with twice as many segments of each
+   anchor indexed.
 4. Every occurrence compares its windows' own places with the first ones, and documents
    keep the words that no repeat covers.
 
@@ -230,10 +231,19 @@ def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WIND
 
         for (i, a, b), own in zip(indexed, index.own, strict=True):
             out[i][a : b - window + 1] = places(own[: b - a - window + 1])
-        for (i, a, b), (size, run) in zip(streamed, index.matching_statistics([words[i][a:b] for i, a, b in streamed]), strict=True):
-            again = size[: b - a - window + 1] >= window
-            out[i][a : b - window + 1][again] = places(index.first[run[: len(again)][again]])
-            if not again.all():
+        length = np.array([b - a for _, a, b in streamed], np.int64)
+        stops = np.cumsum(length)
+        room = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - length, length) + 1
+        # Places before the end of a text's first window can't complete one.
+        size, run = index.matching_statistics(np.concatenate([words[i][a:b] for i, a, b in streamed]) if streamed else np.zeros(0, np.int64), np.where(room >= window, room, 0))
+        reached = size >= window
+        earlier = places(index.first[run[reached]])
+        upto = np.concatenate([[0], np.cumsum(reached)])
+        for (i, a, b), stop in zip(streamed, stops.tolist(), strict=True):
+            begin_ = stop - (b - a) + window - 1
+            again = reached[begin_:stop]
+            out[i][a : b - window + 1][again] = earlier[upto[begin_] : upto[stop]]
+            if upto[stop] - upto[begin_] < stop - begin_:
                 turns = np.flatnonzero(np.diff(np.concatenate([[True], again, [True]])))
                 rest += [(i, a + x, a + y + window - 1) for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
         todo, take = rest, 2 * take

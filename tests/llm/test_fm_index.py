@@ -42,16 +42,20 @@ def test_search_and_matching_statistics(seed):
     foreign = texts(seed + 50, 6, 5)
     for depth in (3, 8, 17):
         index = FMIndex(known, depth)
-        for q, (size, run) in zip([*known, *foreign], index.matching_statistics([*known, *foreign])):
-            for i in range(len(q)):
-                best = max(m for m in range(min(depth, len(q) - i) + 1) if m == 0 or occurs(known, q[i : i + m]))
-                assert size[i] == best
+        streamed = [*known, *foreign]
+        sizes, runs = index.matching_statistics(np.concatenate(streamed), np.concatenate([np.arange(1, len(q) + 1) for q in streamed]))
+        at = 0
+        for q in streamed:
+            for e in range(1, len(q) + 1):
+                best = max(m for m in range(min(depth, e) + 1) if m == 0 or occurs(known, q[e - m : e]))
+                assert sizes[at] == best
                 if best == depth:
-                    who, where = index.place(index.first[run[i : i + 1]])
-                    first = min((k, x) for k, s in enumerate(known) for x in range(len(s) - depth + 1) if s[x : x + depth].tolist() == q[i : i + depth].tolist())
+                    who, where = index.place(index.first[runs[at : at + 1]])
+                    first = min((k, x) for k, s in enumerate(known) for x in range(len(s) - depth + 1) if s[x : x + depth].tolist() == q[e - depth : e].tolist())
                     assert (who[0], where[0]) == first
+                at += 1
 
 
 def test_empty():
     index = FMIndex([], 2)
-    assert index.matching_statistics([np.array([1, 2])])[0][0].tolist() == [0, 0]
+    assert index.matching_statistics(np.array([1, 2]), np.array([1, 2]))[0].tolist() == [0, 0]
