@@ -38,6 +38,7 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 from hashlib import sha256
 from itertools import chain, compress, groupby
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -203,14 +204,20 @@ def _occurrences(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.Recor
         yield pa.record_batch([b.column("doc_id").take(pa.array(p["row"])), pa.array(keys[p["row"]]), pa.array(p["d1"]), pa.array(p["d2"]), pa.array(p["at"], pa.int32()), pa.array(p["count"], pa.int32())], ["doc_id", "doc_key", "d1", "d2", "at", "count"])
 
 
-def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """contents (key, words, doc, place of its first word) -> for each the (doc, place) where each of its windows first occurs in contents of its key."""
+def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WINDOW) -> list[np.ndarray | None]:
+    """contents (key, words, doc, place of its first word) -> for each the (doc, place) where each of its windows first occurs in contents of its key; None where all do at their own places."""
     ids: dict[bytes, int] = {}
     words = [np.array([ids.setdefault(w, len(ids) + 1) for w in c.split(b" ")], np.int64) for _, c, _, _ in contents]
     key = [c[0] for c in contents]
     doc, at = np.array([c[2] for c in contents], np.int64), np.array([c[3] for c in contents], np.int64)
-    # Its own place, until an earlier one is found.
-    out = [np.column_stack([np.full(m, d), p + np.arange(m)]) for d, p, m in zip(doc, at, (len(w) - window + 1 for w in words), strict=True)]
+    out: list[np.ndarray | None] = [None] * len(contents)
+
+    def found(i: int) -> np.ndarray:
+        if out[i] is None:
+            m = len(words[i]) - window + 1
+            out[i] = np.column_stack([np.full(m, doc[i]), at[i] + np.arange(m)])
+        return out[i]
+
     todo = [(i, 0, len(words[i])) for i in sorted(range(len(contents)), key=lambda i: (key[i], doc[i], at[i]))]
     take = 1
     while todo:
@@ -229,8 +236,10 @@ def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WIND
             who, where = index.place(rank)  # noqa: B023
             return np.column_stack([doc[of[who]], at[of[who]] + begin[who] + where])  # noqa: B023
 
-        for (i, a, b), own in zip(indexed, index.own, strict=True):
-            out[i][a : b - window + 1] = places(own[: b - a - window + 1])
+        for (i, a, b), own, start in zip(indexed, index.own, index.starts.tolist(), strict=True):
+            own = own[: b - a - window + 1]
+            if (own != np.arange(start, start + len(own))).any():
+                found(i)[a : b - window + 1] = places(own)
         length = np.array([b - a for _, a, b in streamed], np.int64)
         stops = np.cumsum(length)
         room = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - length, length) + 1
@@ -238,12 +247,13 @@ def first_places(contents: list[tuple[int, bytes, int, int]], window: int = WIND
         size, run = index.matching_statistics(np.concatenate([words[i][a:b] for i, a, b in streamed]) if streamed else np.zeros(0, np.int64), np.where(room >= window, room, 0))
         reached = size >= window
         earlier = places(index.first[run[reached]])
-        upto = np.concatenate([[0], np.cumsum(reached)])
+        upto = np.concatenate([[0], np.cumsum(reached)]).tolist()
         for (i, a, b), stop in zip(streamed, stops.tolist(), strict=True):
             begin_ = stop - (b - a) + window - 1
-            again = reached[begin_:stop]
-            out[i][a : b - window + 1][again] = earlier[upto[begin_] : upto[stop]]
-            if upto[stop] - upto[begin_] < stop - begin_:
+            again, low, high = reached[begin_:stop], upto[begin_], upto[stop]
+            if low < high:
+                found(i)[a : b - window + 1][again] = earlier[low:high]
+            if high - low < stop - begin_:
                 turns = np.flatnonzero(np.diff(np.concatenate([[True], again, [True]])))
                 rest += [(i, a + x, a + y + window - 1) for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
         todo, take = rest, 2 * take
@@ -264,8 +274,10 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, d1, d2, doc, at, content in rows:
             if (d1, d2) not in first or (doc, at) < first[d1, d2][2:]:
                 first[d1, d2] = (key, content, doc, at)
-        places = first_places(list(first.values()))
-        return pa.record_batch([pa.array([d[0] for d in first], pa.int64()), pa.array([d[1] for d in first], pa.int64()), pa.array([_runs(p) for p in places], pa.binary())], ["d1", "d2", "places"])
+        contents = list(first.values())
+        own = lambda c: pack("<3q", c[2], c[3], c[1].count(b" ") + 2 - WINDOW)
+        places = [own(c) if p is None else _runs(p) for c, p in zip(contents, first_places(contents), strict=True)]
+        return pa.record_batch([pa.array([d[0] for d in first], pa.int64()), pa.array([d[1] for d in first], pa.int64()), pa.array(places, pa.binary())], ["d1", "d2", "places"])
 
     rows, size, key = [], 0, None
     for b in batches:
