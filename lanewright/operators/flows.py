@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanewright.session import ensure_checkpoints
+
 
 def best_parallel(edges: DataFrame, cost: str, edge: str = "edge_id") -> DataFrame:
     """One edge for each (u, v): the cheapest, ties by id."""
@@ -62,10 +64,7 @@ def calibrate(paths: DataFrame, observed: DataFrame, iterations: int = 40, dampi
     Lineage is cut by reliable checkpoints, which survive a lost executor.
     """
     spark = paths.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-"))
+    ensure_checkpoints(spark)
     train = observed.where("split = 'train'").select("edge_id", F.col("observed").alias("target"))
     pairs = paths.select("path_id", F.explode(F.array_distinct("edge_ids")).alias("edge_id")).join(train, "edge_id").checkpoint()
     first = pairs.join(paths.select("path_id", "prior_weight"), "path_id").groupBy("edge_id", "target").agg(F.sum("prior_weight").alias("p"))

@@ -34,18 +34,30 @@ def corridor_consensus(df: DataFrame, keys: list[str], value: str, spread: float
     return g.where((F.col("n") >= least) & (F.col("spread") <= spread))
 
 
-def resolve(edges: DataFrame, corridor: list[str]) -> DataFrame:
-    """edges (edge_id, road_class, authority_*, osm_*) with speed, lanes and capacity, each with source and confidence."""
-    base = edges.withColumns({"_s": F.coalesce("authority_speed", "osm_speed"), "_l": F.coalesce("authority_lanes", "osm_lanes")})
-    speed = corridor_consensus(base, corridor, "_s", SPEED_RANGE).select(*corridor, F.col("consensus").alias("_cs"))
-    lanes = corridor_consensus(base, corridor, "_l", LANE_RANGE).select(*corridor, F.col("consensus").alias("_cl"))
-    out = base.join(speed, corridor, "left").join(lanes, corridor, "left")
-    c = F.col("road_class")
-    v, s, k = cascade([("authority", F.col("authority_speed"), "high"), ("osm", F.col("osm_speed"), "medium"), ("corridor", F.col("_cs"), "medium"), ("class_default", by_class(c, SPEEDS, 30.0), "low")])
-    out = out.withColumns({"speed_kph": v, "speed_source": s, "speed_confidence": k})
-    v, s, k = cascade([("authority", F.col("authority_lanes"), "high"), ("osm", F.col("osm_lanes"), "medium"), ("corridor", F.col("_cl"), "medium"), ("class_default", by_class(c, LANES, 1).cast("double"), "low")])
+def resolve(edges: DataFrame, corridor: str = "corridor", within: tuple[str, ...] = ()) -> DataFrame:
+    """edges with speed, lanes and capacity, each with source and confidence.
+
+    edges: road_class, authority_speed with authority_source and authority_confidence (of the source
+    matched, null without one), osm_speed and osm_lanes (explicit tags only), the corridor and the
+    columns ``within`` which it is one (tiles).  A speed is the authority's, else the tag's, else the
+    consensus of the corridor's edges of the class that have one, else the class default; lanes the same
+    without an authority.  An edge without a corridor (null or empty) has no neighbours.  Capacity is
+    lanes times the class's lane capacity and as sure as the lanes.
+    """
+    c, keys = F.col("road_class"), [corridor, "road_class", *within]
+    known = edges.withColumn("_s", F.coalesce("authority_speed", "osm_speed"))
+    named = known.where(F.col(corridor) != "")
+    speed = corridor_consensus(named, keys, "_s", SPEED_RANGE).select(*keys, F.col("consensus").alias("_cs"))
+    lanes = corridor_consensus(named, keys, "osm_lanes", LANE_RANGE).select(*keys, F.col("consensus").alias("_cl"))
+    out = known.join(speed, keys, "left").join(lanes, keys, "left")
+    near, by_default = "same_corridor_neighbor", "road_class_default"
+    v, s, k = cascade([("authority", F.col("authority_speed"), "high"), ("osm_explicit", F.col("osm_speed"), "medium"), (near, F.col("_cs"), "low"), (by_default, by_class(c, SPEEDS, 30.0), "low")])
+    official = F.col("authority_speed").isNotNull()
+    out = out.withColumns({"speed_kph": v, "speed_source": F.when(official, F.col("authority_source")).otherwise(s), "speed_confidence": F.when(official, F.col("authority_confidence")).otherwise(k)})
+    v, s, k = cascade([("osm_explicit", F.col("osm_lanes"), "medium"), (near, F.col("_cl"), "low"), (by_default, by_class(c, LANES, 1).cast("double"), "low")])
     out = out.withColumns({"lanes": F.greatest(F.lit(1.0), v), "lanes_source": s, "lanes_confidence": k})
-    return out.withColumn("capacity_vph", F.col("lanes") * by_class(c, LANE_CAPACITY, 700.0)).drop("_s", "_l", "_cs", "_cl")
+    capacity = F.col("lanes") * by_class(c, LANE_CAPACITY, 700.0)
+    return out.withColumns({"capacity_vph": capacity, "capacity_source": F.lit("road_class_x_resolved_lanes"), "capacity_confidence": F.col("lanes_confidence")}).drop("_s", "_cs", "_cl")
 
 
 def weighted_evidence(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:

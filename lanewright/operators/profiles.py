@@ -50,15 +50,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()))
 
 
-def bounded_sample(df: DataFrame, keys: list[str], value: str, limit: int = 10_000) -> DataFrame:
+def bounded_sample(df: DataFrame, keys: list[str], value: str, limit: int = 10_000, bins: int = 256) -> DataFrame:
     """At most ``limit`` order statistics of each key, evenly spread: place floor(i * (n - 1) / (limit - 1)).
 
-    Ranks come from counts of distinct values, so a key is never sorted row by row in one task:
-    values are counted first, and the window runs over distinct values.
+    Values are counted first, and ranked within ``bins`` ranges of about as many rows, so that no
+    key is sorted in one task; what stands before a range comes from the ranges' own counts.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("_end", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    bounds = sorted(set(df.approxQuantile(value, [i / bins for i in range(1, bins)], 0.25 / bins)))
+    counts = counts.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(value))) if bounds else F.lit(0))
+    # A row for each key and range.
+    sizes = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_s")
+    sizes = sizes.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_bin"), before.alias("_before"), F.sum("_s").over(Window.partitionBy(*keys)).alias("_n"))
+    same = F.col("_b") == F.col("_bin")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = counts.join(sizes, same).withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(value)))
     ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c"))
     k = F.least(F.col("_n"), F.lit(limit))
     step = F.when(k > 1, (F.col("_n") - 1) / (k - 1)).otherwise(F.lit(1.0))

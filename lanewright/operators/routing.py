@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.session import ensure_checkpoints
+
 from .flows import best_parallel, msa_step
 
 MAX_EDGES = 20_000_000
@@ -106,10 +108,7 @@ def relax(edges: DataFrame, sources: DataFrame, cost: str = "cost", rounds: int
     (or after ``rounds``, if given) raise an error: a cycle of negative cost, or a bound set too low.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-"))
+    ensure_checkpoints(spark)
     e = edges.groupBy("u", "v").agg(F.min(cost).alias("c"))
     dist = sources.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct()
     if rounds is None:
@@ -195,10 +194,7 @@ def assign(edges: DataFrame, demands: DataFrame, iterations: int = 4, base: Data
 def weak_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that is linked, by spreading the least label with pointer jumps."""
     spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-"))
+    ensure_checkpoints(spark)
     both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).union(edges.select(v, u)).distinct().checkpoint()
     label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "node")
     before = None
@@ -209,9 +205,9 @@ def weak_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int =
         label = label.join(jump, "l", "left").select("node", F.least(F.col("l"), F.coalesce("j", "l")).alias("l")).checkpoint()
         now = label.agg(F.sum(F.xxhash64("node", "l").cast("decimal(38,0)"))).head()
         if now == before:
-            break
+            return label.withColumnRenamed("l", "component")
         before = now
-    return label.withColumnRenamed("l", "component")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def strong_components(graph: Graph) -> list[list]:

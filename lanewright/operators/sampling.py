@@ -29,16 +29,17 @@ def reliability(draws: DataFrame, value: str, limit_seconds: float, quantiles: d
     return draws.agg(F.avg((F.col(value) <= limit_seconds).cast("double")).alias("probability"), F.avg(value).alias("mean"), *(F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()))
 
 
-def latest_departure(arrivals: DataFrame, departure: str, arrival: str, deadline) -> DataFrame:
-    """The last departure that still arrives in time; null if none does."""
-    return arrivals.agg(F.max(F.when(F.col(arrival) <= F.lit(deadline), F.col(departure))).alias("latest"))
+def latest_departure(arrivals: DataFrame, departure: str, arrival: str, deadline, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The last departure (of each key) that still arrives in time; null if none does."""
+    return arrivals.groupBy(*keys).agg(F.max(F.when(F.col(arrival) <= F.lit(deadline), F.col(departure))).alias("latest"))
 
 
-def balanced_rounding(df: DataFrame, key: str, demand: str, scale: float, seed: int) -> DataFrame:
+def balanced_rounding(df: DataFrame, key: str, demand: str, scale: float, seed: int, bins: int = 1024) -> DataFrame:
     """Whole units of demand / scale that sum to the rounded total.
 
     Floors first; the units left go to fractions drawn without replacement, weighted by -ln(u) / fraction.
-    The order is global, so it runs over a histogram of keys' draws: only those near the cut are ranked.
+    The order is global: ``bins`` quantiles of the draws tell in which range the last unit falls, and only
+    the rows of that range are ranked.
     """
     exact = F.col(demand) / scale
     parts = df.withColumns({"units": F.floor(exact).cast("long"), "_f": exact - F.floor(exact)})
@@ -46,7 +47,17 @@ def balanced_rounding(df: DataFrame, key: str, demand: str, scale: float, seed:
     need = parts.agg((F.bround(F.sum(exact)) - F.sum("units")).cast("long")).head()[0] or 0
     if need <= 0:
         return parts.drop("_f", "_k")
-    winners = parts.where("_k IS NOT NULL").orderBy("_k", key).limit(need).select(key, F.lit(1).alias("_one"))
+    drawn = parts.where("_k IS NOT NULL")
+    bounds = sorted(set(drawn.approxQuantile("_k", [i / bins for i in range(1, bins)], 0.25 / bins)))
+    drawn = drawn.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("_k"))) if bounds else F.lit(0))
+    cut, left = -1, need
+    for row in sorted(drawn.groupBy("_b").count().collect()):  # a row for each range
+        cut = row[0]
+        if row[1] >= left:
+            break
+        left -= row[1]
+    last = drawn.where(F.col("_b") == cut).orderBy("_k", key).limit(left).select(key)
+    winners = drawn.where(F.col("_b") < cut).select(key).unionByName(last).withColumn("_one", F.lit(1))
     return parts.join(winners, key, "left").withColumn("units", F.col("units") + F.coalesce("_one", F.lit(0))).drop("_f", "_k", "_one")
 
 

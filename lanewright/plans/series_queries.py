@@ -137,10 +137,10 @@ def schedule_state_interpolate(spark, sf_dir):
 
 
 @query("nearest_bucket", f"""
-WITH p AS (SELECT {BUCKET} AS bucket_minute, user_id, count(*) AS n FROM events WHERE {BUCKET} % 45 = 0 GROUP BY 1, 2)
+WITH p AS (SELECT {BUCKET} AS bucket_minute, user_id, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT bucket_minute, user_id, n FROM p WHERE bucket_minute = (SELECT bucket_minute FROM p ORDER BY abs(bucket_minute - 487), bucket_minute LIMIT 1)""")
 def nearest_bucket(spark, sf_dir):
-    p = timed(spark, sf_dir).where("bucket % 45 = 0").groupBy(F.col("bucket").alias("bucket_minute"), "user_id").agg(F.count("*").alias("n"))
+    p = timed(spark, sf_dir).groupBy(F.col("bucket").alias("bucket_minute"), "user_id").agg(F.count("*").alias("n"))
     return profiles.nearest_bucket(p, 487)
 
 
@@ -200,11 +200,12 @@ def restriction_toggles(spark, sf_dir):
 
 @query("range_overlaps", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, max(l_shipdate + INTERVAL 20 DAY) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM lineitem) WHERE l_shipdate <= p")
 def range_overlaps(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").withColumns({"_s": F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber"), "_e": F.struct((F.col("l_shipdate") + F.expr("INTERVAL 20 DAY")).alias("l_shipdate"))})
-    from pyspark.sql.window import Window
-
-    before = F.max(F.col("_e.l_shipdate")).over(Window.partitionBy("l_orderkey").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    return li.withColumn("p", before).where("l_shipdate <= p").select("l_orderkey", "l_linenumber", "l_partkey")
+    li = read(spark, sf_dir, "lineitem")
+    order = lambda day: F.struct(day.cast("timestamp").alias("day"), "l_partkey", "l_suppkey", "l_linenumber")
+    # Ends rank behind every start of their day.
+    end = F.struct((F.col("l_shipdate") + F.expr("INTERVAL 20 DAY")).cast("timestamp").alias("day"), *(F.lit((1 << 62)).cast(li.schema[c].dataType).alias(c) if li.schema[c].dataType.simpleString() == "bigint" else F.lit((1 << 31) - 1).cast(li.schema[c].dataType).alias(c) for c in ("l_partkey", "l_suppkey", "l_linenumber")))
+    ranges = li.withColumns({"begins": order(F.col("l_shipdate")), "ends": end})
+    return validate.overlapping_ranges(ranges, "l_orderkey", "begins", "ends").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("holdout_split", """
@@ -251,19 +252,22 @@ def reliability_quantiles(spark, sf_dir):
 
 
 @query("bootstrap_draws", """
-WITH pool AS (SELECT list(value ORDER BY value) AS p FROM (SELECT value FROM events ORDER BY event_id LIMIT 500)),
+WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL),
+i AS (SELECT n, unnest(range(0, least(n, 10000)))::BIGINT AS i FROM (SELECT DISTINCT n FROM r)),
+pool AS (SELECT list(round_even(value, 6) ORDER BY value) AS p FROM i JOIN r ON r.k = floor(i * CASE WHEN least(i.n, 10000) > 1 THEN (i.n - 1)::DOUBLE / (least(i.n, 10000) - 1) ELSE 1 END + 1e-9)),
 d AS (SELECT unnest(range(0, 1000)) AS draw)
 SELECT draw::BIGINT AS draw, p[1 + least(floor(('0x' || substr(sha256('7|' || draw::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * len(p)), len(p) - 1)::INT] AS value FROM d, pool""")
 def bootstrap_draws(spark, sf_dir):
-    pool = read(spark, sf_dir, "events").orderBy("event_id").limit(500)
-    return sampling.bootstrap(spark, pool, "value", 1000, 7)
+    pool = profiles.bounded_sample(read(spark, sf_dir, "events"), [], "value")
+    return sampling.bootstrap(spark, pool, "sample", 1000, 7)
 
 
 @query("latest_departure", "SELECT user_id, max(ts) FILTER (WHERE ts + to_microseconds((value * 1000000)::BIGINT) <= TIMESTAMP '2024-01-20 08:00:00') AS latest FROM events GROUP BY user_id")
 def latest_departure(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     arrival = F.timestamp_add("MICROSECOND", F.round(F.col("value") * 1_000_000).cast("long"), F.col("ts"))
-    return e.groupBy("user_id").agg(F.max(F.when(arrival <= F.lit("2024-01-20 08:00:00").cast("timestamp_ntz"), F.col("ts"))).alias("latest"))
+    deadline = F.lit("2024-01-20 08:00:00").cast("timestamp_ntz")
+    return sampling.latest_departure(e.withColumn("arrival", arrival), "ts", "arrival", deadline, ("user_id",))
 
 
 @query("schedule_evidence_gate", f"""

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Reliable checkpoints go to spark.checkpoint.dir; where it is unset, to a local folder in local mode and nowhere else."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="lanewright-")
+    context.setCheckpointDir(at)
+
+
 def session(name: str = "lanewright", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, ANSI casts, adaptive execution with skew handling; everything else is the cluster's."""
     builder = SparkSession.builder.appName(name)

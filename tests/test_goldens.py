@@ -219,12 +219,24 @@ def test_od(spark):
 
 
 def test_priors(spark):
-    rows = [("e1", "c", "residential", 50.0, None, None, None), ("e2", "c", "residential", None, 40.0, None, 2.0), ("e3", "c", "residential", None, None, None, None), ("e4", "d", "motorway", None, None, None, None)]
-    e = spark.createDataFrame(rows, "edge_id string, corridor string, road_class string, authority_speed double, osm_speed double, authority_lanes double, osm_lanes double")
-    got = {r.edge_id: r for r in priors.resolve(e, ["corridor"]).collect()}
-    assert (got["e1"].speed_kph, got["e1"].speed_source) == (50.0, "authority") and (got["e3"].speed_kph, got["e3"].speed_source) == (45.0, "corridor")
-    assert (got["e4"].speed_kph, got["e4"].lanes, got["e4"].capacity_vph, got["e4"].speed_confidence) == (100.0, 3.0, 6000.0, "low")
-    assert got["e3"].lanes == 1.0 and got["e3"].capacity_vph == 700.0
+    rows = [
+        ("e1", "c", "residential", 50.0, "city", "medium", None, None),
+        ("e2", "c", "residential", None, None, None, 40.0, 2.0),
+        ("e3", "c", "residential", None, None, None, None, None),
+        ("e4", "d", "motorway", None, None, None, None, None),
+        ("e5", "", "residential", 20.0, "city", "high", None, None),
+        ("e6", "", "residential", 20.0, "city", "high", None, None),
+        ("e7", "", "residential", None, None, None, None, None),
+        ("e8", None, "residential", None, None, None, None, 3.0),
+    ]
+    e = spark.createDataFrame(rows, "edge_id string, corridor string, road_class string, authority_speed double, authority_source string, authority_confidence string, osm_speed double, osm_lanes double")
+    got = {r.edge_id: r for r in priors.resolve(e).collect()}
+    speed = {k: (r.speed_kph, r.speed_source, r.speed_confidence) for k, r in got.items()}
+    assert len(got) == 8 and speed["e1"] == (50.0, "city", "medium") and speed["e2"] == (40.0, "osm_explicit", "medium")
+    assert speed["e3"] == (45.0, "same_corridor_neighbor", "low")
+    assert speed["e4"] == (100.0, "road_class_default", "low") == (*speed["e4"],) and speed["e7"] == (30.0, "road_class_default", "low") == speed["e8"]
+    assert (got["e4"].lanes, got["e4"].capacity_vph) == (3.0, 6000.0) and got["e3"].capacity_vph == 700.0
+    assert (got["e8"].lanes_source, got["e8"].capacity_confidence) == ("osm_explicit", "medium") and got["e3"].lanes_source == "road_class_default"
 
 
 def test_sampling(spark):
