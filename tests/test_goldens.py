@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import clean, geo, hashing, text, times
-from lanewright.operators import flows, matching, observations, od, priors, profiles, routing, sampling, schedules, spatial, validate
+from lanewright.operators import flows, matching, observations, od, priors, profiles, routing, sampling, scenarios, schedules, spatial, validate
 
 
 def one(df):
@@ -279,3 +279,18 @@ def test_relax_goes_on_until_nothing_changes(spark):
     assert far == {f"{i:02}": float(i) for i in range(56)}
     with pytest.raises(RuntimeError, match="settle"):
         routing.relax(e, spark.createDataFrame([("00",)], "origin string"), rounds=3)
+
+
+def test_scenarios(spark):
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "d")], "edge_id string, u string, v string")
+    flows_ = spark.createDataFrame([("e1", 900.0), ("e2", 600.0), ("e9", 5.0)], "edge_id string, flow double")
+    closed = spark.createDataFrame([("e1", "full"), ("e1", "full"), ("e2", "lanes"), ("e3", "full")], "edge_id string, type string")
+    demand, stay = scenarios.displaced_demand(edges, flows_, closed)
+    assert [tuple(r) for r in demand.collect()] == [("a", "b", 900.0)] and {r.edge_id for r in stay.collect()} == {"e2", "e9"}
+    rows = [("k", 1, 100.0, 1000.0, 50.0, 900.0, ["x", "y"]), ("k", 2, 120.0, 1000.0, 0.0, 0.0, ["x", "z"]), ("k", 3, 110.0, 1000.0, 20.0, 0.0, ["p"]), ("k", 4, 300.0, 1000.0, 200.0, 0.0, ["q"]), ("one", 5, 7.0, 0.0, 0.0, 0.0, [])]
+    ranked = scenarios.rank_routes(spark.createDataFrame(rows, "k string, route_id long, travel_seconds double, distance_m double, penalty_seconds double, residential_m double, edge_ids array<string>"), ["k"])
+    assert {(r.k, r.ranking): (r.route_id, r.overlap_percent) for r in ranked.collect()} == {("k", "fastest"): (1, 100.0), ("k", "reliable"): (2, 50.0), ("k", "balanced"): (3, 0.0), ("one", "fastest"): (5, 0.0)}
+    chunks = scenarios.date_chunks(spark, "2026-01-01", "2026-01-04", 1, (5, 6), spark.createDataFrame([(11,)], "highway_id long"), "00:15:00").collect()
+    assert sorted(r.id for r in chunks) == ["highway-11_2026-01-01_2026-01-01_00-15-00", "highway-11_2026-01-02_2026-01-02_00-15-00"]
+    p = spark.createDataFrame([(1, [1, 2], [7]), (2, [1], []), (3, [1], [7]), (4, [1, 2], [7]), (4, [1, 2], [7])], "path_id long, node_ids array<long>, edge_ids array<long>")
+    assert sorted((r.path_id, r.reason) for r in scenarios.valid_paths(p).collect()) == [(1, None), (2, "empty"), (3, "sizes"), (4, "repeated"), (4, "repeated")]
