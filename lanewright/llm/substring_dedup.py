@@ -22,9 +22,10 @@ A window is WINDOW consecutive words of a document; it is a repeat if its words
 A whole document with the words of an earlier one is one class with it: all its windows are
 repeats, so nothing of it is searched.
 
-Which anchors repeat, and which are frequent, travels as two tables of FOUND_BITS and OFTEN_BITS bits,
-whose size does not depend on the input.  Anchors that fall on a set bit by chance only send segments
-that step 3 finds to be alone, or in single windows; results stay the same.
+Which anchors repeat, and which are frequent, travels as two tables of bits: 64 for each anchor, and of
+2 ** FOUND_BITS and 2 ** OFTEN_BITS bits (64 and 2 MB) at most, whatever the input.  Anchors that fall on
+a set bit by chance only send segments that step 3 finds to be alone, or in single windows; results
+stay the same.
 
 Cases: null, empty and short texts (under WINDOW words) lose nothing; rows that repeat a doc_id
 with the same words count as one document and get equal rows, with other words each keeps its
@@ -53,7 +54,7 @@ WINDOW, ANCHOR = 20, 4
 LONGEST = 256  # windows in a segment
 FREQUENT = 2000  # rows of an anchor from which segments are cut into windows
 SHARD_WORDS = 300_000
-FOUND_BITS, OFTEN_BITS = 28, 24
+FOUND_BITS, OFTEN_BITS = 29, 24
 SALTS = 16
 EMPTY = sha256(b"").hexdigest()
 _B1, _B2 = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)
@@ -148,8 +149,9 @@ class Batch:
         return {"row": row, "key": np.where(single, digests[0], anchor), "d1": digests[0], "d2": digests[1], "first": first, "at": first - self.starts[row], "count": count, "single": single}
 
 
-def bit_table(anchors: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2 ** bits bits, those of the anchors set."""
+def bit_table(anchors: DataFrame, most: int) -> np.ndarray:
+    """A table of 64 bits for each anchor, to a power of two, 2 ** most at most; those of the anchors are set."""
+    bits = min(most, max(12, (64 * anchors.count()).bit_length()))
     bit = F.col("anchor").bitwiseAND((1 << bits) - 1)
     words = anchors.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(anchor & 63 AS int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
