@@ -116,3 +116,35 @@ def lonlat_to_utm10(lon: Column, lat: Column) -> tuple[Column, Column]:
     east = _K0 * n * (a + (1 - t2 + c2) * F.pow(a, 3) / 6 + (5 - 18 * t2 + t2 * t2 + 72 * c2 - 58 * _EP2) * F.pow(a, 5) / 120) + _E0
     north = _K0 * (m + n * t * (a * a / 2 + (5 - t2 + 9 * c2 + 4 * c2 * c2) * F.pow(a, 4) / 24 + (61 - 58 * t2 + t2 * t2 + 600 * c2 - 330 * _EP2) * F.pow(a, 6) / 720))
     return east, north
+
+
+def along_line(line: Column, distance: Column) -> Column:
+    """Point at a distance along a line, its ends beyond them; null for a line without points."""
+    start = F.struct(F.greatest(distance.cast("double"), F.lit(0.0)).alias("left"), F.get(line, F.lit(0))["x"].cast("double").alias("x"), F.get(line, F.lit(0))["y"].cast("double").alias("y"))
+
+    def walk(acc: Column, s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        share = F.coalesce(F.try_divide(F.least(acc["left"], F.hypot(dx, dy)), F.hypot(dx, dy)), F.lit(0.0))
+        moved = F.struct((acc["left"] - F.least(acc["left"], F.hypot(dx, dy))).alias("left"), (s["a"]["x"] + share * dx).alias("x"), (s["a"]["y"] + share * dy).alias("y"))
+        return F.when(acc["left"] > 0, moved).otherwise(acc)
+
+    return F.when(F.size(line) >= 1, F.aggregate(segments(line), start, walk, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y"))))
+
+
+def place_on_line(x: Column, y: Column, line: Column) -> Column:
+    """Distance along a line of its point next to (x, y), the first such point; null without points."""
+    start = F.struct(F.lit(0.0).alias("walked"), F.lit(float("inf")).alias("best"), F.lit(0.0).alias("at"))
+
+    def walk(acc: Column, s: Column) -> Column:
+        dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide((x - s["a"]["x"]) * dx + (y - s["a"]["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
+        far = F.hypot(x - s["a"]["x"] - t * dx, y - s["a"]["y"] - t * dy)
+        near = far < acc["best"]
+        return F.struct((acc["walked"] + F.hypot(dx, dy)).alias("walked"), F.when(near, far).otherwise(acc["best"]).alias("best"), F.when(near, acc["walked"] + t * F.hypot(dx, dy)).otherwise(acc["at"]).alias("at"))
+
+    return F.when(F.size(line) >= 1, F.aggregate(segments(line), start, walk, lambda acc: acc["at"]))
+
+
+def within_extent(x: Column, y: Column, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a point lies in the box, its sides included; false for null."""
+    return F.coalesce(x.between(west, east) & y.between(south, north), F.lit(False))

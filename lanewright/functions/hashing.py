@@ -27,3 +27,11 @@ def fraction64(*parts: Column) -> Column:
 def index(n: Column, *parts: Column) -> Column:
     """Number from 0 to n - 1."""
     return F.least(F.floor(fraction(*parts) * n), n - 1).cast("long")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """Version 5 UUID of a name: SHA-1 of the namespace's bytes and the name, with version and variant set."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name.cast("string"), "UTF-8")))
+    part = lambda start, length: F.substring(digest, start, length)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
