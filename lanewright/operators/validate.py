@@ -84,3 +84,11 @@ def overlapping_ranges(df: DataFrame, group: str, start: str, end: str) -> DataF
 
     before = F.max(end).over(Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("previous_end", before).where(F.col(start) <= F.col("previous_end"))
+
+
+def only_row(df: DataFrame, condition: Column):
+    """The one row for which the condition holds; none or several are an error."""
+    found = df.where(condition).limit(2).collect()
+    if len(found) != 1:
+        raise LookupError("no row fits" if not found else "several rows fit")
+    return found[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewright.functions import geo, hashing
-from lanewright.operators import evidence
+from lanewright.operators import evidence, frames
 
 from .registry import query
 from .star_queries import r6, read
@@ -37,7 +37,7 @@ def class_acceptance(spark, sf_dir):
 
 
 @query("quality_findings", """
-WITH t AS (SELECT count(*) AS n, (SELECT coalesce(sum(k - 1), 0) FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS dup, count(*) FILTER (WHERE l_shipdate < DATE '1995-01-01') AS early,
+WITH t AS (SELECT count(*) AS n, (SELECT coalesce(sum(k - 1), 0)::BIGINT FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS dup, count(*) FILTER (WHERE l_shipdate < DATE '1995-01-01') AS early,
   count(*) FILTER (WHERE l_discount > 0.09) AS speed, count(*) FILTER (WHERE l_quantity < 0) AS volume, count(*) FILTER (WHERE l_quantity = 1) AS low FROM lineitem)
 SELECT severity, name, k AS n, round_even(100.0 * k / greatest(t.n, 1), 4) AS rate_percent FROM t, LATERAL (VALUES ('high', 'duplicate_grain', dup), ('high', 'invalid_or_out_of_window_timestamps', early), ('medium', 'missing_or_invalid_speed', speed),
   ('medium', 'missing_or_invalid_volume', volume), ('low', 'low_sample_rows', low)) AS v(severity, name, k) WHERE k > 0""")
@@ -103,3 +103,27 @@ def line_positions(spark, sf_dir):
     at = geo.along_line(line, F.col("d"))
     d = d.select("p_partkey", at["x"].alias("x"), at["y"].alias("y"), geo.place_on_line(F.lit(30.0), F.greatest("x0", F.lit(4.0)), line).alias("place"), geo.within_extent(F.col("d"), F.col("x0"), 1.0, 2.0, 9.0, 5.0).alias("inside"))
     return d.select("p_partkey", r6("x"), r6("y"), r6("place"), "inside")
+
+
+@query("frames_between", """
+WITH f AS (SELECT c_nationkey AS run, c_custkey % 20 * 10.0 AS elapsed, c_mktsegment AS agent, avg(c_acctbal) AS x, count(*) * 1.0 AS y FROM customer GROUP BY 1, 2, 3),
+q AS (SELECT s_suppkey, s_nationkey AS run, s_suppkey % 211 * 1.0 AS moment FROM supplier),
+b AS (SELECT q.*, max(elapsed) FILTER (WHERE elapsed < moment) AS l, min(elapsed) FILTER (WHERE elapsed >= moment) AS r FROM q JOIN f USING (run) GROUP BY ALL),
+c AS (SELECT s_suppkey, run, moment, coalesce(l, r) AS l, coalesce(r, l) AS r FROM b),
+m AS (SELECT *, least(greatest((moment - l) / greatest(r - l, 1), 0), 1) AS share FROM c)
+SELECT s_suppkey, a.agent, round_even(CASE WHEN z.x IS NULL THEN a.x ELSE a.x + (z.x - a.x) * share END, 6) AS x, round_even(CASE WHEN z.y IS NULL THEN a.y ELSE a.y + (z.y - a.y) * share END, 6) AS y
+FROM m JOIN f a ON a.run = m.run AND a.elapsed = l LEFT JOIN f z ON z.run = m.run AND z.elapsed = r AND z.agent = a.agent""")
+def frames_between(spark, sf_dir):
+    seen = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run"), (F.col("c_custkey") % 20 * 10.0).alias("elapsed"), F.col("c_mktsegment").alias("agent")).agg(F.avg("c_acctbal").alias("x"), (F.count("*") * 1.0).alias("y"))
+    asked = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("run"), (F.col("s_suppkey") % 211 * 1.0).alias("at"))
+    return frames.between(seen, asked).select("s_suppkey", "agent", r6("x"), r6("y"))
+
+
+@query("star_lookup", """
+WITH r AS (SELECT CASE WHEN p_partkey IS NULL THEN 'part' WHEN s_suppkey IS NULL THEN 'supplier' ELSE 'resolved' END AS outcome, l_quantity FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) ON l_partkey = p_partkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey)
+SELECT outcome, count(*) AS n, round_even(sum(l_quantity), 4) AS quantity FROM r GROUP BY 1""")
+def star_lookup(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    suppliers = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    joined = frames.star(read(spark, sf_dir, "lineitem"), {"part": (parts, "l_partkey"), "supplier": (suppliers, "l_suppkey")})
+    return joined.groupBy(F.coalesce("missing", F.lit("resolved")).alias("outcome")).agg(F.count("*").alias("n"), F.bround(F.sum("l_quantity"), 4).alias("quantity"))

@@ -96,3 +96,13 @@ def log_categories(spark: SparkSession, path: str, ladder: dict[str, str]) -> Da
     for name, text in reversed(list(ladder.items())):
         out = F.when(F.lower("value").contains(text.lower()), name).otherwise(out)
     return spark.read.text(path).groupBy(out.alias("category")).agg(F.count("*").alias("n"))
+
+
+def observed_stations(stations: DataFrame, highways: DataFrame, observed: DataFrame, prefix: str = "portal-station-") -> DataFrame:
+    """Stations (properties, x, y) that observations name, each once, with the name of their highway (highwayid, highwayname);
+    reason says what is wrong: no point, or a highway that isn't listed."""
+    own = stations.select(F.concat(F.lit(prefix), F.trim(F.col("properties")["stationid"])).alias("station_id"), F.col("properties")["highwayid"].cast("long").alias("highwayid"), F.trim(F.coalesce(F.col("properties")["locationtext"], F.lit(""))).alias("location"), "x", "y")
+    named = highways.select(F.col("highwayid").cast("long").alias("highwayid"), F.trim("highwayname").alias("highway"), F.lit(True).alias("_known"))
+    out = own.join(observed.select("station_id").distinct(), "station_id", "left_semi").groupBy("station_id").agg(F.min(F.struct("highwayid", "location", "x", "y")).alias("s")).select("station_id", "s.*")
+    reason = F.when(F.col("x").isNull() | F.col("y").isNull(), "no_point").when(F.col("_known").isNull(), "unknown_highway")
+    return out.join(named, "highwayid", "left").withColumn("reason", reason).drop("_known")

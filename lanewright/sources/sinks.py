@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.operators.evidence import place_keys
+from lanewright.operators.validate import assert_unique
+
 
 def parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """zstd Parquet; the committer makes the write all or nothing."""
@@ -58,3 +61,13 @@ def latest_revisions(log: DataFrame, key: str, limit: int = 200) -> DataFrame:
     rest = [c for c in log.columns if c != key]
     last = log.groupBy(key).agg(F.max_by(F.struct(*rest), "revision").alias("_r")).select(key, "_r.*")
     return last.where("NOT deleted").orderBy(F.desc("created_at"), key).limit(limit)
+
+
+def import_all(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with all rows of new, or none: rows with keys that name places, a key twice and a key already there are errors."""
+    if bad := new.where(F.size(place_keys(F.to_json(F.struct(*new.columns)))) > 0).select(key).head():
+        raise ValueError(f"{bad[0]} names places")
+    assert_unique(new, [key])
+    if bad := new.join(old.select(key), key, "left_semi").select(key).head():
+        raise ValueError(f"{bad[0]} is there already")
+    return old.unionByName(new)

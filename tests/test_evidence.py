@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import geo, hashing
-from lanewright.operators import evidence
+from lanewright.operators import evidence, frames, validate
+from lanewright.sources import readers, sinks
 
 
 def test_approach_edges(spark):
@@ -61,3 +63,27 @@ def test_lines_and_directions(spark):
     assert [tuple(r[f"p{i}"]) for i in range(5)] == [(0.0, 0.0), (1.5, 2.0), (3.0, 4.0), (3.0, 7.0), (3.0, 10.0)] and r.m == 8.0 and r.none is None
     e = spark.createDataFrame([(1, "f", "a", "b"), (2, "f", "b", "a"), (3, "f", "b", "a"), (4, "g", "b", "a")], "edge_id long, fingerprint string, u string, v string")
     assert {tuple(x) for x in evidence.both_directions(e).collect()} == {("f", "a", "b", 1, 2), ("g", "a", "b", None, 4)}
+
+
+def test_frames_between(spark):
+    f = spark.createDataFrame([("r", 0, "a", 0.0, 0.0), ("r", 10, "a", 10.0, 20.0), ("r", 0, "b", 5.0, 5.0), ("r", 10, "c", 1.0, 1.0)], "run string, elapsed int, agent string, x double, y double")
+    asked = spark.createDataFrame([("r", 2.5), ("r", 10.0), ("r", -3.0), ("r", 99.0), ("none", 1.0)], "run string, at double")
+    got = {(r["at"], r.agent): (r.x, r.y) for r in frames.between(f, asked).collect()}
+    assert got == {(2.5, "a"): (2.5, 5.0), (2.5, "b"): (5.0, 5.0), (10.0, "a"): (10.0, 20.0), (10.0, "b"): (5.0, 5.0), (-3.0, "a"): (0.0, 0.0), (-3.0, "b"): (5.0, 5.0), (99.0, "a"): (10.0, 20.0), (99.0, "c"): (1.0, 1.0)}
+
+
+def test_stations_imports_and_only_rows(spark):
+    s = spark.createDataFrame([({"stationid": " 1 ", "highwayid": "5"}, 1.0, 2.0), ({"stationid": "2", "highwayid": "9"}, 1.0, 2.0), ({"stationid": "3", "highwayid": "5"}, None, None), ({"stationid": "4"}, 0.0, 0.0)], "properties map<string,string>, x double, y double")
+    h = spark.createDataFrame([(5, " I-5 ")], "highwayid int, highwayname string")
+    seen = spark.createDataFrame([(f"portal-station-{i}",) for i in (1, 1, 2, 3)], "station_id string")
+    got = {r.station_id[-1]: (r.highway, r.reason) for r in readers.observed_stations(s, h, seen).collect()}
+    assert got == {"1": ("I-5", None), "2": (None, "unknown_highway"), "3": ("I-5", "no_point")}
+    old, new = (spark.createDataFrame(x, "id string, trip struct<start:string>") for x in ([("a", ("n1",))], [("b", ("n2",)), ("c", None)]))
+    assert sinks.import_all(old, new, "id").count() == 3
+    for bad in (old, new.union(new), spark.createDataFrame([("d", (1.0,))], "id string, trip struct<lat:double>")):
+        with pytest.raises(ValueError):
+            sinks.import_all(old, bad, "id")
+    assert validate.only_row(new, F.col("id") == "b").id == "b"
+    for condition in (F.lit(True), F.lit(False)):
+        with pytest.raises(LookupError):
+            validate.only_row(new, condition)
