@@ -1,10 +1,10 @@
-"""The ten operators applied to their whole tables, with SQL where SQL can say the same."""
+"""The operators applied to their whole tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, substring_dedup, token_counts, url_filters
+from . import chunk_encoding, fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, substring_dedup, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
 from .tokens import tokenizer_path
@@ -52,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_encoding.digests_of_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -63,6 +67,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
+    "op13_bpe_round_trip": op13_bpe_round_trip,
 }
 
 ORACLES: dict[str, str] = {
