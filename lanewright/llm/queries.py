@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_encoding, filter_audit, fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, substring_dedup, token_counts, url_filters
+from . import chunk_encoding, conversation_repair, filter_audit, fingerprints, near_dedup, packing, quality_classifier, quality_rules, records, substring_dedup, token_counts, url_filters
 from .common import read_table
 from .mixing import mix_documents
 from .tokens import tokenizer_path
@@ -52,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_bpe_round_trip": op13_bpe_round_trip,
 }
