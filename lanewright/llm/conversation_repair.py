@@ -451,3 +451,69 @@ def repair_conversations(rows: DataFrame, part_rows: int = PART_ROWS) -> tuple[D
 def damage_and_repair(conversations: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Reports of all conversations after the damage."""
     return repair_conversations(damage(conversations), part_rows)[0]
+
+
+#: Costs from the end backwards, then the least edit string forwards, one row and one letter at a time.
+ORACLE_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+      lambda c, x: list_reduce([xor(c, x)] || range(8), lambda d, i: xor(d >> 1, 3988292384 * (d & 1))), 4294967295)) % 20 AS kind
+  FROM conversations),
+broken AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM keyed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), again) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 AS seen,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body
+  FROM broken),
+marked AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS c, body = '' OR seen AS must,
+    CASE WHEN body = '' THEN 'blank' WHEN seen THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM marked GROUP BY conv_id),
+convs AS (
+  SELECT DISTINCT k.conv_id, coalesce(c.n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM keyed k LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM k.conv_id),
+steps AS (SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + CASE WHEN must THEN 1000000000 ELSE 0 END AS x FROM marked),
+rest AS (
+  SELECT conv_id, n AS i, [0, 6, 3, 0]::BIGINT[] AS b FROM convs
+  UNION ALL
+  SELECT conv_id, i, [least(s, 3 + u), least(y, 3 + u), least(u, 3 + a), least(a, 3 + u)] FROM (
+    SELECT r.conv_id, r.i - 1 AS i,
+      least(4 + b[1], CASE WHEN c = 's' THEN x + b[2] WHEN c = 'u' THEN x + b[3] END, 3 + x + b[3]) AS s,
+      least(4 + b[2], CASE WHEN c = 'u' THEN x + b[3] END, 3 + x + b[3]) AS y,
+      least(4 + b[3], CASE WHEN c = 'a' THEN x + b[4] END, 3 + x + b[4]) AS u,
+      least(4 + b[4], CASE WHEN c = 'u' THEN x + b[3] END, 3 + x + b[3]) AS a
+    FROM rest r JOIN steps t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i)),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS said FROM convs
+  UNION ALL
+  SELECT conv_id, CASE letter WHEN 'I' THEN i ELSE i + 1 END,
+    CASE WHEN letter = 'D' THEN q WHEN letter = 'K' AND c = 's' THEN 2 ELSE follower END,
+    audit || letter,
+    CASE letter WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+      ELSE list_append(said, CASE follower WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE letter WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT w.*, t.c, t.role, t.text, CASE w.q WHEN 3 THEN 4 ELSE 3 END AS follower,
+      CASE WHEN 4 + later.b[w.q] = here.b[w.q] THEN 'D'
+        WHEN 3 + here.b[CASE w.q WHEN 3 THEN 4 ELSE 3 END] = here.b[w.q] THEN 'I'
+        WHEN t.c = 's' AND w.q = 1 AND t.x + later.b[2] = here.b[1] THEN 'K'
+        WHEN t.c = CASE w.q WHEN 3 THEN 'a' ELSE 'u' END AND t.x + later.b[CASE w.q WHEN 3 THEN 4 ELSE 3 END] = here.b[w.q] THEN 'K'
+        ELSE 'R' END AS letter
+    FROM walk w JOIN rest here ON here.conv_id IS NOT DISTINCT FROM w.conv_id AND here.i = w.i
+      LEFT JOIN rest later ON later.conv_id IS NOT DISTINCT FROM w.conv_id AND later.i = w.i + 1
+      LEFT JOIN steps t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+    WHERE NOT (later.i IS NULL AND w.q IN (1, 4))))
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, r.b[1] AS cost, w.audit, sha256(coalesce(array_to_string(w.said, chr(10)), '')) AS repaired_sha256
+FROM convs c JOIN rest r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = 0
+  JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n AND w.q IN (1, 4)
+"""

@@ -85,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op6_near_dedup": near_dedup.ORACLE_SQL,
     "op2_url_filter": url_filters.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
