@@ -7,7 +7,7 @@ hold it.  Chunks of one document only are encoded where they stand.  A cut may r
 ids of a chunk are those of its whole words, and the word at each join is encoded again together with
 its neighbours, outwards until the neighbours come out exactly as their chunks have them.
 
-Texts move once, by the digest of a row; the exchange serves owners and result alike.  A chunk's digest
+Texts move once, compressed, by the digest of a row; the exchange serves owners and result alike.  A chunk's digest
 travels in sixteen bytes.  A frequent chunk is one key of a join that adaptive execution can split, with
 one row on its other side; nothing is gathered but one document's own chunks.
 
@@ -23,9 +23,11 @@ import os
 from collections.abc import Iterable, Iterator
 from functools import partial
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +96,12 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, ends = [], [0]
+        for e in self.tok.encode_batch_fast(texts, add_special_tokens=False):
+            ids += e.ids
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def learn(self, words: set[bytes]) -> None:
         """Afterwards `known` has all these words."""
@@ -178,6 +185,21 @@ def repair(documents: list[Assembly], enc: WordEncoder) -> list[bytes]:
     return [b"".join(d.parts) for d in documents]
 
 
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, texts, compressed behind their length."""
+    codec = pa.Codec("zstd", 1)
+    for b in batches:
+        raws = [t.encode() for t in b.column(2).to_pylist()]
+        packed = [len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True) for raw in raws]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["doc_id", "uid", "packed"])
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    codec = pa.Codec("zstd")
+    for p in column.to_pylist():
+        yield codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True)
+
+
 def _list_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, text -> uid, digests of its chunks."""
     for b in batches:
@@ -186,12 +208,12 @@ def _list_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode_owned(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, places of the chunks that the document owns -> digest, ids of whole words, bytes of the first and the last word."""
+    """doc_id, packed text, places of the chunks that the document owns -> digest, ids of whole words, bytes of the first and the last word."""
     enc = encoder(path)
     for b in batches:
         mine = []
-        for text, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            all_chunks = chunks(text.encode())
+        for raw, places in zip(_unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
+            all_chunks = chunks(raw)
             mine += [all_chunks[p] for p in set(places)]
         words = [whole_words(c)[1] for c in mine]
         seen = {w for some in words for w in some}
@@ -202,13 +224,13 @@ def _encode_owned(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 
 def _encode_documents(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, shared chunks by place -> doc_id, ids."""
+    """doc_id, packed text, shared chunks by place -> doc_id, ids."""
     enc = encoder(path)
     for b in batches:
         plan, seen = [], set()
-        for text, shared in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for raw, shared in zip(_unpacked(b.column(1)), b.column(2).to_pylist(), strict=True):
             have = {s["pos"]: (s["ids"], s["first"], s["last"]) for s in shared or []}
-            rows = [(c, *whole_words(c), have.get(k)) for k, c in enumerate(chunks(text.encode()))]
+            rows = [(c, *whole_words(c), have.get(k)) for k, c in enumerate(chunks(raw))]
             for _, _, words, _, piece in rows:
                 if piece is None:
                     seen.update(words)
@@ -231,7 +253,9 @@ def _names(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     """doc_id, ids -> with the text that the ids stand for."""
     names = encoder(path).names
     for b in batches:
-        texts = [" ".join([names[i] for i in ids]) for ids in b.column(1).to_pylist()]
+        lists = b.column(1)
+        ids, ends = lists.flatten().to_numpy().tolist(), np.cumsum([0, *(n or 0 for n in pc.list_value_length(lists).to_pylist())]).tolist()
+        texts = [" ".join([names[i] for i in ids[x:y]]) for x, y in pairwise(ends)]
         yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
 
@@ -245,17 +269,19 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """documents -> doc_id, ids (array of int) of each whole text, without added special tokens."""
     require_columns(docs, ["doc_id", "text"])
     small_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", row_key())
-    listed = texts.select("uid", "text").mapInArrow(_list_chunks, "uid binary not null, digests array<binary>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", row_key().alias("uid"), "text")
+    packed = plain.mapInArrow(_pack, f"doc_id {kind}, uid binary not null, packed binary")
+    listed = plain.select("uid", "text").mapInArrow(_list_chunks, "uid binary not null, digests array<binary>")
     listed = listed.groupBy("uid").agg(F.first("digests").alias("digests"))  # repeated rows once
     places = listed.select("uid", F.posexplode("digests").alias("pos", "digest"))
     owners = places.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("own")).where("n > 1")
     owned = owners.groupBy(F.col("own.uid").alias("uid")).agg(F.collect_list("own.pos").alias("places"))
-    mine = texts.join(owned.hint("shuffle_hash"), "uid").select("doc_id", "text", "places")  # the columns of the exchange below, so that it is made once
+    mine = packed.join(owned.hint("shuffle_hash"), "uid").select("doc_id", "packed", "places")  # the columns of the exchange below, so that it is made once
     pieces = mine.mapInArrow(partial(_encode_owned, path=path), "digest binary, ids binary, first int, last int").dropDuplicates(["digest"])
     shared = places.join(pieces, "digest").groupBy("uid").agg(F.collect_list(F.struct("pos", "ids", "first", "last")).alias("shared"))
-    whole = texts.join(shared.hint("shuffle_hash"), "uid", "left").select("doc_id", "text", "shared")
-    return whole.mapInArrow(partial(_encode_documents, path=path), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    whole = packed.join(shared.hint("shuffle_hash"), "uid", "left").select("doc_id", "packed", "shared")
+    return whole.mapInArrow(partial(_encode_documents, path=path), f"doc_id {kind}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -51,7 +51,9 @@ def library():
 def encoded(texts, shared=None):
     """Ids by the function that runs on executors."""
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("ids", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
-    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts), pa.array(shared or [None] * len(texts), kind)], ["doc_id", "text", "shared"])
+    plain = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "uid", "text"])
+    (packed,) = C._pack([plain])
+    batch = pa.record_batch([packed.column(0), packed.column(2), pa.array(shared or [None] * len(texts), kind)], ["doc_id", "packed", "shared"])
     return [r for out in C._encode_documents([batch], PATH) for r in out.column(1).to_pylist()]
 
 
