@@ -27,17 +27,43 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-NULL_IDS = 1 << 62
+#: Ids are looked at in ranges of this width, of which 64 bits have 256.
+ID_RANGE = 1 << 56
 
 
-def known_id() -> Column:
-    """doc_id as a long; for a null one, a number from NULL_IDS on that its text gives, so it ranks last."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64("text"), F.lit(NULL_IDS)))
+class IdSpace:
+    """doc_id as a long in which null ids have places behind all others: for operators that need one number a row.
 
+    Ids must be whole numbers.  A null id gets a number that its text gives, so rows without id and of one
+    text share it.  Without null ids a number is the id.  Else one range of ID_RANGE numbers that holds no
+    id is found (the topmost; mostly the very top, and nothing moves), ids above it move down by its width,
+    and null ids take the top.  A table with null ids and ids in all 256 ranges is refused.
+    """
 
-def given_id(name: str) -> Column:
-    """The id that known_id stands for: null from NULL_IDS on."""
-    return F.when(F.col(name) < NULL_IDS, F.col(name))
+    def __init__(self, docs: DataFrame):
+        ids = docs.select(F.col("doc_id").cast("long").alias("i"))
+        self.gap: int | None = None
+        if not ids.where("i IS NULL").isEmpty():
+            used = {r[0] for r in ids.where("i IS NOT NULL").select(F.shiftright("i", 56)).distinct().collect()}  # 256 at most
+            free = [r for r in range(127, -129, -1) if r not in used]
+            if not free:
+                raise ValueError("null doc_ids beside ids in all ranges of 64 bits")
+            self.gap = free[0]
+
+    def known(self) -> Column:
+        i = F.col("doc_id").cast("long")
+        if self.gap is None:
+            return i
+        moved = i if self.gap == 127 else F.when(i >= (self.gap + 1) * ID_RANGE, i - ID_RANGE).otherwise(i)
+        return F.coalesce(moved, F.lit(127 * ID_RANGE) + F.pmod(F.xxhash64("text"), F.lit(ID_RANGE)))
+
+    def given(self, name: str) -> Column:
+        """The id that a number stands for."""
+        i = F.col(name)
+        if self.gap is None:
+            return i
+        moved = i if self.gap == 127 else F.when(i >= self.gap * ID_RANGE, i + ID_RANGE).otherwise(i)
+        return F.when(i < 127 * ID_RANGE, moved)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -58,19 +84,22 @@ def text_key() -> Column:
     return F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
 
 
+_OWN_DIR: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where it is unset, one of this machine in local mode, in which the driver is the only executor;
     on a cluster an error, since what executors write to their own disks can't be read back.
     """
+    global _OWN_DIR
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="lanewright-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN_DIR = _OWN_DIR or "file://" + tempfile.mkdtemp(prefix="lanewright-")
     return at.rstrip("/")
 
 

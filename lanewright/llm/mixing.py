@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh, given_id, known_id, materialize, own_columns, require_columns
+from .common import WORD, IdSpace, fresh, materialize, own_columns, require_columns
 
 BUCKETS = 4096
 
@@ -192,9 +192,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """documents -> doc_id, source, size, source_size, target, taken."""
     require_columns(docs, ["doc_id", "text", "source"])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(known_id().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
+    ids = IdSpace(docs)
+    sized = materialize(docs.select(ids.known().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
     out = mix(sized, **options)
-    return out.select(given_id("doc_id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    return out.select(ids.given("doc_id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
@@ -203,9 +204,10 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     Each text of a repeated doc_id goes by its own source and size; a null doc_id gets its place from its text.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(known_id().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
+    ids = IdSpace(docs)
+    sized = materialize(docs.select(ids.known().alias("doc_id"), F.array("source").alias("sources"), size.alias("size")), "sized")
     mixed = mix(sized, **options).where("taken > 0")
     id_, source_, size_, copies_, copy_ = (fresh(docs, x) for x in ("mixed_id", "mixed_source", "mixed_size", "copies", "copy"))
     mixed = mixed.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_), F.col("size").alias(size_)).agg(F.max(F.expr("taken div size")).alias(copies_))
-    out = docs.join(mixed, (known_id() == F.col(id_)) & (size == F.col(size_)) & F.col("source").eqNullSafe(F.col(source_)))
+    out = docs.join(mixed, (ids.known() == F.col(id_)) & (size == F.col(size_)) & F.col("source").eqNullSafe(F.col(source_)))
     return out.withColumn(copy_, F.explode(F.sequence(F.lit(1), F.col(copies_).cast("int")))).select(*own_columns(docs))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, given_id, known_id, materialize, require_columns, small_batches, text_key
+from .common import IdSpace, fresh, materialize, require_columns, small_batches, text_key
 from .components import connected_components
 from .fingerprints import shingle_hashes
 
@@ -367,8 +367,9 @@ def exact_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """documents -> doc_id, n_shingles, component_id, kept, in links of 100 * intersection >= percent * union."""
-    out = _components(docs.select(known_id().alias("doc_id"), "text"), percent)
-    return out.select(given_id("doc_id").alias("doc_id"), "n_shingles", given_id("component_id").alias("component_id"), "kept")
+    ids = IdSpace(docs)
+    out = _components(docs.select(ids.known().alias("doc_id"), "text"), percent)
+    return out.select(ids.given("doc_id").alias("doc_id"), "n_shingles", ids.given("component_id").alias("component_id"), "kept")
 
 
 def _components(docs: DataFrame, percent: int) -> DataFrame:
@@ -422,14 +423,15 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     Each text of a repeated doc_id is judged by its own set; texts of one doc_id in one component stay
     together.  A null doc_id ranks behind all others, and its rows of one text count as one document.
     """
-    known = docs.select(known_id().alias("doc_id"), "text", text_key().alias("_key"))
+    ids = IdSpace(docs)
+    known = docs.select(ids.known().alias("doc_id"), "text", text_key().alias("_key"))
     # Rows that go are few; their sets are told by digest, and texts are matched to them by id and key.
     judged = _components(known, percent).where("NOT kept").select("doc_id", "digest").distinct()
     small_batches(docs.sparkSession)
     maybe = known.join(judged.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digests, "doc_id long, digest binary, key string")
     id_, key_ = fresh(docs, "gone_id"), fresh(docs, "gone_key")
     gone = maybe.join(judged, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias(id_), F.col("key").alias(key_)).distinct()
-    return docs.join(gone, (known_id() == F.col(id_)) & (text_key() == F.col(key_)), "left_anti")
+    return docs.join(gone, (ids.known() == F.col(id_)) & (text_key() == F.col(key_)), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, given_id, known_id, materialize, own_columns, require_columns, small_batches, words
+from .common import IdSpace, fresh, materialize, own_columns, require_columns, small_batches, words
 from .fingerprints import _M1, mix, word_hashes
 from .fm_index import FMIndex
 
@@ -360,11 +360,12 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup_report(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, n_words, n_removed, kept_sha256."""
-    scans, changed = find_repeats(docs.select(known_id().alias("doc_id"), "text"))
+    ids = IdSpace(docs)
+    scans, changed = find_repeats(docs.select(ids.known().alias("doc_id"), "text"))
     changed = changed.select("doc_id", "doc_key", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha"))
     out = scans.join(changed, ["doc_id", "doc_key"], "left")
     return out.select(
-        given_id("doc_id").alias("doc_id"),
+        ids.given("doc_id").alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), EMPTY).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
@@ -376,7 +377,8 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
 
     Each text of a repeated doc_id is judged by itself; a null doc_id counts as larger than all others.
     """
-    scans, changed = find_repeats(docs.select(known_id().alias("doc_id"), "text"))
+    ids = IdSpace(docs)
+    scans, changed = find_repeats(docs.select(ids.known().alias("doc_id"), "text"))
     copies = scans.where("copy").select("doc_id", "doc_key", F.lit("").alias("kept"))
     new = changed.where("n_removed > 0").select("doc_id", "doc_key", "kept").unionByName(copies).groupBy("doc_id", "doc_key").agg(F.min("kept").alias("kept"))
     id_, key_, kept = (fresh(docs, x) for x in ("changed_id", "changed_key", "kept_words"))
@@ -385,7 +387,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     sha = F.sha2(F.array_join(words("text"), " ").cast("binary"), 256)
     swapped = F.concat(*(F.substring(sha, i, 2) for i in range(15, 0, -2)))
     key = F.conv(swapped, 16, -10).cast("long")
-    out = docs.join(new, (known_id() == F.col(id_)) & (key == F.col(key_)), "left")
+    out = docs.join(new, (ids.known() == F.col(id_)) & (key == F.col(key_)), "left")
     change = {"text": F.coalesce(kept, "text")} | ({"n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.withColumns(change).select(*own_columns(docs))
 
