@@ -1,4 +1,4 @@
-"""Shortest paths, alternatives, assignment and components on directed graphs.
+"""Shortest paths, assignment and components on directed graphs.
 
 A road graph is bounded (a country's is a few hundred MB), so it is broadcast as arrays behind a
 check of its size, and searches run in parallel by origin. Beyond ``MAX_EDGES`` searches run as
@@ -124,45 +124,6 @@ def relax(edges: DataFrame, sources: DataFrame, cost: str = "cost", rounds: int
     raise RuntimeError(f"costs did not settle in {rounds} rounds")
 
 
-def alternatives(edges: DataFrame, origin: str, destination: str, cost: str = "cost", length: str = "length_m", count: int = 3, tries: int = 14) -> list[dict]:
-    """Up to count routes: each search finds used edges dearer by 1 + 1.4 * uses; routes over twice the fastest or overlapping by .85 are passed over."""
-    graph = load_graph(edges, cost)
-    lengths = {r.edge_id: float(r[1]) for r in edges.select("edge_id", length).toLocalIterator()}
-    base, uses, found = graph.cost.copy(), np.zeros(len(graph.cost)), []
-    at = {e: i for i, e in enumerate(graph.edge)}
-    true = dict(zip(graph.edge, base, strict=True))
-    for _ in range(tries):
-        graph.cost = base * (1 + 1.4 * uses)
-        hit = graph.search(origin, [destination]).get(destination)
-        if hit is None:
-            break
-        ids = hit[2]
-        uses[[at[e] for e in ids]] += 1
-        total = sum(true[e] for e in ids)
-        if found and total > 2 * found[0]["cost"]:
-            continue
-        size = sum(lengths[e] for e in ids)
-
-        def overlap(other: dict) -> float:
-            return sum(lengths[e] for e in set(ids) & set(other["edge_ids"])) / max(min(size, other["length"]), 1)
-
-        if all(overlap(o) < 0.85 for o in found):
-            found.append({"cost": total, "length": size, "node_ids": hit[1], "edge_ids": ids})
-        if len(found) == count:
-            break
-    return found
-
-
-def compare_routes(edges: DataFrame, restricted: DataFrame, origin: str, destination: str, cost: str = "cost", requested: bool = True, active: bool = True) -> dict:
-    """The route before and under restrictions, with a status."""
-    before = load_graph(edges, cost).search(origin, [destination]).get(destination)
-    status, after = "not_requested" if not requested else "inactive" if not active else "", None
-    if not status:
-        after = load_graph(restricted, cost).search(origin, [destination]).get(destination)
-        status = "available" if after else "no_route"
-    return {"status": status, "baseline": before, "restricted": after}
-
-
 def assign(edges: DataFrame, demands: DataFrame, iterations: int = 4, base: DataFrame | None = None, reference: DataFrame | None = None) -> tuple[DataFrame, float, float]:
     """Flows by successive averages: edges (u, v, edge_id, cost, capacity), demands (origin, destination, volume).
 

@@ -194,17 +194,6 @@ def od_blend(spark, sf_dir):
     return od.blend(trade(spark, sf_dir), "n", "trips", 0.75, 1000.0).select("o", "d", r6("rate"))
 
 
-@query("gravity_band_pairs", """
-SELECT a.c_custkey AS a, b.c_custkey AS b, round_even(greatest(1e-9, sqrt(a.c_acctbal * b.c_acctbal) / pow(greatest(abs(a.c_acctbal - b.c_acctbal), 1.0), 1.15)), 6) AS weight
-FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) BETWEEN 3 AND 55 WHERE a.c_acctbal > 0 AND b.c_acctbal > 0""")
-def gravity_band_pairs(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_acctbal > 0")
-    a, b = (c.select(F.col("c_custkey").alias(n), F.col("c_acctbal").alias(f"w{n}"), "c_nationkey", "c_mktsegment") for n in "ab")
-    km = F.abs(F.col("wa") - F.col("wb"))
-    p = a.join(b, ["c_nationkey", "c_mktsegment"]).where((F.col("a") < F.col("b")) & km.between(3, 55))
-    return p.select("a", "b", F.bround(od.gravity(F.col("wa"), F.col("wb"), km), 6).alias("weight"))
-
-
 PATHS = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS edge_ids, max(l_quantity) AS w FROM lineitem GROUP BY 1"
 
 

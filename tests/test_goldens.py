@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewright.functions import clean, geo, hashing, text, times
-from lanewright.operators import flows, matching, observations, od, priors, profiles, routing, sampling, scenarios, schedules, spatial, validate
+from lanewright.operators import flows, matching, observations, od, paths, priors, profiles, routing, sampling, scenarios, schedules, spatial, validate
 
 
 def one(df):
@@ -184,9 +184,13 @@ def test_routes_and_assignment(spark):
     assert len(got) == 2 and got["1", "3"].edge_ids == ["1_2", "2_3"] and got["1", "3"].cost == pytest.approx(150.0)
     far = {(r.origin, r.node): r.cost for r in routing.relax(e, pair.select("origin").distinct()).collect()}
     assert far["1", "3"] == pytest.approx(150.0)
-    assert [r["node_ids"] for r in routing.alternatives(e, "1", "3")] == [["1", "2", "3"], ["1", "4", "3"], ["1", "5", "3"]]
+    asked = spark.createDataFrame([("r", "1", "3", True, True), ("off", "1", "3", True, False), ("no", "1", "3", None, True), ("lost", "1", "9", True, True)], "key string, origin string, destination string, requested boolean, active boolean")
+    found = paths.alternatives(e, asked.where("key IN ('r', 'lost')")).orderBy("place").collect()
+    assert [(r.key, r.node_ids, r.length) for r in found] == [("r", ["1", "2", "3"], 1800.0), ("r", ["1", "4", "3"], 2000.0), ("r", ["1", "5", "3"], 2200.0)]
     closed = e.where("edge_id <> '1_2'")
-    assert routing.compare_routes(e, closed, "1", "3")["restricted"][2] == ["1_4", "4_3"]
+    compared = {r.key: r for r in paths.compare_routes(e, closed, asked).collect()}
+    assert {k: r.status for k, r in compared.items()} == {"r": "available", "off": "inactive", "no": "not_requested", "lost": "no_route"}
+    assert compared["r"].restricted_edges == ["1_4", "4_3"] and compared["off"].baseline_edges == ["1_2", "2_3"] and compared["off"].restricted_edges is None
     demand = spark.createDataFrame([("1", "3", 600.0)], "origin string, destination string, volume double")
     before, assigned, missed = routing.assign(e, demand, 3)
     after, assigned2, missed2 = routing.assign(closed, demand, 3)
