@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,3 +67,35 @@ def local_instant(text: Column, zone: Column, default: str = "America/Los_Angele
 def active(at: Column, start: Column, end: Column) -> Column:
     """start <= at < end, where a missing bound is no bound."""
     return F.coalesce(at >= start, F.lit(True)) & F.coalesce(at < end, F.lit(True))
+
+
+def depart_at(departure: Column, travel: Callable[[Column], Column]) -> Column:
+    """departure, arrival and travel in seconds; an error where the travel time is not above zero."""
+    seconds = _above_zero(travel(departure))
+    return F.struct(departure.alias("departure"), (departure + seconds).alias("arrival"), seconds.alias("travel"))
+
+
+def _above_zero(seconds: Column) -> Column:
+    return F.when(seconds > 0, seconds).otherwise(F.raise_error(F.lit("travel time must be positive")).cast("double"))
+
+
+def arrive_by(deadline: Column, travel: Callable[[Column], Column], window: float = 8 * 3600.0, precision: float = 1.0, strict: bool = True) -> Column:
+    """The latest departure that arrives by the deadline: departure, arrival, travel in seconds.
+
+    travel gives seconds of travel from a column of departures, and later departures never arrive earlier.  The
+    window before the deadline is halved within the expression, as often as the precision asks for.  Where even
+    its start arrives late: an error, or null if not strict.
+    """
+    steps, width = 0, window
+    while width > precision:
+        steps, width = steps + 1, width / 2
+    first = deadline - window
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = span["lo"] + (span["hi"] - span["lo"]) / 2
+        good = middle + _above_zero(travel(middle)) <= deadline
+        return F.struct(F.when(good, middle).otherwise(span["lo"]).alias("lo"), F.when(good, span["hi"]).otherwise(middle).alias("hi"))
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(first.alias("lo"), deadline.alias("hi")), halve, lambda span: depart_at(span["lo"], travel))
+    late = F.raise_error(F.lit("no feasible departure inside the search window")).cast("struct<departure:double,arrival:double,travel:double>") if strict else F.lit(None)
+    return F.when(first + travel(first) <= deadline, last).otherwise(late)
