@@ -131,6 +131,32 @@ def state_at(schedule: DataFrame, at: datetime, keys: list[str], columns: list[s
     return both.select(*out)
 
 
+def states_at(schedule: DataFrame, instants: dict[str, datetime], keys: list[str], columns: list[str], bounds: dict[str, tuple] | None = None, day: str = "day_type", bucket: str = "bucket_start_minute") -> DataFrame:
+    """state_at for many named instants in one pass: a column ``instant`` and the values between the buckets around it.
+
+    Rows of the buckets that are asked for meet a table of two rows an instant; both sides of a key come together
+    in one aggregate.  A key without one of the two buckets is left out.
+    """
+    evidence = "evidence_level" in schedule.columns
+    asked = [(name, d, m, w) for name, at in instants.items() for (d, m), w in zip(bracket(at)[:2], (1 - bracket(at)[2], bracket(at)[2]), strict=True)]
+    table = schedule.sparkSession.createDataFrame([(n, d, m, w, i % 2) for i, (n, d, m, w) in enumerate(asked)], "instant string, _day string, _bucket long, _w double, _side int")
+    rows = schedule.select(*keys, F.col(day).alias("_day"), F.col(bucket).cast("long").alias("_bucket"), *columns, *(["evidence_level"] if evidence else [])).join(F.broadcast(table), ["_day", "_bucket"])
+    side = lambda c, i: F.max(F.when(F.col("_side") == i, F.col(c)))
+    both = rows.groupBy("instant", *keys).agg(F.count_distinct("_side").alias("_n"), side("_w", 1).alias("_w"), *(side(c, i).alias(f"{c}_{i}") for c in [*columns, *(["evidence_level"] if evidence else [])] for i in (0, 1))).where("_n = 2")
+    out = [clean.clip(F.col(f"{c}_0") + (F.col(f"{c}_1") - F.col(f"{c}_0")) * F.col("_w"), *(bounds or {}).get(c, (None, None))).alias(c) for c in columns]
+    return both.select("instant", *keys, *out, *([combined_evidence(F.col("evidence_level_0"), F.col("evidence_level_1")).alias("evidence_level")] if evidence else []))
+
+
+def schedule_scaling(schedule: DataFrame, departure: datetime, keys: list[str], volume: str = "volume_mean", **columns: str) -> DataFrame:
+    """requested_volume, am_anchor_volume, pm_anchor_volume: sums over all keys at the departure, at 07:30 and at 16:30 of its day; and the evidence levels at the departure."""
+    local = departure.astimezone(ZoneInfo(ZONE))
+    instants = {"requested": departure, "am_anchor": local.replace(hour=7, minute=30, second=0, microsecond=0), "pm_anchor": local.replace(hour=16, minute=30, second=0, microsecond=0)}
+    rows = states_at(schedule, instants, keys, [volume], **columns)
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("instant") == name, F.col(volume))), F.lit(0.0)).alias(f"{name}_volume")
+    levels = [F.array_sort(F.collect_set(F.when(F.col("instant") == "requested", F.col("evidence_level")))).alias("evidence_levels")] if "evidence_level" in schedule.columns else []
+    return rows.agg(*map(total, instants), *levels)
+
+
 def schedule_gate(schedule: DataFrame, metrics: list[str], quantile_groups: list[list[str]], speed: str = "speed_mean", day: str = "day_type", bucket: str = "bucket", station: str = "detector_id") -> DataFrame:
     """The checks that a schedule has to pass, one row each."""
     from .validate import gate, ordered_quantiles

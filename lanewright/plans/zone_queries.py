@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
-from lanewright.functions import times
-from lanewright.operators import areas, od
+from lanewright.functions import canonical, times
+from lanewright.operators import areas, od, sampling, schedules
 
 from .registry import query
+from .series_queries import BUCKET, DAY, timed
 from .star_queries import r6, read
 
 
@@ -78,3 +81,33 @@ def arrive_by(spark, sf_dir):
     due = read(spark, sf_dir, "orders").select("o_orderkey", (28000 + F.pmod("o_orderkey", F.lit(12000))).cast("double").alias("due"))
     plan = times.arrive_by(F.col("due"), lambda t: od.piecewise(F.pmod(t / 60, F.lit(1440.0)), TRAVEL))
     return due.select("o_orderkey", plan.alias("p")).select("o_orderkey", F.bround("p.departure", 8).alias("departure"), F.bround("p.arrival", 8).alias("arrival"))
+
+
+@query("weighted_endpoints", """
+WITH w AS (SELECT s_suppkey AS e, sum(s_acctbal::DOUBLE) OVER (ORDER BY s_suppkey) / sum(s_acctbal::DOUBLE) OVER () AS hi FROM supplier WHERE s_acctbal > 0),
+d AS (SELECT c_custkey, a, ('0x' || substr(sha256('5|' || c_custkey::VARCHAR || CASE WHEN a < 0 THEN '|from' ELSE '|to|' || a::VARCHAR END), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM customer, (SELECT unnest(range(-1, 5)) AS a)),
+p AS (SELECT c_custkey, a, (SELECT min(e) FROM w WHERE hi > u) AS e FROM d)
+SELECT o.c_custkey, o.e AS from_edge, coalesce(arg_min(t.e, t.a) FILTER (t.e <> o.e), arg_max(t.e, t.a)) AS to_edge FROM p o JOIN p t ON t.c_custkey = o.c_custkey AND t.a >= 0 WHERE o.a < 0 GROUP BY 1, 2""")
+def weighted_endpoints(spark, sf_dir):
+    edges = read(spark, sf_dir, "supplier").select(F.lit("all").alias("zone"), F.col("s_suppkey").alias("edge"), F.col("s_acctbal").cast("double").alias("weight"))
+    requests = read(spark, sf_dir, "customer").select("c_custkey", F.lit("all").alias("origin"), F.lit("all").alias("destination"))
+    return sampling.weighted_endpoints(requests, edges, edges, 5, "c_custkey").select("c_custkey", "from_edge", "to_edge")
+
+
+@query("schedule_scaling", f"""
+WITH b AS (SELECT user_id, {DAY} AS day_type, {BUCKET} AS bucket, avg(value) AS v FROM events GROUP BY 1, 2, 3),
+i AS (SELECT * FROM (VALUES ('requested', 435, 450, 7.0::DOUBLE / 15), ('am', 450, 465, 0.0), ('pm', 990, 1005, 0.0)) AS t(name, low, high, f)),
+s AS (SELECT name, sum(l.v + (h.v - l.v) * f) AS v FROM i JOIN b l ON l.bucket = low AND l.day_type = 'mon_thu' JOIN b h ON h.bucket = high AND h.day_type = 'mon_thu' AND h.user_id = l.user_id GROUP BY name)
+SELECT round_even(coalesce(sum(v) FILTER (name = 'requested'), 0), 6) AS requested_volume, round_even(coalesce(sum(v) FILTER (name = 'am'), 0), 6) AS am_anchor_volume, round_even(coalesce(sum(v) FILTER (name = 'pm'), 0), 6) AS pm_anchor_volume FROM s""")
+def schedule_scaling(spark, sf_dir):
+    b = timed(spark, sf_dir).groupBy("user_id", "day_type", F.col("bucket").alias("bucket_start_minute")).agg(F.avg("value").alias("volume_mean"))
+    at = datetime(2025, 9, 8, 14, 22, tzinfo=timezone.utc)  # a Monday, 07:22 on the local clock
+    return schedules.schedule_scaling(b, at, ["user_id"]).select(*(r6(f"{x}_volume") for x in ("requested", "am_anchor", "pm_anchor")))
+
+
+@query("canonical_keys", """
+SELECT o_orderkey, sha256('{"a":{"key":' || o_orderkey::VARCHAR || ',"status":"' || o_orderstatus || '"},"list":[' || o_custkey::VARCHAR || ',null],"z":{"b":true,"c":' || (o_custkey % 8)::VARCHAR || '.5,"n":null}}') AS key FROM orders""")
+def canonical_keys(spark, sf_dir):
+    z = F.struct(F.lit(None).cast("string").alias("n"), (F.pmod("o_custkey", F.lit(8)) + F.lit(0.5)).alias("c"), F.lit(True).alias("b"))
+    value = F.struct(z.alias("z"), F.array("o_custkey", F.lit(None)).alias("list"), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("key"), F.lit(None).cast("string")).alias("m"), F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("key")).alias("a")).dropFields("m")
+    return read(spark, sf_dir, "orders").select("o_orderkey", canonical.cache_key(value).alias("key"))
