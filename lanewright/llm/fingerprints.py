@@ -8,8 +8,10 @@ fingerprint has a bit where the votes are positive, 32 lowercase hex digits in a
 Fingerprints within a Hamming radius are found by block tables: of radius + 1 blocks two such
 fingerprints agree in one at least, so each block in turn leads the key of a table.  Where more than HOT
 fingerprints share a key, the rest of them is cut into blocks again, which is the same argument on what
-is left, LEVELS times at most; those that still share a key (72 bits of 128 at radius 3) are compared
-with each other.  The search runs on distinct fingerprints, so copies of a text cost nothing.
+is left, until a key holds at most HOT of them or fewer hex digits than blocks are left (then it holds
+16 ** radius different ones at most); only such keys are compared within.  A key whose fingerprints
+agree in an earlier block too is left out, as that block's key has them all.  The search runs on distinct
+fingerprints, so copies of a text cost nothing.
 
 Cases: null counts as empty text; a text without words has the zero fingerprint; the next
 document of the last one is the first, so a lone document is its own next; rows that repeat a
@@ -20,8 +22,9 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 from hashlib import sha256
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from xxhash import xxh3_64_intdigest
 from .common import materialize, require_columns, small_batches
 from .components import connected_components
 
-BITS, SHINGLE, RADIUS, HOT, LEVELS, SALTS = 128, 3, 3, 256, 3, 16
+BITS, SHINGLE, RADIUS, HOT, SALTS = 128, 3, 3, 256, 16
 PARTS = 4096  # ranges of doc_id at most; each bound is a literal of the plan
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -163,13 +166,18 @@ def near_fingerprints(prints: DataFrame, column: str = "fingerprint", radius: in
     word = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word(F.col("a"), i).bitwiseXOR(word(F.col("b"), i))) for i in range(BITS // 32)), F.lit(0))
     out = todo.select(F.col("f").alias("a"), F.col("f").alias("b"), F.lit(0).alias("distance")).where("false")
-    for level in range(1, LEVELS + 1):
+    for _ in range(length):
         size = length // blocks
-        cut = lambda i: F.struct(F.concat("key", F.lit(f"{i}:"), F.substring("rest", i * size + 1, size)).alias("key"), F.concat(F.substring("rest", 1, i * size), F.expr(f"substring(rest, {(i + 1) * size + 1})")).alias("rest"))  # noqa: B023, E731
-        rows = materialize(todo.select("f", F.explode(F.array(*map(cut, range(blocks)))).alias("x")).select("f", "x.key", "x.rest"), "blocks")
-        rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+        part = lambda i: F.substring("rest", i * size + 1, size)  # noqa: B023, E731
+        cut = lambda i: F.struct(F.lit(i).alias("i"), F.concat("key", F.lit(f"{i}:"), part(i)).alias("key"), F.concat(F.substring("rest", 1, i * size), F.expr(f"substring(rest, {(i + 1) * size + 1})")).alias("rest"), F.array(*map(part, range(i))).cast("array<string>").alias("before"))  # noqa: B023, E731
+        rows = materialize(todo.select("f", F.explode(F.array(*map(cut, range(blocks)))).alias("x")).select("f", "x.*"), "blocks")
+        # A key whose rows also agree in an earlier block adds nothing: that block's key has all of them.
+        same = [F.coalesce(F.min(F.get("before", F.lit(j))) == F.max(F.get("before", F.lit(j))), F.lit(False)) for j in range(blocks - 1)]
+        keys = rows.groupBy("key").agg(F.count("*").alias("n"), reduce(or_, same, F.lit(False)).alias("again")).where("n > 1 AND NOT again")
+        rows = rows.join(keys.drop("again"), "key")
         length -= size
-        last = level == LEVELS or length < blocks
+        # With fewer digits left than blocks, at most 16 ** radius different fingerprints share a key.
+        last = length < blocks
         few = rows if last else rows.where(F.col("n") <= hot)
         pairs = few.select(F.col("f").alias("a"), "key").join(few.select(F.col("f").alias("b"), "key"), "key").where("a < b").withColumn("distance", distance)
         out = out.unionByName(pairs.where(F.col("distance") <= radius).select("a", "b", "distance"))

@@ -52,7 +52,7 @@ from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 20, 4
 LONGEST = 256  # windows in a segment
-FREQUENT = 2000  # rows of an anchor from which segments are cut into windows
+FREQUENT = 2000  # segments of an anchor, in one text or many, from which segments are cut into windows
 SHARD_WORDS = 300_000
 FOUND_BITS, OFTEN_BITS = 29, 24
 SALTS = 16
@@ -104,8 +104,8 @@ class Batch:
             out = mix(out * _M1 + h[k : k + n])
         return out
 
-    def anchors(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text its distinct anchors, and those that may mark repeats within it.
+    def anchors(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each text its distinct anchors, those that may mark repeats within it, and how many segments each has.
 
         An anchor repeats in a text if it has two segments, or two places in one.
         """
@@ -123,10 +123,11 @@ class Batch:
         new = np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])]) if len(row) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         many = (np.bincount(group) > 1) | (np.bincount(group, again) > 0) if len(row) else np.zeros(0, bool)
+        times = np.bincount(group) if len(row) else np.zeros(0, np.int64)
         row, anchor = row[new], anchor[new]
         cuts = np.searchsorted(row, np.arange(1, len(self.lengths)))
         cuts_many = np.searchsorted(row[many], np.arange(1, len(self.lengths)))
-        return np.split(anchor, cuts), np.split(anchor[many], cuts_many)
+        return np.split(anchor, cuts), np.split(anchor[many], cuts_many), np.split(times, cuts)
 
     def pieces(self, found: np.ndarray, frequent: np.ndarray) -> dict[str, np.ndarray]:
         """Segments with found anchors, those with frequent ones as single windows: row, key, two digests, place and length."""
@@ -175,8 +176,8 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = Batch(b.column(1).to_pylist())
         digests = [sha256(b" ".join(w)) for w in batch.words]
         keys = [int.from_bytes(d.digest()[:8], "little", signed=True) for d in digests]
-        anchors, again = batch.anchors() if b.num_rows else ([], [])
-        yield pa.record_batch([b.column(0), pa.array(batch.lengths), pa.array([d.hexdigest() for d in digests], pa.string()), pa.array(keys, pa.int64()), pa.array(anchors, lists), pa.array(again, lists)], ["doc_id", "n_words", "sha", "doc_key", "anchors", "again"])
+        anchors, again, times = batch.anchors() if b.num_rows else ([], [], [])
+        yield pa.record_batch([b.column(0), pa.array(batch.lengths), pa.array([d.hexdigest() for d in digests], pa.string()), pa.array(keys, pa.int64()), pa.array(anchors, lists), pa.array(again, lists), pa.array(times, lists)], ["doc_id", "n_words", "sha", "doc_key", "anchors", "again", "times"])
 
 
 def _contents(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -336,10 +337,10 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scans = materialize(texts.mapInArrow(_scan, "doc_id long, n_words long, sha string, doc_key long, anchors array<long>, again array<long>"), "scans")
+    scans = materialize(texts.mapInArrow(_scan, "doc_id long, n_words long, sha string, doc_key long, anchors array<long>, again array<long>, times array<long>"), "scans")
     # An anchor once more in the same text counts as seen in another one.
-    seen = F.concat(F.transform("anchors", lambda a: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"))))
-    anchors = scans.select(F.explode(seen).alias("s")).groupBy("s.anchor").agg(F.min("s.k").alias("low"), F.max("s.k").alias("high"), F.count("*").alias("n"))
+    seen = F.concat(F.zip_with("anchors", "times", lambda a, n: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"), n.alias("n"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"), F.lit(0).cast("long").alias("n"))))
+    anchors = scans.select(F.explode(seen).alias("s")).groupBy("s.anchor").agg(F.min("s.k").alias("low"), F.max("s.k").alias("high"), F.sum("s.n").alias("n"))
     anchors = materialize(anchors.where("low <> high").select("anchor", (F.col("n") > FREQUENT).alias("often")), "anchors")
     shared = spark.sparkContext.broadcast((bit_table(anchors, FOUND_BITS), bit_table(anchors.where("often"), OFTEN_BITS)))
     shape = "key long, d1 long, d2 long, doc long, at int, content binary"
@@ -353,7 +354,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = scans.where(F.col("n_words") >= WINDOW).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # Rows of one text are spread by SALTS, and each class goes to all of its places.
     classes = long.where("first < last").select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    scans = scans.drop("anchors", "again").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    scans = scans.drop("anchors", "again", "times").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     scans = scans.join(classes, ["sha", "salt"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     return scans.drop("salt", "first"), changed.dropDuplicates(["doc_id", "doc_key"])
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 from hashlib import sha256
+from itertools import combinations
 
 import pytest
 import xxhash
@@ -92,6 +93,20 @@ def test_hamming_search_finds_all(spark, radius, hot):
     assert got == want and (want or not radius)
 
 
+@pytest.mark.parametrize(("n", "hot"), [(700, 256), (700, 20), (6000, 256)])
+def test_crowds_on_one_head(spark, n, hot):
+    """Random tails of 32 bits on one head of 96: pairs within the radius, without comparing all."""
+    rng = random.Random(n)
+    tails = list({rng.getrandbits(32) for _ in range(n)} | {5, 6, 7, 1 << 31})
+    head = rng.getrandbits(96) << 32
+    prints = spark.createDataFrame([(i, f"{head | t:032x}") for i, t in enumerate(tails)], "doc_id long, fingerprint string")
+    found = fp.near_fingerprints(prints, hot=hot)
+    got = {(int(r.a, 16) ^ head, int(r.b, 16) ^ head, r.distance) for r in found.collect()}
+    near = [sum(1 << i for i in c) for k in (1, 2, 3) for c in combinations(range(32), k)]
+    known = set(tails)
+    assert got == {(t, t ^ x, x.bit_count()) for t in tails for x in near if t ^ x in known and t < t ^ x}
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (4, "d e f g"), (None, None)], "doc_id long, text string")
     got = fp.fingerprint_documents(docs).collect()
