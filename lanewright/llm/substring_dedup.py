@@ -8,7 +8,7 @@ A window is WINDOW consecutive words of a document; it is a repeat if its words
    once in it, mark unique windows, and those segments go no further.
 2. The other segments are cut out of the documents and brought together by anchor.  Where an
    anchor is frequent, its segments are cut into single windows.  A task sends a content once, so a
-   place gathers at most FREQUENT rows, or of a single window one for each task.
+   place gathers at most PER_TEXT * FREQUENT rows, or of a single window one for each task.
 3. Distinct segments come to shards of bounded size, all of an anchor to one.  The earliest
    segment of each anchor goes into the shard's FM-index (BWT in a wavelet matrix; of the suffix
    array only the first place of each run of suffixes that share a window is kept).  All later ones
@@ -52,7 +52,7 @@ from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 20, 4
 LONGEST = 256  # windows in a segment
-FREQUENT = 2000  # segments of an anchor, in one text or many, from which segments are cut into windows
+PER_TEXT, FREQUENT = 16, 2000  # counts of an anchor, one for each PER_TEXT segments of a text, from which segments are cut into windows
 SHARD_WORDS = 300_000
 FOUND_BITS, OFTEN_BITS = 29, 24
 SALTS = 16
@@ -338,8 +338,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scans = materialize(texts.mapInArrow(_scan, "doc_id long, n_words long, sha string, doc_key long, anchors array<long>, again array<long>, times array<long>"), "scans")
-    # An anchor once more in the same text counts as seen in another one.
-    seen = F.concat(F.zip_with("anchors", "times", lambda a, n: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"), n.alias("n"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"), F.lit(0).cast("long").alias("n"))))
+    # An anchor once more in the same text counts as seen in another one; of its segments there, each PER_TEXT count as one.
+    seen = F.concat(F.zip_with("anchors", "times", lambda a, n: F.struct(a.alias("anchor"), F.col("doc_key").alias("k"), (F.floor((n - 1) / PER_TEXT) + 1).cast("long").alias("n"))), F.transform("again", lambda a: F.struct(a.alias("anchor"), F.bitwise_not("doc_key").alias("k"), F.lit(0).cast("long").alias("n"))))
     anchors = scans.select(F.explode(seen).alias("s")).groupBy("s.anchor").agg(F.min("s.k").alias("low"), F.max("s.k").alias("high"), F.sum("s.n").alias("n"))
     anchors = materialize(anchors.where("low <> high").select("anchor", (F.col("n") > FREQUENT).alias("often")), "anchors")
     shared = spark.sparkContext.broadcast((bit_table(anchors, FOUND_BITS), bit_table(anchors.where("often"), OFTEN_BITS)))
