@@ -92,3 +92,46 @@ def only_row(df: DataFrame, condition: Column):
     if len(found) != 1:
         raise LookupError("no row fits" if not found else "several rows fit")
     return found[0]
+
+
+# What rows of the stored tables must satisfy. As in SQL, a check that is null holds; required columns are apart.
+CHECKS = {
+    "scenarios": {"revision": "revision >= 1", "archived": "archived IN (0, 1)"},
+    "scenario_revisions": {"revision": "revision >= 1"},
+    "simulation_runs": {
+        "run_kind": "run_kind IN ('validation', 'regional_comparison')",
+        "status": "status IN ('queued', 'running', 'completed', 'failed', 'cancel_requested', 'cancelled')",
+    },
+    "benchmark_trips": {
+        "day_type": "day_type IN ('mon_thu', 'friday', 'saturday', 'sunday')",
+        "actual_travel_seconds": "actual_travel_seconds > 0",
+        "reported_no_traffic_seconds": "reported_no_traffic_seconds > 0",
+        "incident_flag": "incident_flag IN (0, 1)",
+        "ends": "(origin_node IS NOT NULL AND destination_node IS NOT NULL AND origin_zone IS NULL AND destination_zone IS NULL) OR (origin_node IS NULL AND destination_node IS NULL AND origin_zone IS NOT NULL AND destination_zone IS NOT NULL)",
+    },
+}
+REQUIRED = {
+    "scenarios": ["id", "name", "revision", "graph_version", "content_json", "archived", "created_at", "updated_at"],
+    "scenario_revisions": ["scenario_id", "revision", "name", "graph_version", "content_json", "created_at"],
+    "simulation_runs": ["id", "run_kind", "status", "run_key", "seed", "graph_version", "created_at"],
+    "benchmark_trips": ["id", "graph_version", "departure_time", "day_type", "corridor_label", "actual_travel_seconds", "incident_flag", "created_at", "updated_at"],
+}
+
+
+def violations(df: DataFrame, checks: dict[str, str], required: Iterable[str] = ()) -> DataFrame:
+    """Rows that break a check, with the names of all they break in _broken: a filter in one pass, no shuffle."""
+    tests = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in required] + [F.when(~F.expr(e), F.lit(n)) for n, e in checks.items()]
+    return df.withColumn("_broken", F.array_compact(F.array(*tests))).where(F.size("_broken") > 0)
+
+
+def stored_faults(df: DataFrame, table: str) -> DataFrame:
+    """The rows that a stored table (a name of CHECKS) may not have; columns that must be there and aren't are an error."""
+    require_columns(df, REQUIRED[table])
+    used = {n: e for n, e in CHECKS[table].items()}
+    optional = {"benchmark_trips": {c: "string" for c in ("origin_node", "destination_node", "origin_zone", "destination_zone")} | {"reported_no_traffic_seconds": "double"}}
+    return violations(with_optional(df, optional.get(table, {})), used, REQUIRED[table])
+
+
+def first_status(df: DataFrame, keys: list[str], order: list[str], status: str = "status") -> DataFrame:
+    """The status of each key's first row by order, ties by the status itself."""
+    return df.groupBy(*keys).agg(F.min_by(status, F.struct(*order, status)).alias(status))

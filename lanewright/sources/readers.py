@@ -106,3 +106,30 @@ def observed_stations(stations: DataFrame, highways: DataFrame, observed: DataFr
     out = own.join(observed.select("station_id").distinct(), "station_id", "left_semi").groupBy("station_id").agg(F.min(F.struct("highwayid", "location", "x", "y")).alias("s")).select("station_id", "s.*")
     reason = F.when(F.col("x").isNull() | F.col("y").isNull(), "no_point").when(F.col("_known").isNull(), "unknown_highway")
     return out.join(named, "highwayid", "left").withColumn("reason", reason).drop("_known")
+
+
+def gateway_connectors(spark: SparkSession, path: str, version: str, sha256: str) -> DataFrame:
+    """(gateway_id, origin, destination, evidence) of a connector file that is bound to one network.
+
+    Errors, in this order: another schema than 1, another version or checksum of the network, no gateways, rows
+    without an id or an edge, a gateway twice, another count than the file declares. All are told by one pass over the rows.
+    """
+    kind = "schema_version long, sumo_network_version string, sumo_network_sha256 string, gateway_count long, gateways array<struct<gateway_id:string,inbound_sumo_edge_id:string,outbound_sumo_edge_id:string,evidence:string>>"
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("g")).select("g.*")
+    text = lambda c: F.trim(F.coalesce(F.col(f"r.{c}"), F.lit("")))
+    each = raw.select("schema_version", "sumo_network_version", "sumo_network_sha256", "gateway_count", F.explode_outer("gateways").alias("r"))
+    rows = each.select("*", text("gateway_id").alias("gateway_id"), text("inbound_sumo_edge_id").alias("origin"), text("outbound_sumo_edge_id").alias("destination"), F.coalesce(F.nullif(text("evidence"), F.lit("")), F.lit("reviewed_gateway_connector")).alias("evidence"))
+    told = rows.agg(
+        F.coalesce(F.bool_and(F.coalesce(F.col("schema_version") == 1, F.lit(False))), F.lit(False)).alias("schema"),
+        F.coalesce(F.bool_and(F.coalesce(F.col("sumo_network_version") == version, F.lit(False))), F.lit(False)).alias("version"),
+        F.coalesce(F.bool_and(F.coalesce(F.col("sumo_network_sha256") == sha256, F.lit(False))), F.lit(False)).alias("sha"),
+        F.count("r").alias("n"),
+        F.count_if(F.expr("r IS NOT NULL AND (gateway_id = '' OR origin = '' OR destination = '')")).alias("bare"),
+        F.count_distinct(F.when(F.col("r").isNotNull(), F.col("gateway_id"))).alias("ids"),
+        F.max("gateway_count").alias("declared"),
+    ).head()
+    for wrong, why in [(not told.schema, "schema_version is not 1"), (not told.version, "not the version of the network"), (not told.sha, "not the checksum of the network"),
+                       (told.n == 0, "no gateways"), (told.bare > 0, "a gateway without an id or an edge"), (told.ids != told.n, "a gateway twice"), (told.declared != told.n, "gateway_count is not the number of gateways")]:
+        if wrong:
+            raise ValueError(f"{path}: {why}")
+    return rows.select("gateway_id", "origin", "destination", "evidence")

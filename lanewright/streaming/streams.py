@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def windowed(df: DataFrame, ts: str, keys: list[str], value: str, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -28,8 +28,17 @@ def read_chunks(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 
 def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 120) -> int:
-    """Process what is there and stop; a second run over the same checkpoint processes nothing anew. Gives the batches' number."""
-    query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is there and stop; a second run over the same checkpoint processes nothing anew. Gives the batches' number.
+
+    The state is kept in RocksDB, as processors with named state need it; the session's own choice comes back afterwards.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     try:
         if not query.awaitTermination(timeout):
             raise TimeoutError("the stream did not end")
@@ -46,25 +55,91 @@ def ledger_new(chunks: DataFrame, ledger: DataFrame) -> DataFrame:
     return both.where("_old IS NULL").drop("_old")
 
 
+class _Toggles(StatefulProcessor):
+    """Keeps the last value of a key; gives the rows that differ from the row before."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "active boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        f = pd.concat([r[["at", "active"]] for r in rows]).sort_values("at", kind="stable", ignore_index=True)
+        now = f["active"].fillna(False).astype(bool)
+        before = now.astype(object).shift(1)
+        before.iloc[0] = self.last.get()[0] if self.last.exists() else None
+        yield f.assign(active=now, key=key[0])[now.astype(object) != before][["key", "at", "active"]]
+        self.last.update((bool(now.iloc[-1]),))
+
+
 def toggles(df: DataFrame, key: str = "edge_id", at: str = "at") -> DataFrame:
-    """(key, at, active) -> rows where active differs from the key's last one, across batches: kept as state."""
+    """(key, at, active) -> rows where active differs from the key's last one, across batches: kept as state.
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
+    Rows of a batch are put in order of time, then of arrival; batches follow each other as they come. A null counts as not active.
+    A key's rows of one micro-batch meet in one task, so files_per_trigger bounds them.
+    """
+    kind = {n: t for n, t in df.dtypes}
+    schema = f"key {kind[key]}, at {kind[at]}, active boolean"
+    # Names are plain inside: Spark gives columns that begin with an underscore other names there.
+    rows = df.select(F.col(key).alias("key"), F.col(at).alias("at"), "active")
+    return rows.groupBy("key").transformWithStateInPandas(_Toggles(), schema, "append", "none").toDF(key, at, "active")
+
+
+class _Groups(StatefulProcessor):
+    """Keeps the groups a chunk has shown and their number; a timer clears both when the chunk is over."""
+
+    def __init__(self, most: int, hold_ms: int):
+        self.most, self.hold_ms = most, hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "digest binary", "there boolean")
+        self.count = handle.getValueState("count", "n long, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        n, until = self.count.get() if self.count.exists() else (0, -1)
+        newest = until
+        for f in rows:
+            for digest in f["digest"].drop_duplicates():
+                digest = bytes(digest)
+                if not self.seen.containsKey((digest,)):
+                    n += 1
+                    if n > self.most:
+                        raise ValueError(f"chunk {key[0]} has over {self.most} groups")
+                    self.seen.updateValue((digest,), (True,))
+            newest = max(newest, int(f["at_ms"].max()) + self.hold_ms)
+        if newest != until:
+            if until >= 0:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(newest)
+        self.count.update((n, newest))
+        yield pd.DataFrame({"chunk_id": [key[0]], "groups": [n], "closed": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0]
+        self.seen.clear()
+        self.count.clear()
+        yield pd.DataFrame({"chunk_id": [key[0]], "groups": [n], "closed": [True]})
+
+
+def capped_groups(df: DataFrame, parts: list[str], at: str = "at", chunk: str = "chunk_id", most: int = 250_000, late: str = "1 hour", hold_seconds: int = 3600) -> DataFrame:
+    """(chunk_id, groups, closed): how many different groups (parts) each chunk has shown after every batch; over most is an error.
+
+    The cap is the feature: a chunk past it is an error, no row of it is left out. Rows later than `late` are
+    left out by the watermark. A chunk is closed and its state cleared hold_seconds after its newest row, once the watermark (late) has passed that. Copies of a group are
+    taken out within each Arrow batch before the shuffle, so a chunk with many rows sends little more than its groups;
+    a state holds at most `most` digests of 32 bytes. Nulls are a value of their own; rows without a time are an error.
+    """
+    text = F.to_json(F.struct(*[F.col(p).cast("string").alias(f"p{i}") for i, p in enumerate(parts)]))
+    told = F.when(F.col(at).isNull(), F.raise_error(F.lit("row without a time"))).otherwise(F.unix_millis(at))
+    kind = dict(df.dtypes)[chunk]
+    rows = df.select(F.col(chunk).alias("chunk_id"), F.col(at).alias("told"), F.unhex(F.sha2(text, 256)).alias("digest"), told.alias("at_ms"))
+
+    def distinct(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for row in f.sort_values(at).itertuples(index=False):
-                now = bool(row.active)
-                if now != last:
-                    out.append((k[0], getattr(row, at), now))
-                    last = now
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=[key, at, "active"])
+            yield f.sort_values("at_ms").drop_duplicates(["chunk_id", "digest"], keep="last")
 
-    kind = {n: t for n, t in df.dtypes}
-    schema = f"{key} {kind[key]}, {at} {kind[at]}, active boolean"
-    return df.groupBy(key).applyInPandasWithState(step, schema, "active boolean", "append", GroupStateTimeout.NoTimeout)
+    few = rows.mapInPandas(distinct, rows.schema).withWatermark("told", late)
+    schema = f"chunk_id {kind}, groups long, closed boolean"
+    return few.groupBy("chunk_id").transformWithStateInPandas(_Groups(most, hold_seconds * 1000), schema, "append", "EventTime")
 
 
 def toggles_batch(df: DataFrame, key: str = "edge_id", at: str = "at") -> DataFrame:
