@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lanewright.functions import canonical
 from lanewright.session import ensure_checkpoints
 
 
@@ -170,3 +171,45 @@ def elementary_intervals(df: DataFrame, start: str, end: str, key: str) -> DataF
     spans = points.withColumn("b", F.lead("a").over(Window.orderBy("a"))).where("b IS NOT NULL")
     joined = spans.join(df, (F.col(start) <= F.col("a")) & (F.col(end) >= F.col("b")))
     return joined.groupBy("a", "b").agg(F.array_sort(F.collect_set(key)).alias("active"))
+
+
+#: Classes whose length counts as residential: fixed values.
+RESIDENTIAL = ["residential", "living_street"]
+
+
+def best_edges(edges: DataFrame) -> DataFrame:
+    """Of the parallel edges of u and v the one of least effective cost, ties by edge_id; one aggregation on edges, not on steps."""
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    best = edges.groupBy("u", "v").agg(F.min_by(F.struct(*rest), F.struct("effective_cost", "edge_id")).alias("_e"))
+    return best.select("u", "v", "_e.*")
+
+
+def route_summary(steps: DataFrame, edges: DataFrame, version: str, key: str = "route_id") -> DataFrame:
+    """steps (key, position, u, v) and edges (u, v, parallel, edge_id, length_m, free_flow_seconds, cost, lanes, road_class,
+    restriction, remaining_lanes, limit_kph) -> for each route its distance, time, residential length, penalty and route_hash.
+
+    A step takes the cheapest of its parallel edges. The penalty is what costs exceed free flow by. Steps without an edge
+    are counted in missing, and such a route has no sums and no hash. The hash is the first 20 digits of the SHA-256 of a
+    JSON list of version, ends and the edges in order with their restrictions. A route's edges meet in one row: routes are short.
+    """
+    best = best_edges(effective_costs(edges))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    limits = F.when(F.col("restriction").isNull(), "baseline").otherwise(F.concat_ws(":", "restriction", name("remaining_lanes"), name("limit_kph")))
+    identity = F.concat_ws(":", F.col("u").cast("string"), F.col("v").cast("string"), F.col("parallel").cast("string"), "edge_id", limits)
+    on = steps.select(key, "position", "u", "v").join(best, ["u", "v"], "left")
+    out = on.groupBy(key).agg(
+        F.count_if(F.col("edge_id").isNull()).alias("missing"),
+        F.sum("length_m").alias("distance_m"),
+        F.sum("effective_seconds").alias("travel_time_seconds"),
+        F.sum(F.when(F.col("road_class").isin(RESIDENTIAL), F.col("length_m")).otherwise(0.0)).alias("residential_distance_m"),
+        F.sum(F.greatest(F.lit(0.0), F.col("cost") - F.col("free_flow_seconds"))).alias("penalty_seconds"),
+        F.min_by(F.col("u").cast("string"), "position").alias("_from"),
+        F.max_by(F.col("v").cast("string"), "position").alias("_to"),
+        F.transform(F.array_sort(F.collect_list(F.struct("position", identity.alias("i")))), lambda x: x["i"]).alias("_ids"),
+    )
+    ends = canonical.canonical_json(F.array(F.lit(version), "_from", "_to"))
+    text = F.concat(F.expr("substring(_ends, 1, length(_ends) - 1)"), F.lit(","), canonical.canonical_json(F.col("_ids")), F.lit("]"))
+    out = out.withColumn("_ends", ends).withColumn("route_hash", F.substring(F.sha2(text.cast("binary"), 256), 1, 20))
+    whole = F.col("missing") == 0
+    sums = ["distance_m", "travel_time_seconds", "residential_distance_m", "penalty_seconds", "route_hash"]
+    return out.select(key, "missing", *(F.when(whole, F.col(c)).alias(c) for c in sums))

@@ -82,10 +82,10 @@ SELECT event_id, value > 0 AND value <= 200 AS speed_valid, value >= 0 AND value
   value > 0 AND value <= 200 AND (k IS NULL OR k BETWEEN 0 AND 100) AND event_type NOT IN ('bad', 'invalid', 'rejected', 'low_sample', 'error') AS eligible
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)""")
 def observation_validity(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
-    v, ok = F.col("value"), F.col("k").isNull() | F.col("k").between(0, 100)
-    speed = (v > 0) & (v <= 200)
-    return e.select("event_id", speed.alias("speed_valid"), ((v >= 0) & (v <= 20000)).alias("volume_valid"), ok.alias("occupancy_valid"), (speed & ok & ~F.col("event_type").isin("bad", "invalid", "rejected", "low_sample", "error")).alias("eligible"))
+    e = read(spark, sf_dir, "events")
+    flag = F.when(F.col("event_type") == "error", "rejected").otherwise(F.col("event_type"))
+    rows = e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_local"), F.col("user_id").cast("string").alias("station_or_segment_id"), F.col("value").cast("string").alias("speed_kph"), F.col("value").cast("string").alias("volume"), F.get_json_object("props", "$.k").alias("occupancy"), flag.alias("quality_flag"))
+    return observations.enrich(rows).select("event_id", "speed_valid", "volume_valid", "occupancy_valid", F.col("profile_eligible").alias("eligible"))
 
 
 @query("schedule_moments", f"SELECT user_id, {DAY} AS day_type, count(value) AS n, round_even(avg(value), 6) AS value_mean, round_even(stddev_pop(value), 6) AS value_std FROM events GROUP BY 1, 2")
