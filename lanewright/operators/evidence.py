@@ -57,6 +57,35 @@ def findings(totals: DataFrame, rows: str = "rows", rules=FINDINGS) -> DataFrame
     return kept.select("f.*", F.bround(100.0 * F.col("f.n") / F.greatest(F.col("_rows"), F.lit(1)), 4).alias("rate_percent"))
 
 
+def missing_dates(df: DataFrame, date: str, first: str, last: str, weekdays: tuple[int, ...] = (1, 2, 3, 4, 5, 6, 7), examples: int = 20) -> DataFrame:
+    """The finding of dates that a campaign (its days of the ISO week from first to last) should have and no row has; none: no row."""
+    day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")
+    expected = df.sparkSession.range(1).select(day).where((F.weekday("day") + 1).isin(list(weekdays)))
+    seen = df.select(F.col(date).cast("date").alias("day")).distinct().withColumn("_seen", F.lit(True))
+    both = expected.join(seen, "day", "left").agg(F.count("*").alias("_all"), F.sort_array(F.collect_list(F.when(F.col("_seen").isNull(), F.col("day")))).alias("_missing"))
+    n = F.size("_missing").cast("long")
+    return both.where(n > 0).select(F.lit("medium").alias("severity"), F.lit("missing_campaign_dates").alias("name"), n.alias("n"), F.bround(100.0 * n / F.greatest(F.col("_all"), F.lit(1)), 4).alias("rate_percent"), F.slice("_missing", 1, examples).alias("examples"))
+
+
+def preset_faults(selected: DataFrame, snapshots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Why presets don't fit a graph: (preset_id, section_id, edge_id, reason), none for those that fit.
+
+    selected (preset_id, section_id, edge_id), snapshots of their edges (and u, v, parallel, fingerprint) and the graph's edges
+    (u, v, parallel, edge_id, fingerprint). A selected edge needs a snapshot; at its place the graph must have the same edge, with
+    the same fingerprint where the snapshot has one. Only the snapshots of selected edges meet the graph, by one join on places.
+    """
+    key = ["preset_id", "section_id", "edge_id"]
+    snap = snapshots.select(*key, "u", "v", "parallel", F.nullif(F.col("fingerprint"), F.lit("")).alias("fingerprint"), F.lit(True).alias("_snap"))
+    wanted = selected.select(*key).distinct().join(snap, key, "left")
+    there = edges.select("u", "v", "parallel", F.col("edge_id").alias("_id"), F.coalesce("fingerprint", F.lit("")).alias("_print"))
+    on = wanted.join(there, ["u", "v", "parallel"], "left")
+    reason = (
+        F.when(F.col("_snap").isNull(), "no snapshot").when(F.col("_id").isNull(), "no edge").when(F.col("_id") != F.col("edge_id"), "another edge")
+        .when(F.col("fingerprint").isNotNull() & (F.col("fingerprint") != F.col("_print")), "another shape")
+    )
+    return on.select(*key, reason.alias("reason")).where("reason IS NOT NULL").distinct()
+
+
 def review_status(found: DataFrame) -> DataFrame:
     """PASS, or REVIEW REQUIRED where a finding is critical or high."""
     return found.agg(F.when(F.count_if(F.col("severity").isin("critical", "high")) > 0, "REVIEW REQUIRED").otherwise("PASS").alias("status"))
@@ -93,8 +122,16 @@ def connects(zone_type: Column, road_class: Column) -> Column:
 
 
 def place_keys(json: Column) -> Column:
-    """Sorted array of the keys in a JSON text, at any depth, that name places; null text: empty."""
-    keys = F.regexp_extract_all(F.lower(F.coalesce(json, F.lit(""))), F.lit(r'"([^"\\]*)"\s*:'), F.lit(1))
+    """Sorted array of the keys in a JSON text, at any depth, that name places; null text: empty.
+
+    Keys written with escapes count as what they spell; quotes inside texts don't begin a key.
+    """
+    text = F.lower(F.coalesce(json, F.lit("")))
+    spelled = text
+    for c in sorted(set("".join(PLACE_KEYS))):
+        spelled = F.regexp_replace(spelled, rf"\\u00(?:{ord(c):02x}|{ord(c.upper()):02x})", c)
+    plain = F.regexp_replace(F.when(text.contains("\\u"), spelled).otherwise(text), r"\\.", "?")
+    keys = F.regexp_extract_all(plain, F.lit(r'"([^"]*)"\s*:'), F.lit(1))
     return F.array_sort(F.array_intersect(keys, F.array(*map(F.lit, PLACE_KEYS))))
 
 

@@ -132,6 +132,28 @@ def stored_faults(df: DataFrame, table: str) -> DataFrame:
     return violations(with_optional(df, optional.get(table, {})), used, REQUIRED[table])
 
 
+# What a campaign's configuration may hold.
+CAMPAIGN = {
+    "name": "coalesce(name, '') RLIKE '^[A-Za-z0-9][A-Za-z0-9._-]{0,79}$'",
+    "end_date": "end_date >= start_date",
+    "days": "datediff(end_date, start_date) + 1 <= 1096",
+    "highway_ids": "coalesce(size(highway_ids), 0) BETWEEN 1 AND 64 AND forall(highway_ids, x -> coalesce(x > 0, false))",
+    "resolution": "coalesce(resolution, '00:15:00') IN ('00:15:00', '01:00:00')",
+    "days_of_week": "days_of_week IS NULL OR (size(days_of_week) > 0 AND forall(days_of_week, x -> coalesce(x BETWEEN 1 AND 7, false)))",
+    "chunk_days": "chunk_days BETWEEN 1 AND 7",
+    "delay_ms": "delay_ms BETWEEN 100 AND 60000",
+    "request_timeout_ms": "request_timeout_ms BETWEEN 10000 AND 600000",
+    "max_retries": "max_retries BETWEEN 0 AND 10",
+    "max_response_bytes": "max_response_bytes BETWEEN 1048576 AND 104857600",
+    "max_groups_per_chunk": "max_groups_per_chunk BETWEEN 100 AND 1000000",
+}
+
+
+def campaign_faults(configs: DataFrame) -> DataFrame:
+    """Configurations of campaigns that may not run, with what is wrong in _broken; a null that has a default holds."""
+    return violations(configs, CAMPAIGN, ["start_date", "end_date"])
+
+
 def first_status(df: DataFrame, keys: list[str], order: list[str], status: str = "status") -> DataFrame:
     """The status of each key's first row by order, ties by the status itself."""
     return df.groupBy(*keys).agg(F.min_by(status, F.struct(*order, status)).alias(status))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewright.operators import flows, matching, spatial, validate
+from lanewright.operators import evidence, flows, matching, spatial, validate
 from lanewright.sources import runs
 
 from .registry import query
@@ -112,3 +112,29 @@ def station_match_scores(spark, sf_dir):
                      F.when(road == 0, "motorway").when(road == 1, "motorway_link").when(road == 2, "trunk").when(road == 3, "primary_link").otherwise("residential").alias("road_class"))
     best = matching.select_matches(matching.score_candidates(spatial.points_within(edges, stations, matching.MAX_DISTANCE, ("ox", "oy"), ("x", "y"))))
     return best.select("station_id", "edge_id", r6("distance"), "score", F.bround("margin", 3).alias("margin"), F.array_join("reasons", "|").alias("reasons"), "status")
+
+
+@query("missing_dates", """
+WITH e AS (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS day), x AS (SELECT day FROM e WHERE isodow(day) BETWEEN 2 AND 6),
+m AS (SELECT day FROM x WHERE day NOT IN (SELECT o_orderdate::DATE FROM orders))
+SELECT 'medium' AS severity, 'missing_campaign_dates' AS name, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(*) FROM x), 4) AS rate_percent, array_to_string(list(strftime(day, '%Y-%m-%d') ORDER BY day)[1:20], ' ') AS examples FROM m HAVING count(*) > 0""")
+def missing_dates(spark, sf_dir):
+    found = evidence.missing_dates(read(spark, sf_dir, "orders"), "o_orderdate", "1992-01-01", "1998-12-31", (2, 3, 4, 5, 6))
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda d: d.cast("string")), " "))
+
+
+@query("preset_faults", """
+WITH g AS (SELECT l_suppkey AS u, l_partkey AS v, l_linenumber AS p, min(l_orderkey) AS edge_id, max(l_returnflag) AS shape FROM lineitem GROUP BY 1, 2, 3),
+s AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_suppkey AS u, l_partkey AS v, CASE WHEN l_tax < 0.02 THEN '' ELSE l_returnflag END AS shape, l_tax FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_tax, l_returnflag),
+f AS (SELECT l_orderkey AS preset_id, l_linenumber AS section_id, l_orderkey AS edge_id, CASE WHEN l_tax > 0.07 THEN 'no snapshot' WHEN g.edge_id IS NULL THEN 'no edge' WHEN g.edge_id <> l_orderkey THEN 'another edge' WHEN s.shape <> '' AND s.shape <> g.shape THEN 'another shape' END AS reason
+  FROM s LEFT JOIN g ON s.u = g.u AND s.v + CASE WHEN l_tax BETWEEN 0.055 AND 0.065 THEN 1000000 ELSE 0 END = g.v AND s.l_linenumber = g.p)
+SELECT * FROM f WHERE reason IS NOT NULL""")
+def preset_faults(spark, sf_dir):
+    li = read(spark, sf_dir, "lineitem")
+    edges = li.groupBy(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_linenumber").alias("parallel")).agg(F.min("l_orderkey").alias("edge_id"), F.max("l_returnflag").alias("fingerprint"))
+    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_partkey", "l_tax", "l_returnflag")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    key = [F.col("l_orderkey").alias("preset_id"), F.col("l_linenumber").alias("section_id"), F.col("l_orderkey").alias("edge_id")]
+    moved = F.col("l_partkey") + F.when(F.col("l_tax").between(0.055, 0.065), 1000000).otherwise(0)
+    shape = F.when(F.col("l_tax") < 0.02, "").otherwise(F.col("l_returnflag"))
+    snapshots = one.where("l_tax <= 0.07").select(*key, F.col("l_suppkey").alias("u"), moved.alias("v"), F.col("l_linenumber").alias("parallel"), shape.alias("fingerprint"))
+    return evidence.preset_faults(one.select(*key), snapshots, edges)

@@ -140,6 +140,11 @@ def cancel(spark: SparkSession, root: str, run_id: str, attempts: int = 8) -> di
     raise Conflict(f"run {run_id} changed {attempts} times")
 
 
+def is_cancelled(spark: SparkSession, root: str, run_id: str) -> bool:
+    """Whether someone asked the run to stop, for a stream or a job that asks between its steps."""
+    return get(spark, root, run_id)["status"] in ("cancel_requested", "cancelled")
+
+
 def states(spark: SparkSession, root: str) -> DataFrame:
     """All states of all runs."""
     return spark.read.schema(SCHEMA).json(f"{root}/*/*.json")

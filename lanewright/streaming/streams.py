@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,9 +28,12 @@ def read_chunks(spark: SparkSession, path: str, schema: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 120) -> int:
+def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 120, cancelled: Callable[[], bool] | None = None, report: Callable[[DataFrame], None] | None = None) -> int:
     """Process what is there and stop; a second run over the same checkpoint processes nothing anew. Gives the batches' number.
 
+    cancelled is asked once a second; where it says so the stream stops, and the batch it was at is done again, with the
+    same number, by the next run. report gets the table of timings, of a cancelled run too.
+
     The state is kept in RocksDB, as processors with named state need it; the session's own choice comes back afterwards.
     """
     conf, name = df.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
@@ -40,11 +44,23 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpo
     finally:
         conf.set(name, before)
     try:
-        if not query.awaitTermination(timeout):
-            raise TimeoutError("the stream did not end")
+        until = time.monotonic() + timeout
+        while not query.awaitTermination(1):
+            if cancelled is not None and cancelled():
+                break
+            if time.monotonic() > until:
+                raise TimeoutError("the stream did not end")
         return len(query.recentProgress)
     finally:
         query.stop()
+        if report is not None:
+            report(timings(df.sparkSession, query.recentProgress))
+
+
+def timings(spark: SparkSession, progress: list) -> DataFrame:
+    """(batch_id, input_rows, phase, ms) of a stream's progress: one row for each batch and phase, few as batches are."""
+    rows = [(p["batchId"], p["numInputRows"], phase, int(ms)) for p in progress for phase, ms in sorted(p["durationMs"].items())]
+    return spark.createDataFrame(rows, "batch_id long, input_rows long, phase string, ms long")
 
 
 def ledger_new(chunks: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lanewright.operators import validate
+from lanewright.operators import evidence, validate
 from lanewright.sources import readers, runs
 from lanewright.streaming import streams
 
@@ -148,3 +149,52 @@ def test_toggles_of_nulls_and_ties(spark, tmp_path):
     streams.run_available(streams.toggles(streams.read_chunks(spark, src, kind)), lambda df, i: df.write.mode("append").parquet(out), f"{tmp_path}/check")
     want = streams.toggles_batch(spark.createDataFrame(rows, kind).withColumn("active", F.coalesce("active", F.lit(False))))
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cancelled_streams_and_timings(spark, tmp_path):
+    root, src, out, check = (f"{tmp_path}/{x}" for x in ("runs", "in", "out", "check"))
+    kind = "edge_id int, at int, active boolean"
+    for i in range(4):
+        spark.createDataFrame([(i, i, True)], kind).coalesce(1).write.mode("append").json(src)
+    runs.start(spark, root, "r", "validation", "k", 1)
+    runs.move(spark, root, "r", "running")
+    told = []
+
+    def sink(df, i):
+        df.write.mode("overwrite").parquet(f"{out}/{i}")
+        if i == 1:
+            runs.cancel(spark, root, "r")
+            time.sleep(3)
+
+    read = lambda: streams.toggles(streams.read_chunks(spark, src, kind, 1))
+    streams.run_available(read(), sink, check, cancelled=lambda: runs.is_cancelled(spark, root, "r"), report=told.append)
+    assert runs.get(spark, root, "r")["status"] == "cancel_requested"
+    assert len(list((tmp_path / "out").iterdir())) < 4
+    assert {"triggerExecution"} <= {r.phase for r in told[0].collect()} and told[0].columns == ["batch_id", "input_rows", "phase", "ms"]
+    # The next run takes up what is left; a batch done again writes its own folder anew.
+    streams.run_available(read(), lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i}"), check)
+    assert sorted(r.edge_id for r in spark.read.parquet(f"{out}/*").collect()) == [0, 1, 2, 3]
+
+
+def test_place_keys_with_escapes(spark):
+    texts = ['{"lat": 1}', '{"\\u006Cat": 1}', '{"\\u004c\\u0041T": 1}', '{"\\\\u006cat": 1}', '{"note": "\\"lat\\": 5"}', '{"a": [{"LNG" : 2}], "lat": 0}', None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", evidence.place_keys(F.col("t")).alias("k")).collect()
+    assert [r.k for r in sorted(rows)] == [["lat"], ["lat"], ["lat"], [], [], ["lat", "lng"], [], []]
+
+
+def test_campaign_faults(spark):
+    good = dict(name="a-1", start_date="2024-01-01", end_date="2024-01-31", highway_ids=[1, 2], resolution=None, days_of_week=[2, 3], chunk_days=1, delay_ms=100, request_timeout_ms=10000, max_retries=0, max_response_bytes=None, max_groups_per_chunk=1000000)
+    cases = [({}, None), ({"name": "-a"}, ["name"]), ({"name": None}, ["name"]), ({"end_date": "2023-12-31"}, ["end_date"]), ({"end_date": "2027-01-01"}, ["days"]), ({"start_date": None}, ["start_date is null"]),
+             ({"highway_ids": []}, ["highway_ids"]), ({"highway_ids": None}, ["highway_ids"]), ({"highway_ids": [1, None]}, ["highway_ids"]), ({"highway_ids": list(range(1, 66))}, ["highway_ids"]), ({"resolution": "00:05:00"}, ["resolution"]),
+             ({"days_of_week": [8], "max_retries": 11}, ["days_of_week", "max_retries"]), ({"days_of_week": None}, None), ({"delay_ms": 99}, ["delay_ms"])]
+    kind = "i int, name string, start_date string, end_date string, highway_ids array<int>, resolution string, days_of_week array<int>, chunk_days int, delay_ms int, request_timeout_ms int, max_retries int, max_response_bytes long, max_groups_per_chunk long"
+    table = spark.createDataFrame([(i, *(good | c).values()) for i, (c, _) in enumerate(cases)], kind).withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    assert {r.i: r["_broken"] for r in validate.campaign_faults(table).collect()} == {i: w for i, (_, w) in enumerate(cases) if w}
+
+
+def test_missing_dates(spark):
+    rows = spark.createDataFrame([("2024-01-01",), ("2024-01-01",), ("2024-01-03",), (None,), ("2025-01-01",)], "d string")
+    r = evidence.missing_dates(rows, "d", "2024-01-01", "2024-01-07", (1, 2, 3), 1).head()
+    assert (r.severity, r.n, r.rate_percent, [str(d) for d in r.examples]) == ("medium", 1, 33.3333, ["2024-01-02"])
+    assert evidence.missing_dates(rows, "d", "2024-01-01", "2024-01-01").count() == 0
+    assert evidence.missing_dates(rows.limit(0), "d", "2024-01-01", "2024-01-02").head().n == 2
