@@ -38,6 +38,24 @@ def seed_cost(seconds: Column, road_class: Column) -> Column:
     return F.greatest(seconds.cast("double"), F.lit(0.01)) * F.coalesce(F.try_element_at(table, road_class), F.lit(OTHER_FACTOR))
 
 
+def dealt(edges: DataFrame, cost: str = "cost") -> DataFrame:
+    """(u, v, edge_id, _c): the cheapest edge of each (u, v), dealt by u and kept on disk; the caller unpersists it.
+
+    Edges move once: they are dealt by u before the cheapest are taken, which leaves them sorted by u and v for the joins of all rounds.
+    """
+    e = edges.select("u", "v", "edge_id", F.col(cost).cast("double").alias("_c")).repartition("u")
+    return best_parallel(e, "_c").persist(StorageLevel.DISK_ONLY)
+
+
+#: Wanted ids, nodes and the like up to so many rows are broadcast, so that the edges that they are looked up in stay where they are.
+FEW = 200_000
+
+
+def _wanted(df: DataFrame) -> DataFrame:
+    df = df.distinct().checkpoint()
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, cost: str = "cost", rounds: int = 10_000, factors: DataFrame | None = None) -> DataFrame:
     """(key, node, cost, label, prev, edge_id): the cheapest way from a key's sources to every node.
 
@@ -47,45 +65,50 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = Non
     factors (key, edge_id, factor): what makes an edge dearer for one key.  Of equal costs the least label wins, then the least previous node, then the least edge; so paths are the
     same however rows are dealt.  A source that is not reached more cheaply from another has no prev.
     """
-    ensure_checkpoints(edges.sparkSession)
-    e = best_parallel(edges.select("u", "v", "edge_id", F.col(cost).cast("double").alias("_c")), "_c").where("u <> v")
-    shared = targets.select("node").distinct().count() if targets is not None and "key" not in targets.columns else None
-    e = e.repartition("u").persist(StorageLevel.DISK_ONLY)
+    e = dealt(edges, cost)
     try:
-        bad = e.where("_c IS NULL OR isnan(_c) OR _c <= 0").limit(1).collect()
-        if bad:
-            raise ValueError(f"cost of edge {bad[0]['edge_id']} is not above zero")
-        start = F.col("cost").cast("double") if "cost" in sources.columns else F.lit(0.0)
-        label = F.col("label") if "label" in sources.columns else F.lit(None).cast("string")
-        kind = {f.name: f.dataType for f in e.schema}
-        rows = sources.select("key", "node", start.alias("cost"), label.alias("label"), F.lit(None).cast(kind["u"]).alias("prev"), F.lit(None).cast(kind["edge_id"]).alias("edge_id"))
-        best = F.min(F.struct("cost", "label", "prev", "edge_id"))
-        known = rows.groupBy("key", "node").agg(best.alias("b")).select("key", "node", "b.*", F.lit(True).alias("moved")).checkpoint()
-        for _ in range(rounds):
-            front = known.where("moved")
-            if targets is not None:
-                if shared is None:
-                    t = targets.select("key", "node").join(known.select("key", "node", "cost"), ["key", "node"], "left")
-                    all_there = F.count_if(F.col("cost").isNull()) == 0
-                else:
-                    t, all_there = known.join(targets.select("node").distinct(), "node"), F.count("*") == shared
-                far = t.groupBy("key").agg(F.when(all_there, F.max("cost")).alias("_far"))
-                front = front.join(far, "key", "left").where(F.col("_far").isNull() | (F.col("cost") < F.col("_far")))
-            step = front.select("key", F.col("node").alias("u"), "cost", "label").join(e.withColumnRenamed("edge_id", "_e"), "u")
-            if factors is not None:
-                step = step.join(factors.select("key", F.col("edge_id").alias("_e"), "factor"), ["key", "_e"], "left").withColumn("_c", F.col("_c") * F.coalesce("factor", F.lit(1.0)))
-            step = step.select("key", F.col("v").alias("node"), (F.col("cost") + F.col("_c")).alias("cost"), "label", F.col("u").alias("prev"), F.col("_e").alias("edge_id"), F.lit(False).alias("old"))
-            both = known.drop("moved").withColumn("old", F.lit(True)).unionByName(step)
-            now = both.groupBy("key", "node").agg(best.alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "label"))).alias("was"))
-            moved = ~F.struct("b.cost", "b.label").eqNullSafe(F.col("was"))
-            known = now.select("key", "node", "b.*", moved.alias("moved")).checkpoint()
-            if known.where("moved").isEmpty():
-                return known.drop("moved")
-        raise RuntimeError(f"costs did not settle in {rounds} rounds")
+        return search_dealt(e, sources, targets, rounds, factors)
     finally:
         e.unpersist()
 
 
+def search_dealt(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, rounds: int = 10_000, factors: DataFrame | None = None) -> DataFrame:
+    """search over edges that dealt() gave."""
+    ensure_checkpoints(edges.sparkSession)
+    e = edges.where("u <> v")
+    shared = targets.select("node").distinct().count() if targets is not None and "key" not in targets.columns else None
+    bad = e.where("_c IS NULL OR isnan(_c) OR _c <= 0").limit(1).collect()
+    if bad:
+        raise ValueError(f"cost of edge {bad[0]['edge_id']} is not above zero")
+    start = F.col("cost").cast("double") if "cost" in sources.columns else F.lit(0.0)
+    label = F.col("label") if "label" in sources.columns else F.lit(None).cast("string")
+    kind = {f.name: f.dataType for f in e.schema}
+    rows = sources.select("key", "node", start.alias("cost"), label.alias("label"), F.lit(None).cast(kind["u"]).alias("prev"), F.lit(None).cast(kind["edge_id"]).alias("edge_id"))
+    best = F.min(F.struct("cost", "label", "prev", "edge_id"))
+    known = rows.groupBy("key", "node").agg(best.alias("b")).select("key", "node", "b.*", F.lit(True).alias("moved")).checkpoint()
+    for _ in range(rounds):
+        front = known.where("moved")
+        if targets is not None:
+            if shared is None:
+                t = targets.select("key", "node").join(known.select("key", "node", "cost"), ["key", "node"], "left")
+                all_there = F.count_if(F.col("cost").isNull()) == 0
+            else:
+                t, all_there = known.join(targets.select("node").distinct(), "node"), F.count("*") == shared
+            far = t.groupBy("key").agg(F.when(all_there, F.max("cost")).alias("_far"))
+            front = front.join(far, "key", "left").where(F.col("_far").isNull() | (F.col("cost") < F.col("_far")))
+        step = front.select("key", F.col("node").alias("u"), "cost", "label").join(e.withColumnRenamed("edge_id", "_e"), "u")
+        if factors is not None:
+            step = step.join(factors.select("key", F.col("edge_id").alias("_e"), "factor"), ["key", "_e"], "left").withColumn("_c", F.col("_c") * F.coalesce("factor", F.lit(1.0)))
+        step = step.select("key", F.col("v").alias("node"), (F.col("cost") + F.col("_c")).alias("cost"), "label", F.col("u").alias("prev"), F.col("_e").alias("edge_id"), F.lit(False).alias("old"))
+        both = known.drop("moved").withColumn("old", F.lit(True)).unionByName(step)
+        now = both.groupBy("key", "node").agg(best.alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "label"))).alias("was"))
+        moved = ~F.struct("b.cost", "b.label").eqNullSafe(F.col("was"))
+        known = now.select("key", "node", "b.*", moved.alias("moved")).checkpoint()
+        if known.where("moved").isEmpty():
+            return known.drop("moved")
+    raise RuntimeError(f"costs did not settle in {rounds} rounds")
+
+
 def paths_to(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, node, cost, label, node_ids, edge_ids) for wanted (key, node) that a search found.
 
@@ -238,23 +261,25 @@ def gateway_paths(edges: DataFrame, zones: DataFrame, gateways: DataFrame, band:
     return out.unionByName(crossing(g, z, "gateway_internal")).unionByName(crossing(z, g, "internal_gateway")).unionByName(crossing(g, g, "gateway_gateway"))
 
 
-def cheapest_between(edges: DataFrame, trips: DataFrame, cost: str = "cost") -> DataFrame:
+def cheapest_between(edges: DataFrame, trips: DataFrame, cost: str = "cost", ready: DataFrame | None = None) -> DataFrame:
     """(trip, origin_edge, destination_edge, cost, edge_ids): the cheapest route from one of a trip's origin edges to one of its destination edges, both included.
 
     trips (trip, origins array, destinations array of edge ids).  All origins of a trip start one search, each
     with the cost of its edge and its place in the list as label; all destinations end it.  Of equal costs the
     first origin wins, then the first destination.  A trip without a route has nulls.
+    ready: the edges as dealt() gave them, if they are there already.
     """
     ensure_checkpoints(edges.sparkSession)
-    e = edges.select("edge_id", "u", "v", F.col(cost).cast("double").alias("cost"))
+    named = _wanted(trips.select(F.explode(F.concat("origins", "destinations")).alias("edge_id")))
+    e = edges.select("edge_id", "u", "v", F.col(cost).cast("double").alias("cost")).join(named, "edge_id", "left_semi").checkpoint()
     spread = lambda c: trips.select(F.col("trip").alias("key"), F.posexplode(c).alias("place", "edge_id")).join(e, "edge_id").checkpoint()
     origins, ends = spread("origins"), spread("destinations")
-    label = F.struct("place", F.col("edge_id").alias("origin_edge"))
-    sources = origins.select("key", F.col("v").alias("node"), "cost", label.alias("label"))
+    sources = origins.select("key", F.col("v").alias("node"), "cost", F.col("place").alias("label"))
     targets = ends.select("key", F.col("u").alias("node")).distinct()
-    found = search(e, sources, targets)
+    found = search(edges, sources, targets, cost) if ready is None else search_dealt(ready, sources, targets)
     via = ends.select("key", F.col("u").alias("node"), F.col("place").alias("last"), F.col("edge_id").alias("destination_edge"), F.col("cost").alias("own")).join(found.select("key", "node", "cost", "label"), ["key", "node"])
-    via = via.select("key", (F.col("cost") + F.col("own")).alias("total"), F.col("label.place").alias("first"), "last", "label.origin_edge", "destination_edge", "node")
+    via = via.join(origins.select("key", F.col("place").alias("label"), F.col("edge_id").alias("origin_edge")), ["key", "label"])
+    via = via.select("key", (F.col("cost") + F.col("own")).alias("total"), F.col("label").alias("first"), "last", "origin_edge", "destination_edge", "node")
     # An edge that is origin and destination is a route of its own.
     same = origins.select("key", "edge_id", "place", "cost").join(ends.select("key", "edge_id", F.col("place").alias("last")), ["key", "edge_id"])
     same = same.select("key", F.col("cost").alias("total"), F.col("place").alias("first"), "last", F.col("edge_id").alias("origin_edge"), F.col("edge_id").alias("destination_edge"), F.lit(None).cast(e.schema["u"].dataType).alias("node"))
@@ -268,8 +293,14 @@ def cheapest_between(edges: DataFrame, trips: DataFrame, cost: str = "cost") ->
 def check_routes(edges: DataFrame, routes: DataFrame, cost: str = "cost") -> DataFrame:
     """routes (name, origin, destination nodes) -> name, success, travel_time_seconds to one place, reason."""
     r = routes.select(F.col("name").alias("key"), "origin", "destination")
-    found = search(edges, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node")), cost).select("key", F.col("node").alias("destination"), "cost")
-    nodes = edges.select(F.col("u").alias("n")).union(edges.select("v")).distinct()
+    ensure_checkpoints(edges.sparkSession)
+    e = dealt(edges, cost)
+    try:
+        found = search_dealt(e, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node"))).select("key", F.col("node").alias("destination"), "cost")
+        ends = _wanted(r.select(F.explode(F.array("origin", "destination")).alias("n")))
+        nodes = e.select(F.explode(F.array("u", "v")).alias("n")).join(ends, "n", "left_semi").distinct().checkpoint()
+    finally:
+        e.unpersist()
     known = r.join(nodes.select(F.col("n").alias("origin"), F.lit(True).alias("_o")), "origin", "left").join(nodes.select(F.col("n").alias("destination"), F.lit(True).alias("_d")), "destination", "left")
     out = known.join(found, ["key", "destination"], "left")
     there = F.col("_o").isNotNull() & F.col("_d").isNotNull()

@@ -68,14 +68,18 @@ def gateway_paths(spark, sf_dir):
     return p.select("pair_id", "movement_class", "origin_zone", "destination_zone", r6("straight_distance_m", "distance"), r6("route_free_flow_seconds", "seconds"), r6("prior_weight", "weight"), F.array_join("node_ids", " ").alias("nodes"), F.array_join("edge_ids", " ").alias("edges"))
 
 
-def trips(spark, sf_dir):
-    """For each nation the cheapest edges out of its suppliers as origins, those of the next region's as destinations."""
-    e = edges(spark, sf_dir).groupBy("u", "v").agg(F.min_by(F.struct("edge_id", "cost"), F.struct("cost", "edge_id")).alias("e")).select("u", "e.edge_id", "e.cost")
+def trips(spark, sf_dir, e):
+    """For each nation the cheapest of edges (u, v, edge_id, _c) out of its suppliers as origins, those of the next region's dearest as destinations."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("u"), "s_nationkey")
-    first = e.join(s, "u").groupBy("s_nationkey").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "edge_id"))), 1, 4).alias("l"))
-    dear = e.join(s, "u").groupBy("s_nationkey").agg(F.slice(F.sort_array(F.collect_list(F.struct("cost", "edge_id")), asc=False), 1, 3).alias("l"))
-    other = dear.select(F.pmod(F.col("s_nationkey") + 24, F.lit(25)).alias("s_nationkey"), F.col("l").alias("m"))
-    return first.join(other, "s_nationkey").select(F.col("s_nationkey").alias("trip"), F.col("l.edge_id").alias("origins"), F.col("m.edge_id").alias("destinations"))
+    out = e.join(s, "u").select("s_nationkey", F.col("_c").alias("cost"), "edge_id")
+
+    def ends(most, asc, name):
+        order = [F.col(c).asc() if asc else F.col(c).desc() for c in ("cost", "edge_id")]
+        top = out.withColumn("rank", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(*order))).where(F.col("rank") <= most)
+        return top.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("rank", "edge_id"))).alias(name))
+
+    other = ends(3, False, "m").select(F.pmod(F.col("s_nationkey") + 24, F.lit(25)).alias("s_nationkey"), "m")
+    return ends(4, True, "l").join(other, "s_nationkey").select(F.col("s_nationkey").alias("trip"), F.col("l.edge_id").alias("origins"), F.col("m.edge_id").alias("destinations"))
 
 
 @query("cheapest_between", f"""
@@ -89,11 +93,16 @@ routes AS (SELECT o.key, o.place AS first, d.place AS last, o.edge_id AS origin_
   FROM o JOIN d ON d.key = o.key JOIN best b ON b.key = o.key AND b.place = o.place AND b.node = d.node)
 SELECT key AS trip, arg_min(origin_edge, (cost, first, last)) AS origin_edge, arg_min(destination_edge, (cost, first, last)) AS destination_edge, round_even(min(cost), 6) AS cost, true AS fits FROM routes GROUP BY key""")
 def cheapest_between(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    r = paths.cheapest_between(e, trips(spark, sf_dir))
-    # The route's edges, added up, must give its cost.
-    sums = r.select("trip", F.explode("edge_ids").alias("edge_id")).join(e.select("edge_id", F.col("cost").alias("c")), "edge_id").groupBy("trip").agg(F.sum("c").alias("sum"))
-    return r.join(sums, "trip").select("trip", "origin_edge", "destination_edge", r6("cost"), (F.abs(F.col("sum") - F.col("cost")) < 1e-6).alias("fits"))
+    # All edges that are named, searched or added up are the cheapest of their ends, so one table serves.
+    e = paths.dealt(edges(spark, sf_dir))
+    try:
+        r = paths.cheapest_between(e, trips(spark, sf_dir, e), "_c", e).checkpoint()
+        # The route's edges, added up, must give its cost; there are as many routes as nations.
+        steps = F.broadcast(r.select("trip", F.explode("edge_ids").alias("edge_id")))
+        sums = e.select("edge_id", F.col("_c").alias("c")).join(steps, "edge_id").groupBy("trip").agg(F.sum("c").alias("sum"))
+        return r.join(sums, "trip").select("trip", "origin_edge", "destination_edge", r6("cost"), (F.abs(F.col("sum") - F.col("cost")) < 1e-6).alias("fits")).checkpoint()
+    finally:
+        e.unpersist()
 
 
 @query("route_checks", f"""

@@ -149,3 +149,29 @@ def test_no_products_in_plans(spark, graph):
     found = paths.search(e, spark.createDataFrame([("k", "0")], "key string, node string"))
     plan = paths.paths_to(found, found.select("key", "node"))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def counted(spark, graph):
+    """The edges, and how often one of their rows was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(graph, EDGE).mapInArrow(pass_on, EDGE), made
+
+
+def test_edges_are_dealt_once(spark, graph):
+    e, made = counted(spark, graph)
+    routes = spark.createDataFrame([("a", graph[0][0], graph[0][1]), ("b", "none", graph[0][1])], "name string, origin string, destination string")
+    assert {r["name"]: r["reason"] for r in paths.check_routes(e, routes).collect()} == {"a": None, "b": "NodeNotFound"}
+    assert made.value == len(graph)
+
+
+def test_origins_and_destinations_are_looked_up_in_one_pass(spark, graph):
+    e, made = counted(spark, graph)
+    trips = spark.createDataFrame([(1, ["e0", "e1"], ["e2", "e3"]), (2, ["e4"], ["e4"])], "trip int, origins array<string>, destinations array<string>")
+    assert {r["trip"] for r in paths.cheapest_between(e, trips).collect()} == {1, 2}
+    assert made.value == 2 * len(graph)
