@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanewright.functions import geo
+from lanewright.session import ensure_checkpoints
 
 # Weights, limits and class scores: fixed values.
 CLASS_SCORES = {"motorway": 8.0, "trunk": 7.0, "motorway_link": 6.0, "trunk_link": 5.0, "primary": 2.0, "primary_link": 1.0, "secondary": -4.0, "secondary_link": -4.0}
@@ -96,6 +97,35 @@ def connectors(df: DataFrame, keys: list[str], weight: str, order: str, k: int)
     return top.withColumn("share", F.col(weight) / F.sum(weight).over(w))
 
 
+def nearest_values(left: DataFrame, right: DataFrame, keys: list[str], value: str, other: str, id_: str, k: int) -> DataFrame:
+    """Pairs of rows that agree in keys, among them for each left row the k right ones with the nearest values, ties by id.
+
+    Every left value meets the k nearest other values on either side and, of each, the k least ids: at most 2 * k * k pairs
+    for a left row, however many rows have its keys or its value.  Values are dealt by range, ranked within a range and
+    numbered on by the counts of the ranges before, and meet by these numbers.  Other values that are missing rank last;
+    left rows without a value meet the k least ids of their keys.
+    """
+    ensure_checkpoints(left.sparkSession)
+    first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(id_))).where(F.col("_n") <= k).drop("_n")
+    kept = first(right, [*keys, other])
+    points = kept.select(*keys, F.col(other).alias("_v"), F.lit(0).alias("_left")).distinct().unionByName(left.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_left")).distinct())
+    order = [F.col("_v").asc_nulls_last(), F.col("_left")]
+    ranged = points.repartitionByRange(*(F.col(c) for c in keys), *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = ranged.groupBy(*keys, "_part").agg(F.count_if(F.col("_left") == 0).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.count_if(F.col("_left") == 0).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("_here", here).join(counts.select(*keys, "_part", before.alias("_before")), [*keys, "_part"]).select(*keys, "_v", "_left", (F.col("_here") + F.col("_before")).alias("_at"))
+    around = placed.where("_left = 1").select(*keys, F.col("_v").alias(value), F.explode(F.sequence(F.col("_at") - k + 1, F.col("_at") + k)).alias("_at"))
+    near = around.join(placed.where("_left = 0").select(*keys, "_at", F.col("_v").alias(other)), [*keys, "_at"]).drop("_at")
+    same = F.col(f"_r.{other}").eqNullSafe(F.col(f"_o.{other}"))
+    for c in keys:
+        same = same & (F.col(f"_r.{c}") == F.col(f"_o.{c}"))
+    theirs = near.alias("_r").join(kept.alias("_o"), same).select(*(F.col(f"_r.{c}") for c in (*keys, value)), *(F.col(f"_o.{c}") for c in right.columns if c not in keys))
+    # Without a value all are alike.
+    alike = left.where(F.col(value).isNull()).join(first(right, keys), keys)
+    return left.join(theirs, [*keys, value]).unionByName(alike)
+
+
 def connector_weight(hierarchy: Column, lanes: Column, speed: Column, distance: Column) -> Column:
     return hierarchy * lanes * F.sqrt(speed) / (1 + distance / 500)
 

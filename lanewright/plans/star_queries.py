@@ -24,9 +24,12 @@ def r6(c: str, name: str | None = None):
 PAIRS = "SELECT s_suppkey, c_custkey, s_nationkey, abs(s_acctbal - c_acctbal) AS d FROM supplier JOIN customer ON s_nationkey = c_nationkey"
 
 
-def pairs(spark, sf_dir):
-    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    return s.join(c, s["s_nationkey"] == c["c_nationkey"]).select("s_suppkey", "c_custkey", "s_nationkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("d"))
+def pairs(spark, sf_dir, k):
+    """Suppliers with customers of their nation, among them the k nearest by balance."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s_nationkey"), "c_acctbal", "c_custkey")
+    near = matching.nearest_values(s, c, ["s_nationkey"], "s_acctbal", "c_acctbal", "c_custkey", k)
+    return near.select("s_suppkey", "c_custkey", "s_nationkey", F.abs(F.col("s_acctbal") - F.col("c_acctbal")).alias("d"))
 
 
 @query("lookup_join", "SELECT n_name, r_name, count(*) AS n, round_even(sum(c_acctbal), 4) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -46,8 +49,8 @@ def lookup_misses(spark, sf_dir):
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) AS rk, lead(d) OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) - d AS margin FROM ({PAIRS}))
 SELECT s_suppkey, c_custkey, round_even(d, 6) AS d, round_even(margin, 6) AS margin, CASE WHEN d > 400 OR coalesce(margin < 8, false) THEN 'review' ELSE 'accepted' END AS status FROM k WHERE rk = 1""")
 def station_match_margin(spark, sf_dir):
-    w = Window.partitionBy("s_suppkey").orderBy("d", "c_custkey")
-    k = pairs(spark, sf_dir).withColumns({"rk": F.row_number().over(w), "margin": F.lead("d").over(w) - F.col("d")}).where("rk = 1")
+    w = Window.partitionBy("s_suppkey").orderBy(F.col("d").asc_nulls_last(), "c_custkey")
+    k = pairs(spark, sf_dir, 2).withColumns({"rk": F.row_number().over(w), "margin": F.lead("d").over(w) - F.col("d")}).where("rk = 1")
     status = F.when((F.col("d") > 400) | F.coalesce(F.col("margin") < 8, F.lit(False)), "review").otherwise("accepted")
     return k.select("s_suppkey", "c_custkey", r6("d"), r6("margin"), status.alias("status"))
 
@@ -75,7 +78,7 @@ WITH k AS (SELECT s_nationkey, s_suppkey, c_custkey, 1 / (1 + d / 500) AS weight
 SELECT s_suppkey, c_custkey, rk AS "rank", round_even(weight / sum(weight) OVER (PARTITION BY s_suppkey), 6) AS share FROM k WHERE rk <= 4""")
 def connector_topk_weights(spark, sf_dir):
     one = F.lit(1.0)
-    p = pairs(spark, sf_dir).withColumn("weight", matching.connector_weight(one, one, one, F.col("d")))
+    p = pairs(spark, sf_dir, 4).withColumn("weight", matching.connector_weight(one, one, one, F.col("d")))
     return matching.connectors(p, ["s_suppkey"], "weight", "c_custkey", 4).select("s_suppkey", "c_custkey", F.col("rank").cast("long").alias("rank"), r6("share"))
 
 
