@@ -20,15 +20,51 @@ from .spatial import line_cells
 SHAPE = "array<array<array<struct<x:double,y:double>>>>"
 
 
+def _let(value: Column, use) -> Column:
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _difference(a: Column, b: Column) -> Column:
+    """a - b as a rounded value and what rounding left."""
+    d = a - b
+    z = a - d
+    return F.struct(d.alias("hi"), ((a - (d + z)) + (z - b)).alias("lo"))
+
+
+def _product(a: Column, b: Column) -> Column:
+    """a * b as a rounded value and what rounding left, by halves of the digits."""
+    half = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    p, ah, bh = a * b, half(a), half(b)
+    al, bl = a - ah, b - bh
+    return F.struct(p.alias("hi"), (al * bl - (((p - ah * bh) - al * bh) - ah * bl)).alias("lo"))
+
+
+def side(s: Column, x: Column, y: Column) -> Column:
+    """Above zero where a point lies left of a segment, 0 on its line; null for values that are no numbers.
+
+    Where rounding could turn the sign, products and differences are taken with what rounding left of them.
+    """
+    ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
+    one, two = (bx - ax) * (y - ay), (by - ay) * (x - ax)
+
+    def exact(d: Column) -> Column:
+        rest = lambda p, q: d[p]["hi"] * d[q]["lo"] + d[p]["lo"] * d[q]["hi"] + d[p]["lo"] * d[q]["lo"]
+        both = F.struct(_product(d["p"]["hi"], d["q"]["hi"]).alias("m"), _product(d["r"]["hi"], d["t"]["hi"]).alias("n"))
+        return _let(both, lambda e: (e["m"]["hi"] - e["n"]["hi"]) + ((e["m"]["lo"] - e["n"]["lo"]) + (rest("p", "q") - rest("r", "t"))))
+
+    parts = F.struct(_difference(bx, ax).alias("p"), _difference(y, ay).alias("q"), _difference(by, ay).alias("r"), _difference(x, ax).alias("t"))
+    return F.when(F.isnan(one - two), F.lit(None).cast("double")).when(F.abs(one - two) > 3.4e-16 * (F.abs(one) + F.abs(two)), one - two).otherwise(_let(parts, exact))
+
+
 def in_rings(x: Column, y: Column, rings: Column) -> Column:
     """Whether a polygon covers a point: its rings' segments to the right are odd in number, or the point is on one."""
     def on(s: Column) -> Column:
-        cross = (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (x - s["a"]["x"])
-        return (cross == 0) & x.between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & y.between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"]))
+        near = x.between(F.least(s["a"]["x"], s["b"]["x"]), F.greatest(s["a"]["x"], s["b"]["x"])) & y.between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"]))
+        return near & (side(s, x, y) == 0)
 
     def right(s: Column) -> Column:
-        at = s["a"]["x"] + (y - s["a"]["y"]) * F.try_divide(s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"])
-        return ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & F.coalesce(at > x, F.lit(False))
+        at = side(s, x, y)
+        return ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & F.coalesce(F.when(s["b"]["y"] > s["a"]["y"], at > 0).otherwise(at < 0), F.lit(False))
 
     all_segments = F.flatten(F.transform(rings, geo.segments))
     return F.coalesce(F.exists(all_segments, on) | (F.pmod(F.size(F.filter(all_segments, right)), F.lit(2)) == 1), F.lit(False))

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import struct
+from fractions import Fraction
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -187,3 +188,19 @@ def test_planning(spark):
     with pytest.raises(Exception, match="must be positive"):
         plan(lambda t: F.lit(-1.0))
     assert df.select(times.depart_at(F.col("due"), lambda t: t * 0 + 5).alias("p")).first().p.arrival == 10_005.0
+
+
+def test_points_a_rounding_beside_a_ring(spark):
+    """Points whose stored values lie just inside or outside a slanted side: what is stored counts, not what rounding makes of it."""
+    def ring(cx, cy, a, b):
+        return [(cx - a, cy), (cx, cy - b), (cx + a, cy), (cx, cy + b), (cx - a, cy)]
+
+    cases = [(1, 5179.4, 3441.0, 11), (2, 1393.6, 3232.0, 2), (3, 3491.2, 3182.0, 8)]
+    rows = []
+    for i, x, y, k in cases:
+        cx, cy, a, b = 400.0 * k, 3000 + 37.0 * k, 700 + 10.0 * k, 900.0
+        rows.append((i, x, y, [ring(cx, cy, a, b), ring(cx, cy, a / 2, b / 2)]))
+        far = abs(Fraction(x) - Fraction(cx)) / Fraction(a) + abs(Fraction(y) - Fraction(cy)) / Fraction(b)
+        assert (Fraction(1, 2) <= far <= 1) == (i < 3)
+    df = spark.createDataFrame(rows, "i int, x double, y double, rings array<array<struct<x:double,y:double>>>")
+    assert {r["i"] for r in df.where(areas.in_rings(F.col("x"), F.col("y"), F.col("rings"))).collect()} == {1, 2}
