@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from lanewright.functions import geo
 
-from .spatial import line_cells
-
 SHAPE = "array<array<array<struct<x:double,y:double>>>>"
 
 
@@ -184,18 +182,31 @@ def _near_interval(within: float) -> Column:
     return F.struct(F.least(*lows).alias("lo"), F.greatest(*highs).alias("hi"))
 
 
-def line_overlaps(left: DataFrame, right: DataFrame, within: float, ids: tuple[str, str], near: float | None = None, line: str = "line", other: str = "other", size: float = 200.0) -> DataFrame:
+def line_overlaps(left: DataFrame, right: DataFrame, within: float, ids: tuple[str, str], near: float | None = None, line: str = "line", other: str = "other", size: float | None = None) -> DataFrame:
     """Line pairs at most ``within`` apart: ids, exact distance, covered (length of the line at most ``near`` from the other), share of its length.
 
     Segments meet by cells, so long lines cost what lies around them; the covered intervals of a segment are merged.
+    Two segments whose boxes meet are paired in one cell only, the one that holds the lower left corner of what the boxes share.
     """
     near = within if near is None else near
-    a = left.select(F.col(ids[0]), geo.line_length(F.col(line)).alias("_length"), F.posexplode(geo.segments(F.col(line))).alias("_k", "s"))
-    b = right.select(F.col(ids[1]), F.posexplode(geo.segments(F.col(other))).alias("_j", "t"))
-    two = lambda c: F.array(F.col(f"{c}.a"), F.col(f"{c}.b"))
-    a, b = a.withColumn("_c", F.explode(line_cells(two("s"), size, max(within, near)))), b.withColumn("_c", F.explode(line_cells(two("t"), size, 0.0)))
-    pairs = a.join(b, "_c").drop("_c").dropDuplicates([ids[0], "_k", ids[1], "_j"])
-    pairs = pairs.withColumns({"_d": segment_distance(F.col("s"), F.col("t")), "_i": _near_interval(near)})
+    margin = max(within, near)
+    size, parts = size or 4 * margin or 200.0, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = (lambda c, f, m: F.least(F.col(f"{c}.a.{f}"), F.col(f"{c}.b.{f}")) - m), (lambda c, f, m: F.greatest(F.col(f"{c}.a.{f}"), F.col(f"{c}.b.{f}")) + m)
+
+    def boxed(df: DataFrame, c: str, m: float, name: str) -> DataFrame:
+        df = df.withColumns({f"_{name}{f}{e}": v for f in "xy" for e, v in ((0, low(c, f, m)), (1, high(c, f, m)))})
+        cells = lambda f: F.explode(F.sequence(geo.cell(F.col(f"_{name}{f}0"), size), geo.cell(F.col(f"_{name}{f}1"), size)))
+        # The work lies in the pairs, not in these few bytes, so adaptive execution may not merge the partitions.
+        return df.withColumn("_cx", cells("x")).withColumn("_cy", cells("y")).repartition(parts, "_cx", "_cy")
+
+    a = boxed(left.select(F.col(ids[0]), geo.line_length(F.col(line)).alias("_length"), F.posexplode(geo.segments(F.col(line))).alias("_k", "s")), "s", margin, "a")
+    b = boxed(right.select(F.col(ids[1]), F.explode(geo.segments(F.col(other))).alias("t")), "t", 0.0, "b")
+    pairs = a.join(b, ["_cx", "_cy"])
+    for f in "xy":
+        corner = F.greatest(f"_a{f}0", f"_b{f}0")
+        pairs = pairs.where((corner <= F.least(f"_a{f}1", f"_b{f}1")) & (geo.cell(corner, size) == F.col(f"_c{f}")))
+    pairs = pairs.select(*ids, "_k", "_length", segment_distance(F.col("s"), F.col("t")).alias("_d"), "s", "t").where(F.col("_d") <= margin)
+    pairs = pairs.withColumn("_i", _near_interval(near))
     per = pairs.groupBy(*ids, "_k").agg(F.min("_d").alias("_d"), F.first("_length").alias("_length"), F.sort_array(F.collect_list(F.when(F.col("_i.lo").isNotNull(), F.col("_i")))).alias("_parts"))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("to"))
     merged = F.aggregate("_parts", start, lambda acc, i: F.struct((acc["sum"] + F.greatest(F.lit(0.0), i["hi"] - F.greatest(i["lo"], acc["to"]))).alias("sum"), F.greatest(acc["to"], i["hi"]).alias("to")), lambda acc: acc["sum"])

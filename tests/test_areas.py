@@ -204,3 +204,12 @@ def test_points_a_rounding_beside_a_ring(spark):
         assert (Fraction(1, 2) <= far <= 1) == (i < 3)
     df = spark.createDataFrame(rows, "i int, x double, y double, rings array<array<struct<x:double,y:double>>>")
     assert {r["i"] for r in df.where(areas.in_rings(F.col("x"), F.col("y"), F.col("rings"))).collect()} == {1, 2}
+
+
+def test_line_overlaps_pairs_segments_once(spark):
+    """Segments that share many cells are one pair, made without a shuffle of all that share a cell."""
+    a = spark.createDataFrame([(1, [(0.0, 0.0), (500.0, 300.0)])], "a int, line array<struct<x:double,y:double>>")
+    b = spark.createDataFrame([(2, [(0.0, 5.0), (500.0, 305.0)]), (3, [(0.0, 900.0), (500.0, 900.0)])], "b int, other array<struct<x:double,y:double>>")
+    out = areas.line_overlaps(a, b, 10.0, ("a", "b"), size=20.0)
+    assert [(r["a"], r["b"]) for r in out.collect()] == [(1, 2)]
+    assert "Deduplicate" not in out._jdf.queryExecution().analyzed().toString()
