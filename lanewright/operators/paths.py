@@ -133,29 +133,26 @@ def paths_to(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("key", "node", "cost", "label").join(listed, ["key", "node"]).select("key", "node", "cost", "label", F.col("s.n").alias("node_ids"), edge_ids.alias("edge_ids"))
 
 
-def pairs_in_band(points: DataFrame, low: float, high: float, id_: str, keys: tuple[str, ...] = (), x: str = "x", y: str | None = "y", parts: int = 16) -> DataFrame:
+def pairs_in_band(points: DataFrame, low: float, high: float, id_: str, keys: tuple[str, ...] = (), x: str = "x", y: str | None = "y", parts: int = 1) -> DataFrame:
     """Pairs of different points whose distance lies in [low, high]: columns of both as a and b, and distance.
 
-    Points meet by cells of high / parts.  The offsets of cells that can hold such a pair are listed once and
-    joined with the cells that hold points, not with the points, so about (1 + 3 / parts)^2 pairs are made
-    for one that is kept.  Both directions of a pair are there.  keys: only points that agree in them.
+    Points meet by cells of high / parts: one side goes to its own cell, the other to all that can hold such a pair, 21 of them
+    (five on a line) where parts is 1.  So points move a fixed number of times however many are near them, and pairs, of which
+    there may be many more, are made and tested where they meet and don't move.  keys: only points that agree in them.
     """
-    size, reach = high / parts, range(-parts - 1, parts + 2)
+    n, size, reach = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), high / parts, range(-parts - 1, parts + 2)
     gap = lambda d: max(abs(d) - 1, 0)
     near = [(i, j) for i in reach for j in (reach if y else (0,)) if (gap(i) ** 2 + gap(j) ** 2) * size * size <= high * high and ((abs(i) + 1) ** 2 + (abs(j) + 1 if y else 0) ** 2) * size * size >= low * low]
-    cell = [geo.cell(F.col(x), size).alias("_cx"), (geo.cell(F.col(y), size) if y else F.lit(0).cast("long")).alias("_cy")]
-    placed = points.select(*keys, *cell, F.struct(*points.columns).alias("p"))
-    cells = placed.select(*keys, "_cx", "_cy").distinct()
+    cx, cy = geo.cell(F.col(x), size), (geo.cell(F.col(y), size) if y else F.lit(0).cast("long"))
     offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near))) if near else F.explode(F.array().cast("array<struct<i:int,j:int>>"))
-    around = cells.select(*keys, "_cx", "_cy", offsets.alias("o")).select(*keys, "_cx", "_cy", (F.col("_cx") + F.col("o.i")).alias("_dx"), (F.col("_cy") + F.col("o.j")).alias("_dy"))
-    other = cells.withColumnsRenamed({"_cx": "_dx", "_cy": "_dy"})
-    meeting = around.join(other, [*keys, "_dx", "_dy"])
-    a = placed.withColumnRenamed("p", "a")
-    b = placed.withColumnsRenamed({"_cx": "_dx", "_cy": "_dy", "p": "b"})
-    pairs = a.join(meeting, [*keys, "_cx", "_cy"]).join(b, [*keys, "_dx", "_dy"])
+    here = points.select(*keys, cx.alias("_cx"), cy.alias("_cy"), F.struct(*points.columns).alias("a"))
+    there = points.select(*keys, cx.alias("_cx"), cy.alias("_cy"), F.struct(*points.columns).alias("b"), offsets.alias("_o")).withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o")
+    # The work lies in the pairs, so adaptive execution may not merge the partitions.
+    deal = [*keys, "_cx", "_cy"]
     dx = F.col(f"a.{x}") - F.col(f"b.{x}")
     d = F.hypot(dx, F.col(f"a.{y}") - F.col(f"b.{y}")) if y else F.abs(dx)
-    return pairs.select("a", "b", d.alias("distance")).where(F.col("distance").between(low, high) & (F.col(f"a.{id_}") != F.col(f"b.{id_}")))
+    pairs = here.repartition(n, *deal).join(there.repartition(n, *deal), deal).where(F.col(f"a.{id_}") != F.col(f"b.{id_}"))
+    return pairs.select("a", "b", d.alias("distance")).where(F.col("distance").between(low, high))
 
 
 def _pair_id(*parts: Column) -> Column:

@@ -175,3 +175,11 @@ def test_origins_and_destinations_are_looked_up_in_one_pass(spark, graph):
     trips = spark.createDataFrame([(1, ["e0", "e1"], ["e2", "e3"]), (2, ["e4"], ["e4"])], "trip int, origins array<string>, destinations array<string>")
     assert {r["trip"] for r in paths.cheapest_between(e, trips).collect()} == {1, 2}
     assert made.value == 2 * len(graph)
+
+
+def test_points_in_band_move_and_their_pairs_do_not(spark):
+    """Ten rows of a cell make 90 pairs, but only the points are dealt out, to a fixed number of cells."""
+    p = spark.createDataFrame([(i, 1, 10.0 + i, 10.0) for i in range(10)], "id int, k int, x double, y double")
+    pairs = paths.pairs_in_band(p, 1, 50, "id", ("k",))
+    assert pairs.count() == 90
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
