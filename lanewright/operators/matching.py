@@ -143,9 +143,17 @@ def all_accepted(df: DataFrame, key: str, target: str, status: str = "status") -
 
 
 def shared_ids(left: DataFrame, right: DataFrame, a: str, b: str, ids: str) -> DataFrame:
-    """Pairs of keys whose id arrays share an entry."""
-    one = left.select(a, F.explode(ids).alias("_id"))
-    return one.join(right.select(b, F.explode(ids).alias("_id")), "_id").select(a, b).distinct()
+    """Pairs of keys whose id arrays share an entry, each once.
+
+    A pair is made only where the least entry that both share is met, so the pairs, of which there are far more than rows, move
+    nowhere to be told apart.  Arrays travel with their entries: they are short.
+    """
+    def spread(df: DataFrame, key: str, name: str) -> DataFrame:
+        whole = df.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(ids))).alias(name))
+        return whole.select(key, name, F.explode(name).alias("_id"))
+
+    met = spread(left, a, "_ours").join(spread(right, b, "_theirs"), "_id")
+    return met.where(F.array_min(F.array_intersect("_ours", "_theirs")) == F.col("_id")).select(a, b)
 
 
 def rematch(old: DataFrame, new: DataFrame, identity: list[str], fallback: list[str], edge: str = "edge_id") -> DataFrame:

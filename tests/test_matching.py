@@ -26,3 +26,11 @@ def test_nearest_values_makes_few_pairs_of_one_group(spark):
     right = spark.range(2000).selectExpr("id AS c", "1 AS n", "CAST(id % 5 AS double) AS y")
     found = matching.nearest_values(left, right, ["n"], "x", "y", "c", 2)
     assert 2 * 300 <= found.count() <= 8 * 300
+
+
+def test_shared_ids_gives_pairs_once_without_a_distinct(spark):
+    left = spark.createDataFrame([(1, [5, 3, 3]), (1, [9]), (2, [4]), (3, None)], "a int, ids array<int>")
+    right = spark.createDataFrame([(7, [9, 3, 5]), (8, [4, 4]), (8, [3])], "b int, ids array<int>")
+    out = matching.shared_ids(left, right, "a", "b", "ids")
+    assert sorted(map(tuple, out.collect())) == [(1, 7), (1, 8), (2, 8)]
+    assert "Join" in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
