@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,7 +51,11 @@ def select_matches(scored: DataFrame, station: str = "station_id", edge: str = "
     routes = evidence(F.col("_b.tokens"), F.col("tokens")) != "mismatch"
     same = family & routes & (geo.bearing_difference(F.col("bearing"), F.col("_b.bearing")) <= SAME_WAY)
     rival = F.max(F.when((F.col("rank") > 1) & ~same, F.col("score"))).over(w)
-    out = ranked.withColumn("margin", F.col("_b.score") - rival).where("rank = 1").drop("_b", "rank")
+    return reviewed(ranked.withColumn("margin", F.col("_b.score") - rival).where("rank = 1").drop("_b", "rank"))
+
+
+def reviewed(out: DataFrame) -> DataFrame:
+    """Best edges (with margin) with the reasons for a review, and the status."""
     reasons = {
         "distance_over_limit": F.col("distance") > REVIEW_DISTANCE,
         "bearing_over_limit": F.col("bearing_difference") > REVIEW_BEARING,
@@ -62,6 +68,123 @@ def select_matches(scored: DataFrame, station: str = "station_id", edge: str = "
     return out.withColumn("status", F.when(F.size("reasons") == 0, "accepted").otherwise("review"))
 
 
+def _token_keys(tokens: str) -> Column:
+    """Tokens marked, so that a missing one and no token at all have texts of their own."""
+    return F.transform(F.coalesce(F.col(tokens).cast("array<string>"), F.array().cast("array<string>")), lambda t: F.coalesce(F.concat(F.lit("="), t), F.lit("~")))
+
+
+#: What edges of one tier share: a token, being a link, the class score, having a bearing.
+TIER = ["_tok", "_link", "_class", "_blind"]
+CELL = ["_level", "_cx", "_cy", "_cb"]
+ROWS = 250_000  # rows of edges, at all levels, that a task of the last join sorts at most
+STATIONS = 500  # stations of a task, which meets many cells for each
+SLACK = 0.01  # of scores, more than what rounding moves them
+
+
+def _cell(level: Column, x: Column, y: Column, b: Column) -> list[Column]:
+    """Cell of a level: from 2 * MAX_DISTANCE and the full circle on, each level halves all three sides."""
+    n = F.pow(F.lit(2.0), level)
+    at = lambda v: F.floor(v / (2 * MAX_DISTANCE) * n).cast("long")
+    return [at(x).alias("_cx"), at(y).alias("_cy"), F.least(F.floor(F.pmod(b, F.lit(360.0)) / 360 * n), n - 1).cast("long").alias("_cb")]
+
+
+def _tiered(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges that differ, each in its tiers, kept, and the finest level, at which few edges of a tier share a cell."""
+    columns = ["ox", "oy", "bearing", "tokens", "road_class"]
+    one = edges.where("ox IS NOT NULL AND oy IS NOT NULL").groupBy(*columns).agg(F.min("edge_id").alias("edge_id"))
+    keys = _token_keys("tokens")
+    link = F.coalesce(F.col("road_class").endswith("_link"), F.lit(False))
+    tiers = one.withColumn("_tok", F.explode(F.when(F.size(keys) > 0, F.array_distinct(keys)).otherwise(F.array(F.lit("")))))
+    tiers = tiers.withColumns({"_link": link, "_class": class_score(F.col("road_class")), "_blind": F.col("bearing").isNull()}).checkpoint()
+    cells = tiers.groupBy(*TIER, *_cell(F.lit(0), F.col("ox"), F.col("oy"), F.lit(0.0))[:2]).count()
+    most = cells.agg(F.max("count")).head()[0] or 1
+    return tiers, min(12, 1 + math.ceil(math.log(most, 8)))
+
+
+def _search(stations: DataFrame, tiers: DataFrame, finest: int, rival: bool = False) -> DataFrame:
+    """Scored pairs of stations and edges within MAX_DISTANCE, among them all of the best score of each station.
+
+    First a station meets one edge of each tier in each of the cells around it, from coarse to fine, one a level; the best score
+    among these is a floor.  Then it meets the edges of a tier only as far, and as far off its bearing, as could still reach the floor,
+    on a grid of about this size.  rival: stations have their best edge in _b; only edges of other carriageways count.
+    """
+    at = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    levels = tiers.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    levels = levels.select("*", *_cell(F.col("_level"), F.col("ox"), F.col("oy"), at("bearing")))
+    edge = [c for c in tiers.columns if c not in TIER]
+    if rival:
+        same = (F.col("road_class").endswith("_link") == F.col("_b.road_class").endswith("_link")) & (evidence(F.col("_b.tokens"), F.col("tokens")) != "mismatch") & (geo.bearing_difference(F.col("bearing"), F.col("_b.bearing")) <= SAME_WAY)
+        other = ~same
+    else:
+        other = F.lit(True)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return score_candidates(pairs.withColumn("distance", F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"))).where((F.col("distance") <= MAX_DISTANCE) & other))
+
+    ours = stations.where("x IS NOT NULL AND y IS NOT NULL")
+    ours = ours.repartition(math.ceil(ours.count() / STATIONS) or 1, "station_id")
+    some = levels.groupBy(*CELL, *TIER).agg(F.min(F.struct(*edge)).alias("_e")).select(*CELL, "_e.*")
+    own = ours.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    own = own.select("*", *_cell(F.col("_level"), F.col("x"), F.col("y"), at("target_bearing")))
+    # Exploded rows are far more than what Spark takes them for, so these joins never broadcast.
+    floors = scored(own.hint("merge").join(some, CELL)).groupBy("station_id").agg(F.max("score").alias("_floor"))
+
+    # Tiers that are in reach, with the most that an edge of theirs can score.
+    reach = lambda v, by, size: F.sequence(F.floor((F.col(v) - by) / size), F.floor((F.col(v) + by) / size))
+    wide = 2 * MAX_DISTANCE
+    there = levels.where("_level = 0").select("_cx", "_cy", *TIER).distinct()
+    near = ours.join(floors, "station_id", "left").withColumn("_cx", F.explode(reach("x", MAX_DISTANCE + 1e-6, wide))).withColumn("_cy", F.explode(reach("y", MAX_DISTANCE + 1e-6, wide)))
+    near = near.join(there, ["_cx", "_cy"]).drop("_cx", "_cy")
+    wanted = _token_keys("target_tokens")
+    top = 76.0 + F.col("_class")
+    top = top + F.when((F.col("_tok") == "") | (F.size(wanted) == 0), 0.0).when(F.array_contains(wanted, F.col("_tok")), 32.0).otherwise(-36.0)
+    top = top + F.when(F.col("road_form") == "unknown", 0.0).when((F.col("road_form") == "link") == F.col("_link"), 10.0).otherwise(-10.0)
+    blind = F.col("_blind") | F.col("target_bearing").isNull()
+    # The least turn of a rival that must differ from the best edge in its bearing.
+    least, inside = F.lit(0.0), F.lit(False)
+    if rival:
+        theirs = F.filter(_token_keys("_b.tokens"), lambda t: t != "~")
+        alike = (F.col("_link") == F.coalesce(F.col("_b.road_class").endswith("_link"), F.lit(False))) & ((F.col("_tok") == "") | (F.coalesce(F.size("_b.tokens"), F.lit(0)) <= 0) | F.array_contains(theirs, F.col("_tok")))
+        inside = F.coalesce(alike & F.col("_b.bearing").isNotNull() & ~blind, F.lit(False))
+        least = F.when(inside, F.greatest(F.lit(0.0), SAME_WAY - geo.bearing_difference(F.col("target_bearing"), F.col("_b.bearing")))).otherwise(0.0)
+    top = F.coalesce(top, F.lit(126.0)) - 34 * F.when(blind, 180.0).otherwise(least) / 90
+    near = near.withColumns({"_inside": inside, "_least": least, "_left": F.when(F.col("_floor").isNotNull(), top - F.col("_floor") + SLACK)}).where("_left IS NULL OR _left >= 0").distinct()
+
+    # As far as the tier's edges can reach the floor.
+    near = near.withColumns({"_far": F.coalesce(F.least(F.lit(MAX_DISTANCE), F.col("_left") * MAX_DISTANCE / 42), F.lit(MAX_DISTANCE)) + 1e-6, "_turn": F.coalesce(F.least(F.lit(180.0), F.col("_least") + F.col("_left") * 90 / 34), F.lit(180.0)) + 1e-6})
+    near = near.withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(wide / F.col("_far"))).cast("int"))))
+    n = F.pow(F.lit(2.0), F.col("_level"))
+    width = 360 / n
+    every = F.col("target_bearing").isNull() | (2 * F.col("_turn") + width >= 360)
+    slots = F.when(F.col("_blind"), F.array(F.lit(0).cast("long"))).when(every, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(
+        F.transform(F.sequence(F.floor((F.col("target_bearing") - F.col("_turn")) / width), F.floor((F.col("target_bearing") + F.col("_turn")) / width)), lambda i: F.pmod(i, n.cast("long"))))
+    if rival:
+        slots = F.filter(slots, lambda i: ~(F.col("_inside") & (geo.bearing_difference((i + 0.5) * width, F.col("_b.bearing")) + width / 2 < SAME_WAY - 1e-6)))
+    cells = near.withColumn("_cx", F.explode(reach("x", F.col("_far"), wide / n))).withColumn("_cy", F.explode(reach("y", F.col("_far"), wide / n))).withColumn("_cb", F.explode(slots))
+    cells = cells.drop("_inside", "_least", "_left", "_far", "_turn")
+    parts = math.ceil(tiers.count() * (finest + 1) / ROWS)
+    if parts > int(tiers.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        cells, levels = (df.repartition(parts, *CELL, *TIER) for df in (cells, levels))
+    return scored(cells.hint("merge").join(levels, [*CELL, *TIER])).where("_floor IS NULL OR score >= _floor").drop("_floor", *CELL, *TIER)
+
+
+def match_stations(stations: DataFrame, edges: DataFrame) -> DataFrame:
+    """select_matches of all pairs within MAX_DISTANCE, of which only those are made that can be a station's best or rival.
+
+    stations (station_id, x, y, target_bearing, road_form, target_tokens), edges (edge_id, ox, oy, bearing, tokens, road_class).
+    Edges that differ in nothing but their id are one, the least: another is never a rival of its like and scores the same.
+    """
+    ensure_checkpoints(stations.sparkSession)
+    tiers, finest = _tiered(edges)
+    found = _search(stations, tiers, finest)
+    rest = [c for c in found.columns if c not in stations.columns]
+    best = found.groupBy("station_id").agg(F.min_by(F.struct(*rest), F.struct((-F.col("score")).alias("s"), "distance", "edge_id")).alias("_b")).checkpoint()
+    rivals = _search(stations.join(best.select("station_id", F.struct("_b.road_class", "_b.tokens", "_b.bearing").alias("_b")), "station_id"), tiers, finest, rival=True)
+    second = rivals.groupBy("station_id").agg(F.max("score").alias("_rival"))
+    out = best.select("station_id", "_b.*").join(second, "station_id", "left")
+    return reviewed(out.withColumn("margin", F.col("score") - F.col("_rival")).drop("_rival"))
+
+
 def status_pivot(matches: DataFrame, group: str, statuses: tuple[str, ...] = ("accepted", "review", "unmatched")) -> DataFrame:
     return matches.groupBy(group).agg(*(F.count_if(F.col("status") == s).alias(s) for s in statuses))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewright.operators import evidence, flows, matching, spatial, validate
+from lanewright.operators import evidence, flows, matching, validate
 from lanewright.sources import runs
 
 from .registry import query
@@ -110,7 +110,7 @@ def station_match_scores(spark, sf_dir):
                         F.when(form == 0, "unknown").when(form == 1, "link").otherwise("mainline").alias("road_form"), F.when(F.col("s_suppkey") % 4 == 0, empty).otherwise(F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).alias("target_tokens"))
     edges = c.select(F.col("c_custkey").alias("edge_id"), F.col("c_acctbal").alias("ox"), (F.col("c_custkey") % 23 * 40.0).alias("oy"), (F.col("c_custkey") * 37 % 360).cast("double").alias("bearing"), F.when(F.col("c_custkey") % 7 == 0, empty).otherwise(F.array("c_mktsegment")).alias("tokens"),
                      F.when(road == 0, "motorway").when(road == 1, "motorway_link").when(road == 2, "trunk").when(road == 3, "primary_link").otherwise("residential").alias("road_class"))
-    best = matching.select_matches(matching.score_candidates(spatial.points_within(edges, stations, matching.MAX_DISTANCE, ("ox", "oy"), ("x", "y"))))
+    best = matching.match_stations(stations, edges)
     return best.select("station_id", "edge_id", r6("distance"), "score", F.bround("margin", 3).alias("margin"), F.array_join("reasons", "|").alias("reasons"), "status")
 
 

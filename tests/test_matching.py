@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from lanewright.operators import matching
+import __spark_entry__ as entry
+from lanewright.operators import matching, spatial
 
 
 def test_nearest_values(spark):
@@ -34,3 +35,32 @@ def test_shared_ids_gives_pairs_once_without_a_distinct(spark):
     out = matching.shared_ids(left, right, "a", "b", "ids")
     assert sorted(map(tuple, out.collect())) == [(1, 7), (1, 8), (2, 8)]
     assert "Join" in out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
+
+
+def test_match_stations_is_the_best_of_all_pairs(spark):
+    rng = random.Random(11)
+    tokens = lambda: rng.choice([None, [], ["I5"], ["US26"], ["I5", "US26"], ["OR8"]])
+    bearing = lambda: rng.choice([None, *(float(b) for b in range(-90, 720, 5))])
+    at = lambda: (rng.choice([None, *range(-9, 9)]), rng.randint(-400, 400) * 1.0)
+    place = lambda: (lambda i, y: (None if i is None else i * 45.0, y))(*at())
+    roads = ["motorway", "motorway_link", "trunk", "primary_link", "residential", None]
+    edges = [(i, *place(), bearing(), tokens(), rng.choice(roads)) for i in range(400)]
+    edges += [(1000 + e[0], *e[1:]) for e in edges[:100]]
+    stations = [(i, *place(), bearing(), tokens(), rng.choice(["unknown", "link", "mainline"])) for i in range(120)]
+    e = spark.createDataFrame(edges, "edge_id int, ox double, oy double, bearing double, tokens array<string>, road_class string")
+    s = spark.createDataFrame(stations, "station_id int, x double, y double, target_bearing double, target_tokens array<string>, road_form string")
+    rows = lambda df: sorted(map(repr, df.select("station_id", "edge_id", "distance", "score", "margin", "reasons", "status").collect()))
+    want = matching.select_matches(matching.score_candidates(spatial.points_within(e, s, matching.MAX_DISTANCE, ("ox", "oy"), ("x", "y"))))
+    assert rows(matching.match_stations(s, e)) == rows(want)
+
+
+def test_match_stations_makes_few_pairs_where_all_is_near(spark):
+    e = spark.range(4000).selectExpr("id AS edge_id", "CAST(id * 37 % 241 AS double) AS ox", "CAST(id * 53 % 239 AS double) AS oy", "CAST(id * 7 % 360 AS double) AS bearing", "array('I5') AS tokens", "'motorway' AS road_class")
+    s = spark.range(50).selectExpr("id AS station_id", "CAST(id * 11 % 150 AS double) AS x", "CAST(id * 17 % 150 AS double) AS y", "CAST(id * 29 % 360 AS double) AS target_bearing", "'mainline' AS road_form", "array('I5') AS target_tokens")
+    tiers, finest = matching._tiered(e)
+    assert 50 <= matching._search(s, tiers, finest).count() < 50 * 4000 / 100
+
+
+def test_station_match_scores_makes_no_pairs_of_a_whole_neighbourhood(spark):
+    plan = entry.queries()["station_match_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
