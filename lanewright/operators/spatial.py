@@ -6,6 +6,8 @@ that isn't in neighbouring cells, so work follows the local density, not the pro
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,44 @@ def points_within(left: DataFrame, right: DataFrame, radius: float, xy: tuple[st
     return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", d).where(F.col("distance") <= radius)
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], order: str, radius: float, **columns) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], order: str, radius: float, xy: tuple[str, str] = ("x", "y"), other: tuple[str, str] = ("ox", "oy")) -> DataFrame:
     """The nearest right point of each left one within radius, ties by ``order``; left rows without one are not there."""
-    pairs = points_within(left, right, radius, **columns)
+    pairs = nearest_pairs(left, right, order, radius, xy, other)
     rest = [c for c in pairs.columns if c not in keys]
     return pairs.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("distance", order)).alias("_n")).select(*keys, "_n.*")
 
 
+def nearest_pairs(left: DataFrame, right: DataFrame, order: str, radius: float, xy: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+    """Pairs of points at most radius apart, with their distance, among them the nearest of each left point.
+
+    Cells of the radius are halved until they hold few right points.  The farthest that a left point can be from the box of the right
+    points in its own cell, at the best level, bounds its nearest; then it meets the cells this near, of about this size.
+    Right points at one place are one, the first by ``order``.
+    """
+    at = lambda v, level: F.floor(v / radius * F.pow(F.lit(2.0), level)).cast("long")
+    x, y, ox, oy = (F.col(c) for c in (*xy, *other))
+    rest = [c for c in right.columns if c not in other]
+    points = right.where(ox.isNotNull() & oy.isNotNull()).groupBy(*other).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("_r")).select(*other, "_r.*")
+    most = points.groupBy(at(ox, F.lit(0)), at(oy, F.lit(0))).count().agg(F.max("count")).head()[0] or 1
+    finest = min(24, 1 + math.ceil(math.log(most, 4)))
+    leveled = lambda df: df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(finest))))
+    cell = ["_level", "_cx", "_cy"]
+    b = leveled(points).withColumns({"_cx": at(ox, F.col("_level")), "_cy": at(oy, F.col("_level"))})
+    boxes = b.groupBy(*cell).agg(F.min(ox).alias("_x0"), F.max(ox).alias("_x1"), F.min(oy).alias("_y0"), F.max(oy).alias("_y1"))
+    off = lambda v, lo, hi: F.greatest(F.abs(v - F.col(lo)), F.abs(v - F.col(hi)))
+    own = leveled(left.where(x.isNotNull() & y.isNotNull())).withColumns({"_cx": at(x, F.col("_level")), "_cy": at(y, F.col("_level"))})
+    # Rows of all levels are far more than what Spark takes them for, so these joins never broadcast.
+    bound = F.min(F.hypot(off(x, "_x0", "_x1"), off(y, "_y0", "_y1")))
+    a = own.hint("merge").join(boxes, cell, "left").groupBy(*left.columns).agg(F.least(bound, F.lit(float(radius))).alias("_far"))
+    # A little farther, for what rounding leaves.
+    a = a.withColumn("_far", F.col("_far") * (1 + 1e-9) + (F.abs(x) + F.abs(y) + radius) * 1e-12)
+    a = a.withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(finest), F.floor(F.log2(radius / F.col("_far"))).cast("int"))))
+    for name, v in (("_cx", x), ("_cy", y)):
+        a = a.withColumn(name, F.explode(F.sequence(at(v - F.col("_far"), F.col("_level")), at(v + F.col("_far"), F.col("_level")))))
+    d = F.hypot(x - ox, y - oy)
+    return a.hint("merge").join(b, cell).withColumn("distance", d).where((d <= radius) & (d <= F.col("_far"))).drop(*cell, "_far")
+
+
 def line_cells(line: Column, size: float, margin: float) -> Column:
     """Cells that a line's segments' boxes, widened by margin, touch."""
     def cells(s: Column) -> Column:

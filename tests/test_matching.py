@@ -64,3 +64,23 @@ def test_match_stations_makes_few_pairs_where_all_is_near(spark):
 def test_station_match_scores_makes_no_pairs_of_a_whole_neighbourhood(spark):
     plan = entry.queries()["station_match_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_nearest_within_is_the_nearest_of_all_pairs(spark):
+    rng = random.Random(5)
+    at = lambda: (rng.choice([None, *(i / 8 for i in range(-60, 60))]), rng.randint(-40, 40) / 8)
+    left, right = [(i, *at()) for i in range(300)], [(i, *at()) for i in range(400)]
+    right += [(1000 + i, 0.3 + i / 5000, 0.2 + i % 7 / 9000) for i in range(200)]
+    a, b = spark.createDataFrame(left, "a int, x double, y double"), spark.createDataFrame(right, "b int, ox double, oy double")
+    for radius in (0.5, 3.0):
+        got = {r["a"]: (r["distance"], r["b"]) for r in spatial.nearest_within(a, b, ["a"], "b", radius).collect()}
+        want = {}
+        for r in spatial.points_within(a, b, radius).collect():
+            want[r["a"]] = min(want.get(r["a"], (9e9, 0)), (r["distance"], r["b"]))
+        assert got == want
+
+
+def test_nearest_within_makes_few_pairs_in_a_crowd(spark):
+    a = spark.range(500).selectExpr("id AS a", "id * 37 % 499 / 499D AS x", "id * 91 % 497 / 497D AS y")
+    b = spark.range(5000).selectExpr("id AS b", "id * 17 % 4999 / 4999D AS ox", "id * 733 % 4993 / 4993D AS oy")
+    assert 500 <= spatial.nearest_pairs(a, b, "b", 1.0, ("x", "y"), ("ox", "oy")).count() <= 500 * 20
