@@ -280,8 +280,8 @@ def node_activity(spark, sf_dir):
 
 @query("degree_counts", "WITH e AS (SELECT DISTINCT l_partkey AS u, l_suppkey AS v FROM lineitem), a AS (SELECT u AS node, 1 AS o, 0 AS i, v AS n FROM e UNION ALL SELECT v, 0, 1, u FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(DISTINCT n) AS neighbours FROM a GROUP BY 1")
 def degree_counts(spark, sf_dir):
-    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v")).distinct()
-    return flows.degrees(e)
+    e = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("u"), F.col("l_suppkey").alias("v"))
+    return flows.degrees(e, simple=True)
 
 
 @query("path_pairs", f"SELECT l_orderkey, i - 1 AS step, edge_ids[i] AS u, edge_ids[i + 1] AS v FROM (SELECT *, unnest(range(1, len(edge_ids)))::INT AS i FROM ({PATHS}))")

@@ -1,11 +1,11 @@
-"""Nearest values by ranks against all pairs."""
+"""Nearest values, matches and points against all pairs; degrees against sets."""
 
 from __future__ import annotations
 
 import random
 
 import __spark_entry__ as entry
-from lanewright.operators import matching, spatial
+from lanewright.operators import flows, matching, spatial
 
 
 def test_nearest_values(spark):
@@ -84,3 +84,16 @@ def test_nearest_within_makes_few_pairs_in_a_crowd(spark):
     a = spark.range(500).selectExpr("id AS a", "id * 37 % 499 / 499D AS x", "id * 91 % 497 / 497D AS y")
     b = spark.range(5000).selectExpr("id AS b", "id * 17 % 4999 / 4999D AS ox", "id * 733 % 4993 / 4993D AS oy")
     assert 500 <= spatial.nearest_pairs(a, b, "b", 1.0, ("x", "y"), ("ox", "oy")).count() <= 500 * 20
+
+
+def test_degrees_hold_no_sets_of_neighbours(spark):
+    rng = random.Random(3)
+    some = lambda: rng.choice([None, *range(12)])
+    edges = [(some(), some()) for _ in range(150)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    for simple in (False, True):
+        rows = set(edges) if simple else edges
+        want = {(n, sum(u == n for u, _ in rows), sum(v == n for _, v in rows), len(({v for u, v in rows if u == n} | {u for u, v in rows if v == n}) - {None})) for n in {x for r in rows for x in r}}
+        out = flows.degrees(e, simple)
+        assert set(map(tuple, out.collect())) == want
+        assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
