@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from lanewright.functions import canonical
 from lanewright.operators import flows, matching, spatial
 
 
@@ -97,3 +101,17 @@ def test_degrees_hold_no_sets_of_neighbours(spark):
         out = flows.degrees(e, simple)
         assert set(map(tuple, out.collect())) == want
         assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_json_text_is_what_python_writes(spark):
+    texts = ["plain ~ []{}", "", 'a"\\q', "\u00e9\x7f\u2028 \U0001f600\x00\x1f\b\f\r\t\nz", "end\n", "\x85\ud7ff\ue000\uffff", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical.json_text(F.col("t"))).collect()
+    assert all(j == json.dumps(t) for t, j in got)
+
+
+def test_route_summaries_send_no_row_to_python_and_deal_lineitem_by_route(spark):
+    out = entry.queries()["route_summaries"](spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
