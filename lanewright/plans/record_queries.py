@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +79,9 @@ r AS (SELECT route_id, count(*) FILTER (edge_id IS NULL) AS missing, sum(length)
 SELECT route_id, missing, CASE WHEN missing = 0 THEN round_even(d, 6) END AS distance, CASE WHEN missing = 0 THEN round_even(t, 6) END AS seconds, CASE WHEN missing = 0 THEN round_even(res, 6) END AS residential, CASE WHEN missing = 0 THEN round_even(p, 6) END AS penalty, CASE WHEN missing = 0 THEN h END AS route_hash FROM r""")
 def route_summaries(spark, sf_dir):
     key = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
-    # Dealt by route once: neither the rows of a key nor the steps of a route move again.
-    li = read(spark, sf_dir, "lineitem").repartition("l_orderkey").groupBy(*key).agg(F.min(F.struct("l_extendedprice", "l_quantity", "l_tax", "l_returnflag")).alias("r")).select(*key, "r.*")
+    # Dealt by route once, to as many tasks as there are rows for: neither the rows of a key nor the steps of a route move again.
+    li = read(spark, sf_dir, "lineitem")
+    li = li.repartition(math.ceil(li.count() / 500_000) or 1, "l_orderkey").groupBy(*key).agg(F.min(F.struct("l_extendedprice", "l_quantity", "l_tax", "l_returnflag")).alias("r")).select(*key, "r.*")
     li = li.withColumns({"u": F.col("l_suppkey") % 40, "v": F.col("l_partkey") % 50})
     price, kind = F.col("l_extendedprice") / 100, F.col("l_returnflag")
     edges = li.where("l_linenumber > 1").select(
