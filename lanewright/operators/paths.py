@@ -1,7 +1,9 @@
 """Cheapest paths over partitioned edges: searches as rounds of joins, paths by pointer jumps, gateways, checked routes.
 
-Edges stay dealt by their start node, on disk, for all rounds of a search; a round joins only the rows that
-changed with them, so its shuffle follows the frontier.  A search runs for many keys at once, from any number
+Edges lie in one compressed table for all rounds of a search, and the rows that changed (the frontier) go to
+them: as a broadcast while they are few; beyond that edges are dealt by their start node once and stay dealt.
+So what a round shuffles follows the frontier.  Rounds carry costs only; the edge by which each node is reached
+is found in one more pass, when costs have settled.  A search runs for many keys at once, from any number
 of sources each, and what is known of a source (a label) travels with the cost: the cheapest of all
 combinations of sources and targets is found without making the combinations.  Rounds are as many as the
 longest cheapest path has edges; where targets are given, rows that are dearer than all targets of their key
@@ -10,12 +12,15 @@ are not followed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.functions import geo
-from lanewright.session import ensure_checkpoints
+from lanewright.session import ensure_checkpoints, shuffles_dropped, table_of
 
 from .flows import best_parallel
 from .od import gravity
@@ -38,21 +43,29 @@ def seed_cost(seconds: Column, road_class: Column) -> Column:
     return F.greatest(seconds.cast("double"), F.lit(0.01)) * F.coalesce(F.try_element_at(table, road_class), F.lit(OTHER_FACTOR))
 
 
-def dealt(edges: DataFrame, cost: str = "cost") -> DataFrame:
-    """(u, v, edge_id, _c): the cheapest edge of each (u, v), dealt by u and kept on disk; the caller unpersists it.
+@contextmanager
+def stored(edges: DataFrame, cost: str = "cost", best: bool = False, ids: bool = True) -> Iterator[DataFrame]:
+    """(u, v, edge_id, _c) in a table that lasts as long as the context; best: only the cheapest edge of each (u, v), ties by id; ids: with edge_id.
 
-    Edges move once: they are dealt by u before the cheapest are taken, which leaves them sorted by u and v for the joins of all rounds.
+    Edges are written before the best are taken, so that what they were made from has left the disk when they move.
     """
-    e = edges.select("u", "v", "edge_id", F.col(cost).cast("double").alias("_c")).repartition("u")
-    return best_parallel(e, "_c").persist(StorageLevel.DISK_ONLY)
+    whole = table_of(edges.select("u", "v", *(["edge_id"] if ids else []), F.col(cost).cast("double").alias("_c")))
+    with ExitStack() as tables:
+        if best:
+            with whole as e:
+                e = tables.enter_context(table_of(best_parallel(e.repartition("u"), "_c")))
+        else:
+            e = tables.enter_context(whole)
+        yield e
 
 
-#: Wanted ids, nodes and the like up to so many rows are broadcast, so that the edges that they are looked up in stay where they are.
+#: Wanted ids, nodes, rows of a frontier and the like up to so many are broadcast, so that the edges that they are looked up in stay where they are.
 FEW = 200_000
 
 
-def _wanted(df: DataFrame) -> DataFrame:
-    df = df.distinct().checkpoint()
+def few(df: DataFrame) -> DataFrame:
+    """df, written, and to be broadcast if it has few rows."""
+    df = df.checkpoint()
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
@@ -62,33 +75,32 @@ def search(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = Non
     edges (u, v, edge_id, cost): costs must be above zero.  sources (key, node, optionally cost and label): where a
     key's search starts, at which cost.  targets (key, node; or node, for all keys): once all targets of a key
     are reached, rows beyond the dearest may be missing.
-    factors (key, edge_id, factor): what makes an edge dearer for one key.  Of equal costs the least label wins, then the least previous node, then the least edge; so paths are the
-    same however rows are dealt.  A source that is not reached more cheaply from another has no prev.
+    factors (key, edge_id, factor): what makes an edge dearer for one key; of parallel edges the cheapest without them counts.  Of equal costs the least label wins, then
+    the least previous node, then the least edge; so paths are the same however rows are dealt.  A source that is not reached more cheaply from another has no prev.
     """
-    e = dealt(edges, cost)
-    try:
-        return search_dealt(e, sources, targets, rounds, factors)
-    finally:
-        e.unpersist()
+    with stored(edges, cost, best=factors is not None) as e:
+        return search_stored(e, sources, targets, rounds, factors)
 
 
-def search_dealt(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, rounds: int = 10_000, factors: DataFrame | None = None) -> DataFrame:
-    """search over edges that dealt() gave."""
+def search_stored(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, rounds: int = 10_000, factors: DataFrame | None = None, ways: bool = True) -> DataFrame:
+    """search over edges that stored() gave; without ways only (key, node, cost, label)."""
     ensure_checkpoints(edges.sparkSession)
     e = edges.where("u <> v")
     shared = targets.select("node").distinct().count() if targets is not None and "key" not in targets.columns else None
     bad = e.where("_c IS NULL OR isnan(_c) OR _c <= 0").limit(1).collect()
     if bad:
-        raise ValueError(f"cost of edge {bad[0]['edge_id']} is not above zero")
+        name = bad[0]["edge_id"] if "edge_id" in e.columns else f"from {bad[0]['u']} to {bad[0]['v']}"
+        raise ValueError(f"cost of edge {name} is not above zero")
     start = F.col("cost").cast("double") if "cost" in sources.columns else F.lit(0.0)
     label = F.col("label") if "label" in sources.columns else F.lit(None).cast("string")
-    kind = {f.name: f.dataType for f in e.schema}
-    rows = sources.select("key", "node", start.alias("cost"), label.alias("label"), F.lit(None).cast(kind["u"]).alias("prev"), F.lit(None).cast(kind["edge_id"]).alias("edge_id"))
-    best = F.min(F.struct("cost", "label", "prev", "edge_id"))
-    known = rows.groupBy("key", "node").agg(best.alias("b")).select("key", "node", "b.*", F.lit(True).alias("moved")).checkpoint()
-    for _ in range(rounds):
-        front = known.where("moved")
-        if targets is not None:
+    rows = sources.select("key", "node", start.alias("cost"), label.alias("label"))
+    dealt: list[DataFrame] = []
+
+    def steps(front: DataFrame, n: int, known: DataFrame, size: int, fits: Column, last: bool = False) -> DataFrame:
+        """Rows one edge on from front (n of known's rows) that fit what is known of their node (_cost, _label); of a large known they aren't asked.  last: with prev and edge_id."""
+        if targets is None:
+            front = front.withColumn("_far", F.lit(None).cast("double"))
+        else:
             if shared is None:
                 t = targets.select("key", "node").join(known.select("key", "node", "cost"), ["key", "node"], "left")
                 all_there = F.count_if(F.col("cost").isNull()) == 0
@@ -96,17 +108,56 @@ def search_dealt(edges: DataFrame, sources: DataFrame, targets: DataFrame | None
                 t, all_there = known.join(targets.select("node").distinct(), "node"), F.count("*") == shared
             far = t.groupBy("key").agg(F.when(all_there, F.max("cost")).alias("_far"))
             front = front.join(far, "key", "left").where(F.col("_far").isNull() | (F.col("cost") < F.col("_far")))
-        step = front.select("key", F.col("node").alias("u"), "cost", "label").join(e.withColumnRenamed("edge_id", "_e"), "u")
+        front = front.select("key", F.col("node").alias("u"), "cost", "label", "_far")
+        used = e if last or factors is not None else e.select("u", "v", "_c")
+        if n <= FEW:
+            step = used.join(F.broadcast(front), "u")
+        elif last:
+            step = front.join(used, "u")
+        else:
+            if not dealt:
+                dealt.append(used.repartition("u").persist(StorageLevel.DISK_ONLY))
+            step = front.join(dealt[0], "u")
         if factors is not None:
-            step = step.join(factors.select("key", F.col("edge_id").alias("_e"), "factor"), ["key", "_e"], "left").withColumn("_c", F.col("_c") * F.coalesce("factor", F.lit(1.0)))
-        step = step.select("key", F.col("v").alias("node"), (F.col("cost") + F.col("_c")).alias("cost"), "label", F.col("u").alias("prev"), F.col("_e").alias("edge_id"), F.lit(False).alias("old"))
-        both = known.drop("moved").withColumn("old", F.lit(True)).unionByName(step)
-        now = both.groupBy("key", "node").agg(best.alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "label"))).alias("was"))
-        moved = ~F.struct("b.cost", "b.label").eqNullSafe(F.col("was"))
-        known = now.select("key", "node", "b.*", moved.alias("moved")).checkpoint()
-        if known.where("moved").isEmpty():
-            return known.drop("moved")
-    raise RuntimeError(f"costs did not settle in {rounds} rounds")
+            step = step.join(factors.select("key", "edge_id", "factor"), ["key", "edge_id"], "left").withColumn("_c", F.col("_c") * F.coalesce("factor", F.lit(1.0)))
+        prev = [F.col("u").alias("prev"), "edge_id"] if last else []
+        step = step.select("key", F.col("v").alias("node"), (F.col("cost") + F.col("_c")).alias("cost"), "label", *prev, "_far").where("_far IS NULL OR cost <= _far").drop("_far")
+        if size <= FEW:
+            at = known.select("key", "node", F.col("cost").alias("_cost"), F.col("label").alias("_label"))
+            step = step.join(F.broadcast(at), ["key", "node"], "left").where(F.col("_cost").isNull() | fits).drop("_cost", "_label")
+        return step
+
+    better = F.expr("cost < _cost OR cost = _cost AND (label < _label OR label IS NULL AND _label IS NOT NULL)")
+    same = F.expr("cost = _cost AND label <=> _label")
+    least = F.min(F.struct("cost", "label"))
+    counts = lambda known: known.agg(F.count("*"), F.count_if("moved")).head()
+    with shuffles_dropped(edges.sparkSession):
+        try:
+            known = rows.groupBy("key", "node").agg(least.alias("b")).select("key", "node", "b.*", F.lit(True).alias("moved")).checkpoint()
+            size, n = counts(known)
+            for _ in range(rounds):
+                step = steps(known.where("moved"), n, known, size, better)
+                # Costs alone are summed up by hashing, without a sort of all steps.
+                step = step.groupBy("key", "node", "label").agg(F.min("cost").alias("cost")).withColumn("old", F.lit(False))
+                both = known.drop("moved").withColumn("old", F.lit(True)).unionByName(step)
+                now = both.groupBy("key", "node").agg(least.alias("b"), F.min(F.when(F.col("old"), F.struct("cost", "label"))).alias("was"))
+                moved = ~F.struct("b.cost", "b.label").eqNullSafe(F.col("was"))
+                known = now.select("key", "node", "b.*", moved.alias("moved")).checkpoint()
+                size, n = counts(known)
+                if not n:
+                    break
+            else:
+                raise RuntimeError(f"costs did not settle in {rounds} rounds")
+        finally:
+            for d in dealt:
+                d.unpersist()
+        known = known.drop("moved")
+        if not ways:
+            return known
+        kind = {f.name: f.dataType for f in e.schema}
+        begun = rows.withColumns({"prev": F.lit(None).cast(kind["u"]), "edge_id": F.lit(None).cast(kind["edge_id"])})
+        reached = begun.unionByName(steps(known, size, known, size, same, last=True)).groupBy("key", "node").agg(F.min(F.struct("cost", "label", "prev", "edge_id")).alias("b"))
+        return reached.select("key", "node", "b.*").checkpoint()
 
 
 def paths_to(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -264,16 +315,17 @@ def cheapest_between(edges: DataFrame, trips: DataFrame, cost: str = "cost", rea
     trips (trip, origins array, destinations array of edge ids).  All origins of a trip start one search, each
     with the cost of its edge and its place in the list as label; all destinations end it.  Of equal costs the
     first origin wins, then the first destination.  A trip without a route has nulls.
-    ready: the edges as dealt() gave them, if they are there already.
+    ready: the edges as stored() gave them, if they are there already.
     """
     ensure_checkpoints(edges.sparkSession)
-    named = _wanted(trips.select(F.explode(F.concat("origins", "destinations")).alias("edge_id")))
+    trips = trips.select("trip", "origins", "destinations").checkpoint()
+    named = few(trips.select(F.explode(F.concat("origins", "destinations")).alias("edge_id")).distinct())
     e = edges.select("edge_id", "u", "v", F.col(cost).cast("double").alias("cost")).join(named, "edge_id", "left_semi").checkpoint()
     spread = lambda c: trips.select(F.col("trip").alias("key"), F.posexplode(c).alias("place", "edge_id")).join(e, "edge_id").checkpoint()
     origins, ends = spread("origins"), spread("destinations")
     sources = origins.select("key", F.col("v").alias("node"), "cost", F.col("place").alias("label"))
     targets = ends.select("key", F.col("u").alias("node")).distinct()
-    found = search(edges, sources, targets, cost) if ready is None else search_dealt(ready, sources, targets)
+    found = search(edges, sources, targets, cost) if ready is None else search_stored(ready, sources, targets)
     via = ends.select("key", F.col("u").alias("node"), F.col("place").alias("last"), F.col("edge_id").alias("destination_edge"), F.col("cost").alias("own")).join(found.select("key", "node", "cost", "label"), ["key", "node"])
     via = via.join(origins.select("key", F.col("place").alias("label"), F.col("edge_id").alias("origin_edge")), ["key", "label"])
     via = via.select("key", (F.col("cost") + F.col("own")).alias("total"), F.col("label").alias("first"), "last", "origin_edge", "destination_edge", "node")
@@ -291,13 +343,10 @@ def check_routes(edges: DataFrame, routes: DataFrame, cost: str = "cost") -> Dat
     """routes (name, origin, destination nodes) -> name, success, travel_time_seconds to one place, reason."""
     r = routes.select(F.col("name").alias("key"), "origin", "destination")
     ensure_checkpoints(edges.sparkSession)
-    e = dealt(edges, cost)
-    try:
-        found = search_dealt(e, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node"))).select("key", F.col("node").alias("destination"), "cost")
-        ends = _wanted(r.select(F.explode(F.array("origin", "destination")).alias("n")))
+    with stored(edges, cost) as e:
+        found = search_stored(e, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node"))).select("key", F.col("node").alias("destination"), "cost")
+        ends = few(r.select(F.explode(F.array("origin", "destination")).alias("n")).distinct())
         nodes = e.select(F.explode(F.array("u", "v")).alias("n")).join(ends, "n", "left_semi").distinct().checkpoint()
-    finally:
-        e.unpersist()
     known = r.join(nodes.select(F.col("n").alias("origin"), F.lit(True).alias("_o")), "origin", "left").join(nodes.select(F.col("n").alias("destination"), F.lit(True).alias("_d")), "destination", "left")
     out = known.join(found, ["key", "destination"], "left")
     there = F.col("_o").isNotNull() & F.col("_d").isNotNull()

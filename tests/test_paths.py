@@ -183,3 +183,46 @@ def test_points_in_band_move_and_their_pairs_do_not(spark):
     pairs = paths.pairs_in_band(p, 1, 50, "id", ("k",))
     assert pairs.count() == 90
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def shuffled(spark, work):
+    """Bytes that work() shuffles."""
+
+    def so_far():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        all_ = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    before = so_far()
+    work()
+    return so_far() - before
+
+
+def test_edges_stay_where_they_are(spark):
+    """A search of few rows goes to the edges: 40,000 that it never meets are not shuffled."""
+    far = spark.range(40_000).select(F.sha1(F.col("id").cast("string")).alias("u"), F.sha1((-F.col("id")).cast("string")).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("edge_id"), (F.col("id") + 1.0).alias("cost"))
+    e = spark.createDataFrame([("a", "b", "ab", 4.0), ("a", "b", "ab2", 4.0), ("b", "c", "bc", 1.0), ("a", "c", "ac", 9.0)], EDGE).union(far)
+    source, found = spark.createDataFrame([("k", "a")], "key string, node string"), []
+    assert shuffled(spark, lambda: found.extend(paths.search(e, source).collect())) < 200_000
+    assert {r.node: (r.cost, r.prev, r.edge_id) for r in found} == {"a": (0.0, None, None), "b": (4.0, "a", "ab"), "c": (5.0, "b", "bc")}
+
+
+def test_large_frontiers(spark, graph, monkeypatch):
+    """Beyond what is broadcast, edges are dealt by their start node; rows are the same."""
+    e = spark.createDataFrame([*graph, *((u, v, f"{i}-again", c) for u, v, i, c in graph[:40])], EDGE)
+    sources = spark.createDataFrame([("k", "0", 0.0, 2), ("k", "7", 2.0, 1), ("m", "3", 1.0, 5)], "key string, node string, cost double, label int")
+    targets = spark.createDataFrame([("k", graph[5][1]), ("m", graph[9][1])], "key string, node string")
+    factors = spark.createDataFrame([("k", i, 3.0) for _, _, i, _ in graph[::3]], "key string, edge_id string, factor double")
+    run = lambda: [sorted(map(str, paths.search(e, sources, t, factors=f).collect())) for t, f in ((None, None), (targets, None), (None, factors))]
+    want = run()
+    monkeypatch.setattr(paths, "FEW", 0)
+    assert run() == want and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_tables_of_edges_are_deleted(spark, graph):
+    with paths.stored(spark.createDataFrame(graph, EDGE), best=True) as e:
+        (at,) = {f.rpartition("/")[0] for f in e.inputFiles()}
+        assert e.count() == len({(u, v) for u, v, _, _ in graph})
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
