@@ -24,8 +24,10 @@ via AS MATERIALIZED (SELECT b.key, b.node, arg_min(p.node, (p.cost + g.c, p.node
 
 def edges(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # Only the five columns move; names and costs are made behind the window.
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").withColumn("v", F.lead("l_suppkey").over(w)).where("l_suppkey <> v")
     name = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.lead("l_suppkey").over(w).alias("v"), name.alias("edge_id"), (F.col("l_extendedprice").cast("double") / 100).alias("cost")).where("u <> v")
+    return lines.select(F.col("l_suppkey").alias("u"), "v", name.alias("edge_id"), (F.col("l_extendedprice").cast("double") / 100).alias("cost"))
 
 
 def zones(spark, sf_dir):

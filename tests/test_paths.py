@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanewright.operators import paths
+from lanewright.plans import path_queries
 
 EDGE = "u string, v string, edge_id string, cost double"
 
@@ -207,6 +208,12 @@ def test_edges_stay_where_they_are(spark):
     assert {r.node: (r.cost, r.prev, r.edge_id) for r in found} == {"a": (0.0, None, None), "b": (4.0, "a", "ab"), "c": (5.0, "b", "bc")}
 
 
+def test_lines_move_without_what_is_made_of_them(spark):
+    plan = path_queries.edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning")
+    assert "concat_ws" in above and "concat_ws" not in below and "/ 100" not in below
+
+
 def test_large_frontiers(spark, graph, monkeypatch):
     """Beyond what is broadcast, edges are dealt by their start node; rows are the same."""
     e = spark.createDataFrame([*graph, *((u, v, f"{i}-again", c) for u, v, i, c in graph[:40])], EDGE)
