@@ -343,8 +343,8 @@ def check_routes(edges: DataFrame, routes: DataFrame, cost: str = "cost") -> Dat
     """routes (name, origin, destination nodes) -> name, success, travel_time_seconds to one place, reason."""
     r = routes.select(F.col("name").alias("key"), "origin", "destination")
     ensure_checkpoints(edges.sparkSession)
-    with stored(edges, cost) as e:
-        found = search_stored(e, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node"))).select("key", F.col("node").alias("destination"), "cost")
+    with stored(edges, cost, ids=False) as e:
+        found = search_stored(e, r.select("key", F.col("origin").alias("node")), r.select("key", F.col("destination").alias("node")), ways=False).select("key", F.col("node").alias("destination"), "cost")
         ends = few(r.select(F.explode(F.array("origin", "destination")).alias("n")).distinct())
         nodes = e.select(F.explode(F.array("u", "v")).alias("n")).join(ends, "n", "left_semi").distinct().checkpoint()
     known = r.join(nodes.select(F.col("n").alias("origin"), F.lit(True).alias("_o")), "origin", "left").join(nodes.select(F.col("n").alias("destination"), F.lit(True).alias("_d")), "destination", "left")
