@@ -9,7 +9,12 @@ rings of that polygon.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,15 +187,155 @@ def _near_interval(within: float) -> Column:
     return F.struct(F.least(*lows).alias("lo"), F.greatest(*highs).alias("hi"))
 
 
+#: Lines of at most so many points and cells are paired as a whole, others by their segments.
+POINTS, CELLS = 64, 64
+#: Pairs of segments that are measured at once.
+AT_ONCE = 100_000
+
+
+def _apart_and_near(s: tuple, t: tuple, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """segment_distance and the ends of _near_interval (nan if none) for arrays of segments (ax, ay, bx, by)."""
+    sax, say, sbx, sby = s
+    tax, tay, tbx, tby = t
+    turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    beside = lambda a, b, c, d: (np.maximum(a, b) < np.minimum(c, d)) | (np.maximum(c, d) < np.minimum(a, b))
+    apart = (turn(sax, say, sbx, sby, tax, tay) * turn(sax, say, sbx, sby, tbx, tby) > 0) | (turn(tax, tay, tbx, tby, sax, say) * turn(tax, tay, tbx, tby, sbx, sby) > 0)
+    apart |= beside(sax, sbx, tax, tbx) | beside(say, sby, tay, tby)
+
+    def to(x, y, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        whole = dx * dx + dy * dy
+        f = np.where(whole == 0, 0.0, ((x - ax) * dx + (y - ay) * dy) / whole)
+        f = np.minimum(1.0, np.maximum(0.0, f))
+        return np.hypot(x - ax - f * dx, y - ay - f * dy)
+
+    distance = np.where(apart, np.minimum(np.minimum(to(sax, say, *t), to(sbx, sby, *t)), np.minimum(to(tax, tay, *s), to(tbx, tby, *s))), 0.0)
+    length, size = np.hypot(sbx - sax, sby - say), np.hypot(tbx - tax, tby - tay)
+    # Without a length there is no direction: nan, which no comparison lets pass.
+    ux, uy = (np.where(length == 0, np.nan, d / length) for d in (sbx - sax, sby - say))
+    vx, vy = (np.where(size == 0, np.nan, d / size) for d in (tbx - tax, tby - tay))
+    found = []
+    for x, y in ((tax, tay), (tbx, tby)):
+        along = (x - sax) * ux + (y - say) * uy
+        off = (x - sax - along * ux) ** 2 + (y - say - along * uy) ** 2
+        half = np.sqrt(np.where(off <= near * near, near * near - off, np.nan))
+        found.append((np.maximum(0.0, along - half), np.minimum(length, along + half)))
+
+    def band(start, slope, low, high):
+        flat, inside = np.abs(slope) < 1e-12, (start >= low) & (start <= high)
+        one, two = (low - start) / slope, (high - start) / slope
+        return np.where(flat, np.where(inside, 0.0, 1.0), np.minimum(one, two)), np.where(flat, np.where(inside, length, 0.0), np.maximum(one, two))
+
+    f0, f1 = band((sax - tax) * vx + (say - tay) * vy, ux * vx + uy * vy, 0.0, size)
+    w0, w1 = band((sax - tax) * vy - (say - tay) * vx, ux * vy - uy * vx, -near, near)
+    known = np.where(np.isnan(ux + vx), np.nan, 0.0)
+    found.append((np.maximum(np.maximum(0.0, f0), w0) + known, np.minimum(np.minimum(length, f1), w1) + known))
+    lo, hi = np.full(len(distance), np.nan), np.full(len(distance), np.nan)
+    for a, b in found:
+        good = a <= b
+        lo, hi = np.where(good, np.fmin(lo, a), lo), np.where(good, np.fmax(hi, b), hi)
+    return distance, lo, hi
+
+
+def _measured(xs: list[np.ndarray], first: list[np.ndarray], parts: list[np.ndarray], near: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and covered length of pairs of lines: coordinates (ax, ay, bx, by) of all their points, each line's first point, its number of segments."""
+    (ax, ay, bx, by), (i, j), (m, n) = xs, first, parts
+    each = m * n
+    pair = np.repeat(np.arange(len(m)), each)
+    starts = np.cumsum(each) - each
+    k = np.arange(len(pair)) - starts[pair]
+    own = k // n[pair]
+    p, q = i[pair] + own, j[pair] + k % n[pair]
+    d, lo, hi = _apart_and_near((ax[p], ay[p], ax[p + 1], ay[p + 1]), (bx[q], by[q], bx[q + 1], by[q + 1]), near)
+    distance = np.minimum.reduceat(d, starts)
+    use = (d <= margin) & ~np.isnan(lo)
+    # Intervals of one segment of a line are merged from the left; in the j-th step all segments merge their j-th.
+    segment, lo, hi = (np.cumsum(m) - m)[pair[use]] + own[use], lo[use], hi[use]
+    order = np.lexsort((hi, lo, segment))
+    segment, lo, hi = segment[order], lo[order], hi[order]
+    place = np.arange(len(segment)) - np.searchsorted(segment, segment)
+    total, to = np.zeros(m.sum()), np.zeros(m.sum())
+    for step in range(place.max() + 1 if len(place) else 0):
+        at = place == step
+        g = segment[at]
+        total[g] += np.maximum(0.0, hi[at] - np.maximum(lo[at], to[g]))
+        to[g] = np.maximum(to[g], hi[at])
+    return distance, np.add.reduceat(total, np.cumsum(m) - m)
+
+
+def _overlaps(batches: Iterable[pa.RecordBatch], within: float, near: float, ids: tuple[str, str], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines (ids, _length, coordinates as arrays _ax, _ay, _bx, _by) that are at most within apart, with distance and covered."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = [batch.column(c) for c in ("_ax", "_ay", "_bx", "_by")]
+        xs = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+        points = [pc.list_value_length(lists[x]).to_numpy(zero_copy_only=False).astype(np.int64) for x in (0, 2)]
+        first, parts = [np.cumsum(x) - x for x in points], [x - 1 for x in points]
+        chunk = (np.cumsum(parts[0] * parts[1]) - 1) // at_once
+        cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=chunk[-1] + 1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            got = [_measured(xs, [x[a:b] for x in first], [x[a:b] for x in parts], near, max(within, near)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        distance, covered = (np.concatenate(x) for x in zip(*got, strict=True))
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*ids, "_length")), pa.array(distance), pa.array(covered)], names=[*ids, "_length", "distance", "covered"])
+        yield out.filter(pa.array(distance <= within))
+
+
 def line_overlaps(left: DataFrame, right: DataFrame, within: float, ids: tuple[str, str], near: float | None = None, line: str = "line", other: str = "other", size: float | None = None) -> DataFrame:
     """Line pairs at most ``within`` apart: ids, exact distance, covered (length of the line at most ``near`` from the other), share of its length.
 
-    Segments meet by cells, so long lines cost what lies around them; the covered intervals of a segment are merged.
-    Two segments whose boxes meet are paired in one cell only, the one that holds the lower left corner of what the boxes share.
+    Short lines (at most POINTS points, a box of at most CELLS cells) are paired as a whole in one cell only, the one that holds the lower left corner of what
+    their boxes share, and measured there: pairs, of which there may be many more than lines, don't move.  Pairs with a longer line are made by segments.
+    An id stands for one line.
     """
     near = within if near is None else near
     margin = max(within, near)
     size, parts = size or 4 * margin or 200.0, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sorted_out(df: DataFrame, id_: str, c: str, m: float, name: str) -> tuple[DataFrame, DataFrame]:
+        """Short lines with their boxes and coordinates; longer ones as they are."""
+        of = lambda f: F.transform(c, lambda p: p[f].cast("double"))
+        df = df.select(F.col(id_), F.col(c), of("x").alias("_x"), of("y").alias("_y")).where(F.size(c) >= 2)
+        box = {f"_{name}{f}{e}": g(f"_{f}") for f in "xy" for e, g in ((0, F.array_min), (1, F.array_max))}
+        cells = lambda f: geo.cell(F.col(f"_{name}{f}1") + m, size) - geo.cell(F.col(f"_{name}{f}0") - m, size) + 1
+        finite = lambda v: F.forall(v, lambda p: p.isNotNull() & (F.abs(p) < 1e15 * size))
+        small = F.when((F.size(c) <= POINTS) & finite("_x") & finite("_y"), (cells("x") <= CELLS) & (cells("y") <= CELLS) & (cells("x") * cells("y") <= CELLS))
+        df = df.withColumns(box).withColumn("_short", F.coalesce(small, F.lit(False)))
+        return df.where("_short").drop("_short"), df.where("NOT _short").select(id_, c)
+
+    (a, long_a), (b, long_b) = sorted_out(left, ids[0], line, margin, "a"), sorted_out(right, ids[1], other, 0.0, "b")
+
+    def placed(df: DataFrame, m: float, name: str) -> DataFrame:
+        cells = lambda f: F.explode(F.sequence(geo.cell(F.col(f"_{name}{f}0") - m, size), geo.cell(F.col(f"_{name}{f}1") + m, size)))
+        df = df.withColumnsRenamed({f"_{f}": f"_{name}{f}" for f in "xy"})
+        # The work lies in the pairs, not in these few bytes, so adaptive execution may not merge the partitions.
+        return df.withColumn("_cx", cells("x")).withColumn("_cy", cells("y")).repartition(parts, "_cx", "_cy")
+
+    met = placed(a.withColumn("_length", geo.line_length(F.col(line))).drop(line), margin, "a").join(placed(b.drop(other), 0.0, "b"), ["_cx", "_cy"])
+    gaps = []
+    for f in "xy":
+        a0, a1, b0, b1 = (F.col(f"_{n}{f}{e}") for n in "ab" for e in (0, 1))
+        met = met.where((F.greatest(a0 - margin, b0) <= F.least(a1 + margin, b1)) & (geo.cell(F.greatest(a0 - margin, b0), size) == F.col(f"_c{f}")))
+        gaps.append(F.greatest(F.lit(0.0), b0 - a1, a0 - b1))
+    # Boxes are no farther apart than their lines, but for rounding.
+    met = met.where(gaps[0] * gaps[0] + gaps[1] * gaps[1] <= margin * margin * (1 + 1e-9) + 1e-18)
+    kinds = [f"`{i}` {df.schema[i].dataType.simpleString()}" for df, i in zip((left, right), ids, strict=True)]
+    measured = met.select(*ids, "_length", "_ax", "_ay", "_bx", "_by").mapInArrow(partial(_overlaps, within=within, near=near, ids=ids, at_once=AT_ONCE), ", ".join([*kinds, "_length double, distance double, covered double"]))
+    out = measured.select(*ids, "distance", "covered", (F.col("covered") / F.greatest("_length", F.lit(0.1))).alias("share"))
+    if not long_a.isEmpty():
+        out = out.unionByName(_overlaps_by_segments(long_a, right, within, near, ids, line, other, size))
+    if not long_b.isEmpty():
+        out = out.unionByName(_overlaps_by_segments(a.select(ids[0], line), long_b, within, near, ids, line, other, size))
+    return out
+
+
+def _overlaps_by_segments(left: DataFrame, right: DataFrame, within: float, near: float, ids: tuple[str, str], line: str, other: str, size: float) -> DataFrame:
+    """line_overlaps of lines of any length.
+
+    Segments meet by cells, so long lines cost what lies around them; the covered intervals of a segment are merged.
+    Two segments whose boxes meet are paired in one cell only, the one that holds the lower left corner of what the boxes share.
+    """
+    margin, parts = max(within, near), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     low, high = (lambda c, f, m: F.least(F.col(f"{c}.a.{f}"), F.col(f"{c}.b.{f}")) - m), (lambda c, f, m: F.greatest(F.col(f"{c}.a.{f}"), F.col(f"{c}.b.{f}")) + m)
 
     def boxed(df: DataFrame, c: str, m: float, name: str) -> DataFrame:

@@ -213,3 +213,33 @@ def test_line_overlaps_pairs_segments_once(spark):
     out = areas.line_overlaps(a, b, 10.0, ("a", "b"), size=20.0)
     assert [(r["a"], r["b"]) for r in out.collect()] == [(1, 2)]
     assert "Deduplicate" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_short_lines_are_paired_where_they_meet(spark):
+    """20 lines and 20 others make 400 pairs, which are measured in their cell: only lines are dealt out, and no pair is put together again."""
+    a = spark.createDataFrame([(i, [(0.0, i / 10), (5.0, i / 10), (9.0, i / 10)]) for i in range(20)], "a int, line array<struct<x:double,y:double>>")
+    b = spark.createDataFrame([(i, [(1.0, i / 10), (8.0, 3 + i / 10)]) for i in range(20)], "b int, other array<struct<x:double,y:double>>")
+    out = areas.line_overlaps(a, b, 10.0, ("a", "b"))
+    assert out.count() == 400
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_and_long_lines_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    walk = lambda: [(rng.randrange(0, 90) / rng.choice((1, 7)), rng.randrange(0, 90) / rng.choice((1, 7))) for _ in range(rng.randrange(2, 7))]
+    left, right = [walk() for _ in range(30)] + [[(3, 3), (3, 3)], [(1, 1)], [], None], [walk() for _ in range(30)] + [[(4, 4), (4, 4), (4, 4)], [(2, 2)], [], None, [(2, 2), (None, 5), (4, 4)], [(2, 2), (float("nan"), 5)]]
+    frame = lambda rows, i, c: spark.createDataFrame([(f"{k}", r and [(x if x is None else float(x), float(y)) for x, y in r]) for k, r in enumerate(rows)], f"{i} string, {c} array<struct<x:double,y:double>>")
+    a, b = frame(left, "l", "line"), frame(right, "r", "other")
+
+    def rows():
+        return {(r.l, r.r): (r.distance, r.covered, r.share) for r in areas.line_overlaps(a, b, 6.0, ("l", "r"), near=4.0, size=15.0).collect()}
+
+    monkeypatch.setattr(areas, "POINTS", 0)
+    want = rows()
+    assert len(want) > 100
+    for points, at_once in ((64, 100_000), (64, 7), (4, 100_000)):
+        monkeypatch.setattr(areas, "POINTS", points)
+        monkeypatch.setattr(areas, "AT_ONCE", at_once)
+        got = rows()
+        assert set(got) == set(want)
+        assert all(g == pytest.approx(w, abs=1e-9) for k, w in want.items() for g in [got[k]])
