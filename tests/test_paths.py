@@ -205,6 +205,9 @@ def test_edges_stay_where_they_are(spark):
     e = spark.createDataFrame([("a", "b", "ab", 4.0), ("a", "b", "ab2", 4.0), ("b", "c", "bc", 1.0), ("a", "c", "ac", 9.0)], EDGE).union(far)
     source, found = spark.createDataFrame([("k", "a")], "key string, node string"), []
     assert shuffled(spark, lambda: found.extend(paths.search(e, source).collect())) < 200_000
+    routes = spark.createDataFrame([("r", "a", "c")], "name string, origin string, destination string")
+    assert shuffled(spark, lambda: found.append(paths.check_routes(e, routes).collect())) < 200_000
+    assert [tuple(r) for r in found.pop()] == [("r", True, 5.0, None)]
     assert {r.node: (r.cost, r.prev, r.edge_id) for r in found} == {"a": (0.0, None, None), "b": (4.0, "a", "ab"), "c": (5.0, "b", "bc")}
 
 
